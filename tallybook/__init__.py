@@ -1,0 +1,8 @@
+"""Invoice extraction, reconciliation and quality control as Spark jobs."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Arrow UDFs travel to executors by value, so the package need not be installed there.
+register_pickle_by_value(sys.modules[__name__])

@@ -90,18 +90,16 @@ def to_layout_date(c: Column) -> Column:
     Two-digit numeric dates are read day-first.
     """
 
-    def iso(found: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
-        year, month, day = (F.regexp_extract(found, regex(pattern), g) for g in groups)
-        if "Jan" in pattern:
-            month = month_number(month)
-        return F.concat_ws("-", year, month, F.lpad(day, 2, "0"))
-
-    return F.coalesce(
-        *[
-            F.when(c.rlike(regex(pattern)), let(capture(c, pattern, 0), lambda m, p=pattern, g=groups: iso(m, p, g)))
-            for pattern, groups in P.LAYOUT_DATES
-        ]
-    )
+    def iso(pattern: str, groups: tuple[int, int, int]) -> Column:
+        def rearranged(found: Column) -> Column:
+            year, month, day = (F.regexp_extract(found, regex(pattern), g) for g in groups)
+            if "Jan" in pattern:
+                month = month_number(month)
+            return F.concat_ws("-", year, month, F.lpad(day, 2, "0"))
+
+        return let(capture(c, pattern, 0), lambda found: F.when(found.isNotNull(), rearranged(found)))
+
+    return F.coalesce(*[iso(pattern, groups) for pattern, groups in P.LAYOUT_DATES])
 
 
 def parse_amount_basic(captured: Column) -> Column:

@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.sources.tables import table
+from tallybook.sources.tables import spread, table
 
 def _every(key: Column, n: int) -> Column:
     return key % n == 0
@@ -128,7 +128,7 @@ def invoices_from_orders(orders: DataFrame, spark: SparkSession, folder: str) ->
 
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
     """one invoice per order, with seeded defects."""
-    return invoices_from_orders(table(spark, folder, "orders"), spark, folder)
+    return invoices_from_orders(spread(table(spark, folder, "orders"), "o_orderkey"), spark, folder)
 
 
 def _money(c: Column) -> Column:
