@@ -52,20 +52,18 @@ def normalize_date(c: Column) -> Column:
 
     A text already shaped like an ISO date is passed through without a calendar check.
     """
-    s = pystrip(c)
-    found = []
-    for shape, year, month, day in _date_shapes():
-        pattern = regex(shape)
-        month_part = F.regexp_extract(s, pattern, month)
-        if "jan" in shape:
-            month_part = month_number(month_part)
-        text = calendar_text(F.regexp_extract(s, pattern, year), month_part, F.regexp_extract(s, pattern, day))
-        found.append(F.when(s.rlike(pattern), text))
-    return (
-        F.when(~truthy_text(c), F.lit(None).cast("string"))
-        .when(s.rlike(r"(?U)^\d{4}-\d{2}-\d{2}$"), s)
-        .otherwise(F.coalesce(*found, s))
-    )
+    def iso(s: Column) -> Column:
+        found = []
+        for shape, year, month, day in _date_shapes():
+            pattern = regex(shape)
+            month_part = F.regexp_extract(s, pattern, month)
+            if "jan" in shape:
+                month_part = month_number(month_part)
+            text = calendar_text(F.regexp_extract(s, pattern, year), month_part, F.regexp_extract(s, pattern, day))
+            found.append(F.when(s.rlike(pattern), text))
+        return F.when(s.rlike(r"(?U)^\d{4}-\d{2}-\d{2}$"), s).otherwise(F.coalesce(*found, s))
+
+    return F.when(truthy_text(c), let(pystrip(c), iso))
 
 
 def normalize_amount(c: Column) -> Column:

@@ -101,22 +101,24 @@ def _gst_arrays(record: Column) -> dict[str, tuple[list[str], Column]]:
         "_amounts": (AMOUNT_FIELDS, normalize_amount),
     }
 
-    def read(normalize: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        return lambda v: normalize(J.as_text(v))
-
-    return {name: (fields, _each(record, fields, read(n))) for name, (fields, n) in normalizers.items()}
+    return {
+        name: (fields, F.transform(_each(record, fields, J.as_text), normalize))
+        for name, (fields, normalize) in normalizers.items()
+    }
 
 
 def _gst_items(record: Column) -> Column:
-    def item(entry: Column) -> Column:
-        parts = [
-            (normalize_text if n == "description" else normalize_amount)(J.as_text(J.member(entry, n))).alias(n)
-            for n in GST_ITEM_TYPE.names
-        ]
+    def as_texts(entry: Column) -> Column:
+        parts = [J.as_text(J.member(entry, n)).alias(n) for n in GST_ITEM_TYPE.names]
         return F.when(J.kind(entry) == "OBJECT", F.struct(*parts))
 
+    def normalized(entry: Column) -> Column:
+        amounts = [normalize_amount(entry[n]).alias(n) for n in GST_ITEM_TYPE.names[1:]]
+        return F.struct(normalize_text(entry["description"]).alias("description"), *amounts)
+
     items_type = f"array<{GST_ITEM_TYPE.simpleString()}>"
-    items = F.array_compact(F.transform(J.elements(J.member(record, "items")), item)).cast(items_type)
+    entries = F.array_compact(F.transform(J.elements(J.member(record, "items")), as_texts))
+    items = F.transform(entries, normalized).cast(items_type)
     return F.coalesce(items, F.array().cast(items_type))
 
 
