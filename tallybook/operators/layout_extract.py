@@ -1,6 +1,6 @@
 """Extraction with a confidence per field: model values, word boxes, patterns, and fallbacks.
 
-Each field travels as ``struct<value, confidence, source>``; a null struct means not found.
+Each field travels as a value column and a source column; a null source means not found.
 """
 
 from __future__ import annotations
@@ -26,7 +26,23 @@ from tallybook.functions.pycompat import (
 from tallybook.operators.basic_extract import lines_of
 from tallybook.schema import AMOUNT_FIELDS, INVOICE_FIELDS
 
+# Confidence per source and, for captures, per field.
 MODEL_CONFIDENCE = 95.0
+COMPUTED_CONFIDENCE = 80.0
+HEURISTIC_CONFIDENCE = 50.0
+CAPTURE_CONFIDENCE = {
+    "layout": {
+        "vendor_name": 85.0,
+        "buyer_name": 80.0,
+        "invoice_number": 90.0,
+        "invoice_date": 85.0,
+        "due_date": 85.0,
+        "total_amount": 90.0,
+        "subtotal": 85.0,
+        "tax_amount": 85.0,
+    },
+    "regex": {"invoice_number": 60.0, "currency": 70.0},
+}
 TOP_OF_PAGE = 150.0
 FIRST_WORDS = 10
 
@@ -89,70 +105,91 @@ def fallback_buyer(text: Column) -> Column:
     return let(pystrip(F.regexp_extract(text, pattern, 1)), lambda s: F.when(F.length(s) > 3, s))
 
 
-def _found(value: Column, confidence: float, source: str) -> Column:
-    return F.struct(value.alias("value"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
-
-
-def _if_truthy(value: Column, amount: bool, confidence: float, source: str) -> Column:
-    truthy = truthy_number(value) if amount else truthy_text(value)
-    return F.when(truthy, _found(value, confidence, source))
-
-
-def _has_value(field: Column, amount: bool) -> Column:
-    return truthy_number(field["value"]) if amount else truthy_text(field["value"])
-
-
-def _pick(model: Column | None, layout: Column | None, plain: Column | None) -> Column:
-    """Model over layout over plain pattern; layout needs strictly more confidence than plain."""
-    choices = []
-    if model is not None:
-        choices.append(F.when(model["value"].isNotNull(), model))
-    if layout is not None and plain is not None:
-        choices.append(F.when(plain.isNull() | (layout["confidence"] > plain["confidence"]), layout))
-    elif layout is not None:
-        choices.append(layout)
-    if plain is not None:
-        choices.append(plain)
-    return F.coalesce(*choices) if choices else F.lit(None)
+def _has_value(value: Column, amount: bool) -> Column:
+    return truthy_number(value) if amount else truthy_text(value)
 
 
 def layout_captures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the raw layout captures as ``_x_*`` columns, before confidences and merging."""
+    """Add the raw captures as ``_layout_*`` and ``_regex_*`` columns, before they are merged."""
     body = F.col(text)
     return df.withColumns(
         {
-            "_x_buyer_name": buyer_layout(body),
-            "_x_invoice_number": number_layout(body),
-            "_x_invoice_date": date_layout(body, P.LAYOUT_INVOICE_DATE_LINE),
-            "_x_due_date": date_layout(body, P.LAYOUT_DUE_DATE_LINE),
-            "_x_total_amount": amount_layout(body, P.LAYOUT_TOTAL),
-            "_x_subtotal": amount_layout(body, P.LAYOUT_SUBTOTAL),
-            "_x_tax_amount": amount_layout(body, P.LAYOUT_TAX),
-            "_x_plain_number": capture(body, P.PLAIN_NUMBER, ignore_case=False),
-            "_x_currency": currency_layout(body),
+            "_layout_buyer_name": buyer_layout(body),
+            "_layout_invoice_number": number_layout(body),
+            "_layout_invoice_date": date_layout(body, P.LAYOUT_INVOICE_DATE_LINE),
+            "_layout_due_date": date_layout(body, P.LAYOUT_DUE_DATE_LINE),
+            "_layout_total_amount": amount_layout(body, P.LAYOUT_TOTAL),
+            "_layout_subtotal": amount_layout(body, P.LAYOUT_SUBTOTAL),
+            "_layout_tax_amount": amount_layout(body, P.LAYOUT_TAX),
+            "_regex_invoice_number": capture(body, P.PLAIN_NUMBER, ignore_case=False),
+            "_regex_currency": currency_layout(body),
         }
     )
 
 
-def compute_missing(df: DataFrame) -> DataFrame:
-    """Fill tax from total and subtotal, then subtotal from total and tax (the tax just filled).
+def _confidence(field: str, source: Column) -> Column:
+    """The confidence of a field follows from where its value came from."""
+    known = {"model": MODEL_CONFIDENCE, "heuristic": HEURISTIC_CONFIDENCE, "computed": COMPUTED_CONFIDENCE}
+    known |= {name: table[field] for name, table in CAPTURE_CONFIDENCE.items() if field in table}
+    result = None
+    for name, value in known.items():
+        result = F.when(source == name, value) if result is None else result.when(source == name, value)
+    return result
 
-    Works on ``_f_*`` struct columns.
-    """
-    total, subtotal, tax = F.col("_f_total_amount"), F.col("_f_subtotal"), F.col("_f_tax_amount")
-    rest = total["value"] - subtotal["value"]
-    tax_known = _has_value(tax, True)
-    fill_tax = ~tax_known & _has_value(total, True) & _has_value(subtotal, True) & (
-        F.abs(rest) < total["value"] * 0.5
-    )
-    df = df.withColumn("_f_tax_amount", F.when(fill_tax, _found(rest, 80.0, "computed")).otherwise(tax))
-    net = total["value"] - tax["value"]
-    fill_subtotal = ~_has_value(subtotal, True) & _has_value(total, True) & _has_value(tax, True) & (net > 0)
-    return df.withColumn(
-        "_f_subtotal", F.when(fill_subtotal, _found(net, 80.0, "computed")).otherwise(subtotal)
+
+def _merge_captures(df: DataFrame, modelled: list[str]) -> DataFrame:
+    """Add value and source per field: the model if it has one, else the most confident capture."""
+    sources, values = {}, {}
+    for field in INVOICE_FIELDS:
+        is_amount = field in AMOUNT_FIELDS
+        captures = [name for name in CAPTURE_CONFIDENCE if f"_{name}_{field}" in df.columns]
+        # Layout goes ahead only with strictly more confidence, so ties stay with the pattern.
+        captures.sort(key=lambda name: (-CAPTURE_CONFIDENCE[name][field], name != "regex"))
+        source = F.when(F.col(f"_model_{field}").isNotNull(), "model") if field in modelled else None
+        for name in captures:
+            present = _has_value(F.col(f"_{name}_{field}"), is_amount)
+            source = F.when(present, name) if source is None else source.when(present, name)
+        sources[f"_source_{field}"] = F.lit(None).cast("string") if source is None else source
+
+        value = F.lit(None).cast("double" if is_amount else "string")
+        for name in captures + (["model"] if field in modelled else []):
+            value = F.when(F.col(f"_source_{field}") == name, F.col(f"_{name}_{field}")).otherwise(value)
+        values[f"_value_{field}"] = value
+    return df.withColumns(sources).withColumns(values)
+
+
+def _fill(df: DataFrame, field: str, found: Column, source: str) -> DataFrame:
+    """Where ``found`` is not null, it becomes the value of the field."""
+    filled = f"_{source}_{field}"
+    hit = F.col(filled).isNotNull()
+    return df.withColumn(filled, found).withColumns(
+        {
+            f"_value_{field}": F.when(hit, F.col(filled)).otherwise(F.col(f"_value_{field}")),
+            f"_source_{field}": F.when(hit, source).otherwise(F.col(f"_source_{field}")),
+        }
     )
 
 
+def apply_fallbacks(df: DataFrame, text: str = "text") -> DataFrame:
+    """Vendor and buyer from the first lines and the first address, where nothing else gave them."""
+    for field, fallback in (("vendor_name", fallback_vendor), ("buyer_name", fallback_buyer)):
+        missing = ~_has_value(F.col(f"_value_{field}"), False)
+        df = _fill(df, field, F.when(missing, fallback(F.col(text))), "heuristic")
+    return df
+
+
+def compute_missing(df: DataFrame) -> DataFrame:
+    """Fill tax from total and subtotal, then subtotal from total and tax (the tax just filled)."""
+    total, subtotal, tax = (F.col(f"_value_{f}") for f in ("total_amount", "subtotal", "tax_amount"))
+    rest = total - subtotal
+    plausible = F.abs(rest) < total * 0.5
+    given = truthy_number(total) & truthy_number(subtotal)
+    df = _fill(df, "tax_amount", F.when(~truthy_number(tax) & given & plausible, rest), "computed")
+    net = total - tax
+    given = truthy_number(total) & truthy_number(tax)
+    return _fill(df, "subtotal", F.when(~truthy_number(subtotal) & given & (net > 0), net), "computed")
+
+
 def extract_layout(
     text_df: DataFrame,
     words_df: DataFrame | None = None,
@@ -167,66 +204,29 @@ def extract_layout(
     """
     df = layout_captures(text_df, text)
     if words_df is not None:
-        df = df.join(vendor_from_words(words_df, key), key, "left")
+        vendors = vendor_from_words(words_df, key).withColumnRenamed("vendor_word", "_layout_vendor_name")
+        df = df.join(vendors, key, "left")
     modelled: list[str] = []
     if model_df is not None:
         modelled = [f for f in INVOICE_FIELDS + ["line_items"] if f in model_df.columns]
-        renamed = model_df.select(key, *[F.col(f).alias(f"_m_{f}") for f in modelled])
-        df = df.join(renamed, key, "left")
-
-    layout = {
-        "buyer_name": ("_x_buyer_name", 80.0),
-        "invoice_number": ("_x_invoice_number", 90.0),
-        "invoice_date": ("_x_invoice_date", 85.0),
-        "due_date": ("_x_due_date", 85.0),
-        "total_amount": ("_x_total_amount", 90.0),
-        "subtotal": ("_x_subtotal", 85.0),
-        "tax_amount": ("_x_tax_amount", 85.0),
-    }
-    if words_df is not None:
-        layout["vendor_name"] = ("vendor_word", 85.0)
-    plain = {"invoice_number": ("_x_plain_number", 60.0), "currency": ("_x_currency", 70.0)}
+        df = df.join(model_df.select(key, *[F.col(f).alias(f"_model_{f}") for f in modelled]), key, "left")
 
-    merged = {}
-    for field in INVOICE_FIELDS:
-        is_amount = field in AMOUNT_FIELDS
-        model = _found(F.col(f"_m_{field}"), MODEL_CONFIDENCE, "model") if field in modelled else None
-        found = {
-            name: _if_truthy(F.col(source[field][0]), is_amount, source[field][1], name) if field in source else None
-            for name, source in (("layout", layout), ("regex", plain))
-        }
-        picked = _pick(model, found["layout"], found["regex"])
-        value_type = "double" if is_amount else "string"
-        merged[f"_f_{field}"] = picked.cast(f"struct<value:{value_type},confidence:double,source:string>")
-    df = df.withColumns(merged)
+    df = compute_missing(apply_fallbacks(_merge_captures(df, modelled), text))
 
-    body = F.col(text)
-    for field, fallback in (("vendor_name", fallback_vendor(body)), ("buyer_name", fallback_buyer(body))):
-        current = F.col(f"_f_{field}")
-        missing = ~_has_value(current, False)
-        late = F.when(missing, let(fallback, lambda v: F.when(v.isNotNull(), _found(v, 50.0, "heuristic"))))
-        df = df.withColumn(f"_f_{field}", F.coalesce(late, current))
-    df = compute_missing(df)
-
-    found_fields = [(f, F.col(f"_f_{f}")) for f in INVOICE_FIELDS]
-    entries = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    s.isNotNull(),
-                    F.struct(F.lit(f).alias("field"), s["confidence"].alias("confidence"), s["source"].alias("source")),
-                )
-                for f, s in found_fields
-            ]
-        )
-    )
-    items = [F.col("_m_line_items").alias("line_items")] if "line_items" in modelled else []
-    return df.withColumn("_entries", entries).select(
+    def known(entry) -> Column:
+        pairs = [
+            F.when(F.col(f"_source_{f}").isNotNull(), F.struct(F.lit(f).alias("field"), entry(f).alias("entry")))
+            for f in INVOICE_FIELDS
+        ]
+        return F.map_from_entries(F.array_compact(F.array(*pairs)))
+
+    items = [F.col("_model_line_items").alias("line_items")] if "line_items" in modelled else []
+    return df.select(
         *[F.col(c) for c in text_df.columns],
-        *[s["value"].alias(f) for f, s in found_fields],
+        *[F.col(f"_value_{f}").alias(f) for f in INVOICE_FIELDS],
         *items,
-        F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["field"], e["confidence"]))).alias("confidence"),
-        F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["field"], e["source"]))).alias("source"),
+        known(lambda f: _confidence(f, F.col(f"_source_{f}"))).alias("confidence"),
+        known(lambda f: F.col(f"_source_{f}")).alias("source"),
     )
 
 

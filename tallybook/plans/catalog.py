@@ -578,7 +578,7 @@ def lx_invoice(spark: SparkSession, folder: str) -> DataFrame:
     """Layout extraction with words and model answers, flattened with confidences."""
     invoices = D.invoices(spark, folder)
     texts = D.invoice_text(invoices)
-    model = R.parse_responses(D.responses(invoices), fences="anywhere").filter("parsed").drop("parsed")
+    model = R.parse_responses(D.responses(invoices), fences="anywhere").drop("parsed")
     merged = L.extract_layout(texts, D.words(texts), model)
     return merged.select(
         "invoice_id",

@@ -384,7 +384,7 @@ ORACLE["src_json"] = f"""with {RECORDS} select invoice_id, load_error,
 ORACLE["ag_verify_stats"] = f"""with {INV}, v as (select coalesce(invoice_number,'')<>'' and coalesce(vendor_name,'')<>''
     and coalesce(total_amount,0)<>0 ok from inv)
   select count(*) total_invoices, count(*) filter (ok) verified, count(*) filter (not ok) review_needed,
-  0 high_confidence, 0 low_confidence, 0 total_corrections, avg(case when ok then 95.0::double else 50.0 end) average_confidence from v"""
+  0::bigint high_confidence, 0::bigint low_confidence, 0::bigint total_corrections, avg(case when ok then 95.0::double else 50.0 end) average_confidence from v"""
 ORACLE["ag_batch"] = f"""with {GATED} select count(*) total_files, count(*) filter (error is null) successful,
   count(*) filter (error is not null) failed,
   cast(round(count(*) filter (error is null)::decimal(18,0)*100/count(*), 1) as double) success_rate from gated"""
