@@ -106,7 +106,14 @@ def py_float_text(c: Column) -> Column:
     """``str(float)``: plain digits from 1e-4 up to 1e16, exponent form beyond."""
     size = F.abs(c)
     same_in_both = (c == 0) | ((size >= 1e-3) & (size < 1e7))
-    return F.when(same_in_both, c.cast("string")).otherwise(let(c.cast("string"), _respelled))
+    return F.when(same_in_both, c.cast("string")).otherwise(let(let(c.cast("string"), _shortest), _respelled))
+
+
+def _shortest(text: Column) -> Column:
+    """Older Java versions print some numbers with a digit too many; 16 digits do if they read back."""
+    value = text.try_cast("double")
+    rounded = F.regexp_replace(F.format_string("%.15E", value), r"\.?0*E\+?", "E")
+    return F.when(rounded.try_cast("double") == value, rounded).otherwise(text)
 
 
 def _respelled(text: Column) -> Column:
@@ -117,15 +124,28 @@ def _respelled(text: Column) -> Column:
     digits = F.when(size < 10, F.concat(F.lit("0"), size.cast("string"))).otherwise(size.cast("string"))
     mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
     return (
-        F.when(text == "NaN", "nan")
-        .when(text == "Infinity", "inf")
-        .when(text == "-Infinity", "-inf")
+        F.when(F.lower(text) == "nan", "nan")
+        .when(F.lower(text) == "infinity", "inf")
+        .when(F.lower(text) == "-infinity", "-inf")
         .when((exponent >= -4) & (exponent < 16), plain)
         .otherwise(F.concat(mantissa, sign, digits))
     )
 
 
-def py_fixed(c: Column, places: int) -> Column:
-    """``format(x, '.{places}f')`` for finite numbers, with half-even rounding of exact ties."""
-    rounded = F.bround(c.try_cast("decimal(38,16)"), places)
-    return F.coalesce(rounded.cast(f"decimal(38,{places})").cast("string"), F.format_string(f"%.{places}f", c))
+def py_one_decimal(c: Column) -> Column:
+    """``format(x, '.1f')`` for finite numbers.
+
+    Where the printed number lies midway between two results, the binary number itself decides:
+    its exact distance from the midpoint is the rounding error of ``16x + 4x``.
+    """
+    decimal = c.try_cast("decimal(38,16)")
+    twentieths = decimal * 20
+    midway = (twentieths == F.floor(twentieths)) & (F.abs(F.floor(twentieths)) % 2 == 1)
+    large, small = c * 16.0, c * 4.0
+    total = large + small
+    part = total - large
+    error = (large - (total - part)) + (small - part)
+    beyond = F.signum((total - F.rint(total)) + error)
+    nudge = F.when(midway, beyond * 0.01).otherwise(0.0).cast("decimal(3,2)")
+    rounded = F.bround(decimal + nudge, 1).try_cast("decimal(38,1)")
+    return F.coalesce(rounded.cast("string"), F.format_string("%.1f", c))

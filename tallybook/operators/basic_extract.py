@@ -94,21 +94,23 @@ def line_items(lines: Column) -> Column:
     at least two numbers, all readable once commas and dots are dropped, and starts with letters.
     """
 
-    def header(line: Column) -> Column:
-        return matches(line, P.ITEM_HEADER_NAME) & matches(line, P.ITEM_HEADER_VALUE)
+    def marked(line: Column) -> Column:
+        header = matches(line, P.ITEM_HEADER_NAME) & matches(line, P.ITEM_HEADER_VALUE)
+        closing = matches(line, P.ITEM_SECTION_END)
+        return F.struct(line.alias("line"), header.alias("header"), (~header & closing).alias("closing"))
 
-    def closing(line: Column) -> Column:
-        return matches(line, P.ITEM_SECTION_END)
+    def position(marks: Column, name: str) -> Column:
+        return F.array_position(F.transform(marks, lambda m: m[name]), True).cast("int")
 
-    def section(all_lines: Column) -> Column:
-        start = F.array_position(F.transform(all_lines, header), True)
-        rest = F.slice(all_lines, (start + 1).cast("int"), F.size(all_lines))
-        body = F.filter(rest, lambda line: ~header(line))
-        return F.when(start > 0, let(body, until_closing)).otherwise(F.array().cast("array<string>"))
+    def section(marks: Column) -> Column:
+        rest = let(position(marks, "header"), lambda at: F.when(at > 0, F.slice(marks, at + 1, F.size(marks))))
+        return let(rest, until_closing)
 
-    def until_closing(body: Column) -> Column:
-        end = F.array_position(F.transform(body, closing), True)
-        return F.when(end > 0, F.slice(body, F.lit(1), (end - 1).cast("int"))).otherwise(body)
+    def until_closing(marks: Column) -> Column:
+        body = let(
+            position(marks, "closing"), lambda at: F.when(at > 0, F.slice(marks, F.lit(1), at - 1)).otherwise(marks)
+        )
+        return F.transform(F.filter(body, lambda m: ~m["header"]), lambda m: item(m["line"]))
 
     def item(line: Column) -> Column:
         captured = F.regexp_extract_all(line, F.lit(regex(P.ITEM_NUMBER, False)), F.lit(1))
@@ -129,7 +131,8 @@ def line_items(lines: Column) -> Column:
             ),
         )
 
-    return F.array_compact(F.transform(let(lines, section), item)).cast(ITEM_ARRAY)
+    items = F.array_compact(let(F.transform(lines, marked), section)).cast(ITEM_ARRAY)
+    return F.coalesce(items, F.array().cast(ITEM_ARRAY))
 
 
 def extract_basic(

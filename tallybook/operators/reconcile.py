@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.pycompat import exceeds, let, py_fixed, py_float_text, pystrip
+from tallybook.functions.pycompat import exceeds, let, py_float_text, py_one_decimal, pystrip
 from tallybook.functions.similarity import similarities
 from tallybook.operators.stats import extracted_fields
 
@@ -119,7 +119,7 @@ def _compare_text(entry: Column, ratio: Column) -> Column:
     differs = similarity <= MIN_SIMILARITY
     reason = F.concat(
         F.when(differs, "Different values (similarity=").otherwise("Similar values (similarity="),
-        py_fixed(similarity * 100, 1),
+        py_one_decimal(similarity * 100),
         F.when(differs, "%), using Google").otherwise("%), preferring Google"),
     )
     left, right = entry["left"], entry["right"]
@@ -146,7 +146,7 @@ def _compare_amount(entry: Column) -> Column:
             F.lit(", PDF="),
             shown["left"],
             F.lit(", diff="),
-            py_fixed(difference, 1),
+            py_one_decimal(difference),
             F.lit("%)"),
         )
         return _compared(
@@ -286,9 +286,9 @@ def merge_sources(
 
     note = F.concat(
         F.lit("Quality Score: "),
-        py_fixed(F.col("quality_score"), 1),
+        py_one_decimal(F.col("quality_score")),
         F.lit("% (Completeness="),
-        py_fixed(F.col("_completeness"), 1),
+        py_one_decimal(F.col("_completeness")),
         F.lit("%, Mismatches="),
         F.col("mismatch_count").cast("string"),
         F.lit(")"),

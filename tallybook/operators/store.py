@@ -98,17 +98,20 @@ def delete_invoices(
 
 def file_lookup(df: DataFrame, files: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:
     """File of each requested invoice, or why there is none."""
-    stored = df.select(key, F.col("file_id"), F.lit(True).alias("_invoice"))
-    kept = files.select("file_id", F.lit(True).alias("_file"), *[c for c in files.columns if c != "file_id"])
+    stored = df.select(key, "file_id", F.lit(True).alias("_invoice"))
+    # Invoices without a file get a join key of their own, so that they do not meet in one task.
+    own_key = F.concat(F.lit("none-"), F.col(key).cast("string"))
+    wanted = ids.select(key).join(stored, key, "left").withColumn(
+        "_file_key", F.coalesce(F.concat(F.lit("file-"), F.col("file_id").cast("string")), own_key)
+    )
+    others = [c for c in files.columns if c != "file_id"]
+    kept = files.select(
+        F.concat(F.lit("file-"), F.col("file_id").cast("string")).alias("_file_key"), F.lit(True).alias("_file"), *others
+    )
     status = (
         F.when(F.col("_invoice").isNull(), "Invoice not found")
         .when(F.col("file_id").isNull(), "No file associated with this invoice")
         .when(F.col("_file").isNull(), "File not found")
         .otherwise("ok")
     )
-    return (
-        ids.select(key)
-        .join(stored, key, "left")
-        .join(kept, "file_id", "left")
-        .select(key, "file_id", status.alias("status"), *[c for c in files.columns if c != "file_id"])
-    )
+    return wanted.join(kept, "_file_key", "left").select(key, "file_id", status.alias("status"), *others)

@@ -371,7 +371,7 @@ def _samples(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape == 6, F.lit(""))
         .otherwise(F.concat(F.lit("1,"), amount))
     )
-    return spread(table(spark, folder, "orders"), "o_orderkey").select(
+    return spread(table(spark, folder, "orders")).select(
         key.alias("invoice_id"), date.alias("date"), figure.alias("amount"), F.col("o_orderpriority").alias("priority")
     )
 

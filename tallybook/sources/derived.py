@@ -128,7 +128,7 @@ def invoices_from_orders(orders: DataFrame, spark: SparkSession, folder: str) ->
 
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
     """one invoice per order, with seeded defects."""
-    return invoices_from_orders(spread(table(spark, folder, "orders"), "o_orderkey"), spark, folder)
+    return invoices_from_orders(spread(table(spark, folder, "orders")), spark, folder)
 
 
 def _money(c: Column) -> Column:
@@ -374,7 +374,7 @@ def item_sheets(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     total = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     german = F.col("l_linenumber") % 2 == 0
-    joined = table(spark, folder, "lineitem").join(
+    joined = spread(table(spark, folder, "lineitem")).join(
         table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice"),
         F.col("p_partkey") == F.col("l_partkey"),
     )
