@@ -118,9 +118,9 @@ PAYMENT_TERMS = [
     (r"Zahlbar\s+bis\s*:?\s*([^\n]+)", 1),
 ]
 
-ITEM_HEADER_NAME = r"description|item|product|service|beschreibung|artikel|position|posten"
-ITEM_HEADER_VALUE = r"qty|quantity|price|amount|total|menge|preis|betrag|summe"
-ITEM_SECTION_END = r"subtotal|total|tax|payment|zwischensumme|gesamt|steuer|zahlung"
+ITEM_HEADER_NAMES = ["description", "item", "product", "service", "beschreibung", "artikel", "position", "posten"]
+ITEM_HEADER_VALUES = ["qty", "quantity", "price", "amount", "total", "menge", "preis", "betrag", "summe"]
+ITEM_SECTION_ENDS = ["subtotal", "total", "tax", "payment", "zwischensumme", "gesamt", "steuer", "zahlung"]
 ITEM_NUMBER = r"([\d,]+\.?\d*)"
 ITEM_DESCRIPTION = r"^([A-Za-zÄÖÜäöüß\s\(\)\.\-]+)"
 

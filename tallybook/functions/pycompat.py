@@ -78,12 +78,16 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(regex(pattern, ignore_case))
 
 
+def fold(text: Column) -> Column:
+    """Lower case, with the two letters that case-insensitive patterns also match as ``i`` and ``s``."""
+    return F.translate(F.lower(text), "ıſ", "is")
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Whether the lower-cased text contains any of the lower-case words."""
-    lowered = F.lower(text)
-    found = lowered.contains(words[0])
+    """Whether the text contains any of the words."""
+    found = text.contains(words[0])
     for word in words[1:]:
-        found = found | lowered.contains(word)
+        found = found | text.contains(word)
     return found
 
 

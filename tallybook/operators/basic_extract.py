@@ -16,7 +16,7 @@ from tallybook.functions.normalize import (
     parse_amount_normalized,
     plain_number,
 )
-from tallybook.functions.pycompat import capture, contains_any, first_capture, let, matches, pystrip, regex
+from tallybook.functions.pycompat import capture, contains_any, first_capture, fold, let, matches, pystrip, regex
 
 ITEM_ARRAY = "array<struct<description:string,quantity:double,price:double,total:double>>"
 
@@ -29,14 +29,19 @@ def invoice_number(text: Column) -> Column:
     return pystrip(first_capture(text, P.INVOICE_NUMBER))
 
 
+def first_usable(lines: Column, shortest: int, longest: int | None, stop_words: list[str]) -> Column:
+    """The first of the first ten lines with a usable length and without a stop word."""
+
+    def usable(line: Column) -> Column:
+        long_enough = F.length(line) >= shortest
+        fits = long_enough if longest is None else long_enough & (F.length(line) <= longest)
+        return fits & let(F.lower(line), lambda lowered: ~contains_any(lowered, stop_words))
+
+    return F.get(F.filter(F.transform(F.slice(lines, 1, 10), pystrip), usable), F.lit(0))
+
+
 def vendor_name(lines: Column) -> Column:
-    """The first of the first ten lines that has 3 to 99 characters and no stop word."""
-    stripped = F.transform(F.slice(lines, 1, 10), pystrip)
-    usable = F.filter(
-        stripped,
-        lambda line: F.length(line).between(3, 99) & ~contains_any(line, P.VENDOR_STOP_WORDS),
-    )
-    return F.get(usable, F.lit(0))
+    return first_usable(lines, 3, 99, P.VENDOR_STOP_WORDS)
 
 
 def buyer_name(text: Column) -> Column:
@@ -95,9 +100,12 @@ def line_items(lines: Column) -> Column:
     """
 
     def marked(line: Column) -> Column:
-        header = matches(line, P.ITEM_HEADER_NAME) & matches(line, P.ITEM_HEADER_VALUE)
-        closing = matches(line, P.ITEM_SECTION_END)
-        return F.struct(line.alias("line"), header.alias("header"), (~header & closing).alias("closing"))
+        return let(fold(line), lambda folded: marks_of(line, folded))
+
+    def marks_of(line: Column, folded: Column) -> Column:
+        header = contains_any(folded, P.ITEM_HEADER_NAMES) & contains_any(folded, P.ITEM_HEADER_VALUES)
+        closing = contains_any(folded, P.ITEM_SECTION_ENDS) & ~header
+        return F.struct(line.alias("line"), header.alias("header"), closing.alias("closing"))
 
     def position(marks: Column, name: str) -> Column:
         return F.array_position(F.transform(marks, lambda m: m[name]), True).cast("int")

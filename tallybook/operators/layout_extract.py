@@ -23,7 +23,7 @@ from tallybook.functions.pycompat import (
     truthy_number,
     truthy_text,
 )
-from tallybook.operators.basic_extract import lines_of
+from tallybook.operators.basic_extract import first_usable, lines_of
 from tallybook.schema import AMOUNT_FIELDS, INVOICE_FIELDS
 
 # Confidence per source and, for captures, per field.
@@ -58,7 +58,7 @@ def vendor_from_words(words: DataFrame, key: str = "invoice_id") -> DataFrame:
         F.col("rank") <= FIRST_WORDS
     )
     word = pystrip(F.col("text"))
-    usable = (F.length(word) > 3) & ~contains_any(word, P.LAYOUT_VENDOR_STOP_WORDS)
+    usable = (F.length(word) > 3) & ~contains_any(F.lower(word), P.LAYOUT_VENDOR_STOP_WORDS)
     return first.filter(usable).groupBy(key).agg(F.min_by(word, F.col("ord")).alias("vendor_word"))
 
 
@@ -90,13 +90,7 @@ def amount_layout(text: Column, patterns: list[str]) -> Column:
 
 
 def fallback_vendor(text: Column) -> Column:
-    """The first of the first ten lines longer than three characters without a stop word."""
-    stripped = F.transform(F.slice(lines_of(text), 1, 10), pystrip)
-    usable = F.filter(
-        stripped,
-        lambda line: (F.length(line) > 3) & ~contains_any(line, P.FALLBACK_VENDOR_STOP_WORDS),
-    )
-    return F.get(usable, F.lit(0))
+    return first_usable(lines_of(text), 4, None, P.FALLBACK_VENDOR_STOP_WORDS)
 
 
 def fallback_buyer(text: Column) -> Column:

@@ -313,4 +313,4 @@ def merge_sources(
 
 def field_comparisons(merged: DataFrame, key: str = "invoice_id") -> DataFrame:
     """The comparisons of merged invoices as one row per invoice and field."""
-    return merged.select(key, F.inline("field_comparisons"))
+    return merged.select(key, F.inline_outer("field_comparisons"))

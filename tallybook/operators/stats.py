@@ -47,7 +47,9 @@ def validation_summary(df: DataFrame) -> DataFrame:
 
 def error_counts(df: DataFrame) -> DataFrame:
     """How often each error message occurs."""
-    return df.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form keeps the planner from evaluating the list a second time as a filter.
+    errors = df.select(F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
+    return errors.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def load_summary(df: DataFrame) -> DataFrame:

@@ -275,7 +275,9 @@ def rule_hits(
         )
         for r in rules
     ]
-    return flagged.select(key, F.inline(F.array_compact(F.array(*hits))))
+    # The outer form keeps the planner from evaluating all rules a second time as a filter.
+    rows = flagged.select(key, F.inline_outer(F.array_compact(F.array(*hits))))
+    return rows.filter(F.col("rule").isNotNull())
 
 
 def score_band(score: Column) -> Column:

@@ -539,12 +539,12 @@ sh as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('Delivery 1
   case when l_linenumber%2=0 then 'Zwischensumme ' else 'Subtotal ' end, e, chr(10), p_name, ' 1 2 3', chr(10)) t
   from (select *, cast(cast(l_quantity as int) as varchar) q, cast(cast(l_extendedprice as decimal(18,2)) as varchar) e
     from lineitem) join part on p_partkey=l_partkey)"""
-HDR = f"(regexp_matches(l, '(?i){P.ITEM_HEADER_NAME}') and regexp_matches(l, '(?i){P.ITEM_HEADER_VALUE}'))"
+HDR = f"(regexp_matches(l, '(?i){words_pattern(P.ITEM_HEADER_NAMES)}') and regexp_matches(l, '(?i){words_pattern(P.ITEM_HEADER_VALUES)}'))"
 ORACLE["x_items"] = f"""with {SHEETS},
   a as (select *, string_split(t, {NL}) ls from sh),
   h as (select *, list_position(list_transform(ls, lambda l: {HDR}), true) hat from a),
   bd as (select *, list_filter(ls[hat+1:], lambda l: not {HDR}) body from h where hat > 0),
-  st as (select *, coalesce(list_position(list_transform(body, lambda l: regexp_matches(l, '(?i){P.ITEM_SECTION_END}')), true), 0) sat from bd),
+  st as (select *, coalesce(list_position(list_transform(body, lambda l: regexp_matches(l, '(?i){words_pattern(P.ITEM_SECTION_ENDS)}')), true), 0) sat from bd),
   l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(case when sat>0 then body[1:sat-1] else body end) l from st),
   nm as (select *, list_transform(regexp_extract_all(l, '{P.ITEM_NUMBER}', 1), lambda x: try_cast(regexp_replace(x, '[,.]', '', 'g') as double)) ns,
     regexp_extract(l, '{P.ITEM_DESCRIPTION}', 1) dsc from l)
