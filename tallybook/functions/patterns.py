@@ -32,10 +32,25 @@ BUYER_ADDRESS = [
     r"Rechnungsempfänger\s*:?\s*\n((?:[^\n]+\n){1,4})",
 ]
 
-# A street line has a number with one of these words somewhere after it.
-STREET_WORDS = (
-    "street|st|avenue|ave|road|rd|drive|dr|lane|ln|way|straße|strasse|weg|platz|allee"
-)
+# A street line has a digit and one of these words somewhere after it.
+STREET_WORDS = [
+    "street",
+    "st",
+    "avenue",
+    "ave",
+    "road",
+    "rd",
+    "drive",
+    "dr",
+    "lane",
+    "ln",
+    "way",
+    "straße",
+    "strasse",
+    "weg",
+    "platz",
+    "allee",
+]
 ZIP_LINE = r"\d{5}(?:-\d{4})?"
 
 INVOICE_DATE_LINE = [

@@ -80,7 +80,9 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, with the two letters that case-insensitive patterns also match as ``i`` and ``s``."""
-    return F.translate(F.lower(text), "ıſ", "is")
+    lowered = F.lower(text)
+    special = text.contains("ı") | text.contains("ſ")
+    return F.when(special, F.translate(lowered, "ıſ", "is")).otherwise(lowered)
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

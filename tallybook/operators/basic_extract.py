@@ -54,15 +54,16 @@ def buyer_address(text: Column) -> Column:
 
 def vendor_address(lines: Column) -> Column:
     """Street lines among the first 15, up to and including the first line that is only a ZIP line."""
-    # Anchored at the first digit, which decides as much as any later digit and never rescans.
-    street = rf"^\D*\d.*?(?:{P.STREET_WORDS})"
 
     def marked(line: Column) -> Column:
-        return F.struct(
-            line.alias("line"),
-            matches(line, street).alias("street"),
-            matches(line, P.ZIP_LINE, ignore_case=False).alias("zip"),
-        )
+        # Nothing before the first digit matters to either kind of line.
+        return let(F.regexp_replace(line, r"(?U)^\D+", ""), lambda rest: marks_of(line, rest))
+
+    def marks_of(line: Column, rest: Column) -> Column:
+        has_digit = rest != ""
+        street = has_digit & let(fold(rest), lambda folded: contains_any(folded, P.STREET_WORDS))
+        zip_code = has_digit & matches(rest, P.ZIP_LINE, ignore_case=False)
+        return F.struct(line.alias("line"), street.alias("street"), zip_code.alias("zip"))
 
     def collect(marks: Column) -> Column:
         zip_at = F.array_position(F.transform(marks, lambda m: m["zip"] & ~m["street"]), True)
@@ -92,7 +93,7 @@ def payment_terms(text: Column) -> Column:
     return pystrip(first_capture(text, [p for p, _ in P.PAYMENT_TERMS], [g for _, g in P.PAYMENT_TERMS]))
 
 
-def line_items(lines: Column) -> Column:
+def line_items(text: Column, lines: Column | None = None) -> Column:
     """Items of the section between the first header line and the next closing line.
 
     A header line names both an item and a value column and is never an item. An item line has
@@ -139,8 +140,12 @@ def line_items(lines: Column) -> Column:
             ),
         )
 
+    lines = lines_of(text) if lines is None else lines
     items = F.array_compact(let(F.transform(lines, marked), section)).cast(ITEM_ARRAY)
-    return F.coalesce(items, F.array().cast(ITEM_ARRAY))
+    # A text without the words of a header line has no section, and its lines need no reading.
+    folded = fold(text)
+    headed = contains_any(folded, P.ITEM_HEADER_NAMES) & contains_any(folded, P.ITEM_HEADER_VALUES)
+    return F.coalesce(F.when(headed, items), F.array().cast(ITEM_ARRAY))
 
 
 def extract_basic(
@@ -169,7 +174,7 @@ def extract_basic(
                 "subtotal": amount(body, P.SUBTOTAL, amounts),
                 "tax_amount": amount(body, P.TAX_AMOUNT, amounts),
                 "payment_terms": payment_terms(body),
-                "line_items": line_items(lines),
+                "line_items": line_items(body, lines),
             }
         )
         .drop("_lines")

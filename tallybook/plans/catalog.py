@@ -509,7 +509,7 @@ def x_terms(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def x_items(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    sheets = D.item_sheets(spark, folder).withColumn("item", F.explode(X.line_items(X.lines_of(F.col("text")))))
+    sheets = D.item_sheets(spark, folder).withColumn("item", F.explode(X.line_items(F.col("text"))))
     return sheets.select(*keys, "item.description", "item.quantity", "item.price", "item.total")
 
 
@@ -796,7 +796,7 @@ def rt_pick_explicit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def rt_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+def rt_documents(spark: SparkSession, folder: str) -> DataFrame:
     texts = D.texts(spark, folder).withColumnRenamed("invoice_id", "file_id")
     processed = process_documents(D.files(spark, folder), texts, AS_OF)
     return processed.select(

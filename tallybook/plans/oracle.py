@@ -515,7 +515,7 @@ ORACLE["x_number"] = f"with {TXT} select invoice_id, {X_NUMBER} invoice_number f
 ORACLE["x_vendor"] = f"with {TXT} select invoice_id, {X_VENDOR} vendor_name from txt"
 ORACLE["x_vendor_documents"] = f"select doc_id, {first_line('text', P.VENDOR_STOP_WORDS, 2, 100)} vendor_name from documents"
 ORACLE["x_buyer"] = f"with {TXT} select invoice_id, {X_BUYER} buyer_name from txt"
-STREET = f"regexp_matches(l, '(?i)\\d+.*(?:{P.STREET_WORDS})')"
+STREET = f"regexp_matches(l, '(?i)\\d+.*(?:{words_pattern(P.STREET_WORDS)})')"
 ZIP = f"regexp_matches(l, '{P.ZIP_LINE}')"
 ORACLE["x_vendor_addr"] = f"""with {TXT}, ln as (select invoice_id, string_split(t, {NL})[1:15] ls from txt),
   z as (select *, coalesce(list_position(list_transform(ls, lambda l: {ZIP} and not {STREET}), true), 0) zip_at from ln),
@@ -788,7 +788,7 @@ ORACLE["rt_pick_explicit"] = f"""with {INV} select invoice_id,
   case when invoice_id%4<>0 then 90.0::double else 0.0 end confidence,
   case when invoice_id%4=0 then 'Selected extraction failed' end error,
   case when invoice_id%4<>0 then 'gemini_extraction' else 'pdf_extractor' end as method from inv"""
-ORACLE["rt_pipeline"] = f"""with {TXT}, {EXTRACTED}, {rules('ext')}, {GATED},
+ORACLE["rt_documents"] = f"""with {TXT}, {EXTRACTED}, {rules('ext')}, {GATED},
   j as (select g.*, g.error is null and file_type='pdf' readable, v.invoice_number, v.vendor_name, v.total_amount, v.is_valid v_ok, v.score v_score,
     v.errors from gated g left join val v on v.invoice_id=g.file_id)
   select file_id, file_type, error is null success, error, case when readable then invoice_number end invoice_number,

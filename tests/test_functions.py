@@ -257,5 +257,5 @@ def test_line_items(column):
         "",
         "Item Price",
     ]
-    got = column(texts, lambda c: X.line_items(X.lines_of(c)))
+    got = column(texts, X.line_items)
     assert [[tuple(i) for i in items] for items in got] == [expected_items(t) for t in texts]
