@@ -760,7 +760,7 @@ def m_final(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# ---- routing and pipeline -----------------------------------------------------------------------
+# ---- routing and documents ----------------------------------------------------------------------
 
 
 @query

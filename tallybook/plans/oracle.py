@@ -771,7 +771,7 @@ ORACLE["m_final"] = f"""with {MERGED} select invoice_id, nullif(invoice_number,'
   coalesce(r_buyer, buyer_name) buyer_name, due_date, currency, subtotal,
   case when r_items>0 then r_items when item_count>0 then item_count end item_count from pair"""
 
-# Routing and pipeline
+# Routing and documents
 _best = "case when k%2=0 then 'google_document_ai' when k%3=0 then 'gemini_extraction' else 'pdf_extractor' end"
 _asked = f"case k%5 when 0 then {_best} when 1 then 'google_document_ai' when 2 then 'gemini_extraction' when 3 then 'pdf_extractor' else %s end"
 ORACLE["rt_method"] = f"""select k invoice_id, {_asked.replace('%s', "'pdf_extractor'")} service_method, {_asked.replace('%s', _best)} batch_method
