@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, shards, url_rules
+from . import ngram_join, quality, shards, url_rules
 from .common import table
 
 URL_RULES = [
@@ -18,6 +18,10 @@ SHARDS = 16
 QUALITY_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).select(*QUALITY_COLUMNS)
 
@@ -32,13 +36,31 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op7_sharding)}
 
 LISTS = ", ".join(
     f"('{lang}', {i}, '{word}')" for lang, words in quality.COMMON_WORDS.items() for i, word in enumerate(words)
 )
 
 ORACLE = {
+    "op1_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g
+  from w, unnest(range(1, greatest(len(ws) - 3, 2))) as x(i) where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select a.doc_id as a, b.doc_id as b from s a join s b using (g) join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach(doc_id, c) as (
+  select doc_id, doc_id from documents union select links.b, reach.c from reach join links on links.a = reach.doc_id
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id
+from documents d left join n using (doc_id) left join (select doc_id, min(c) as c from reach group by doc_id) r using (doc_id)
+""",
     "op2_quality_rules": rf"""
 with d as (
   select doc_id, case when lang in ('en', 'de', 'es', 'fr') then lang else '' end as lang, coalesce(text, '') as t
