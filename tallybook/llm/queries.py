@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, quality, shards, url_rules
+from . import ngram_join, quality, shards, substrings, url_rules
 from .common import table
 
 URL_RULES = [
@@ -31,13 +32,19 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op7_sharding)}
 
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LISTS = ", ".join(
     f"('{lang}', {i}, '{word}')" for lang, words in quality.COMMON_WORDS.items() for i, word in enumerate(words)
 )
@@ -123,6 +130,24 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   not base_failed and coalesce(c.js <= {quality.MAX_CLASS_DISTANCE} + 2 * sqrt({len(quality.CLASSES) - 1} / (8 * ln(2)) / c.size), true)
     and coalesce(v.js <= {quality.MAX_WORD_DISTANCE} + 1.25 * sqrt({quality.BINS} / (8 * ln(2)) / v.size), true) as kept
 from f left join class_js c using (doc_id) left join word_js v using (doc_id)
+""",
+    "op5_substring_dedup": rf"""
+with w as (
+  select doc_id, {WORDS} as ws from documents
+), win as (
+  select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s from w, unnest(range(1, len(ws) - 33)) as x(i)
+), twice as (
+  select doc_id, i from (select *, count(*) over (partition by s) as c from win) where c > 1
+), gone as (
+  select distinct doc_id, i + k as j from twice, unnest(range(0, 35)) as y(k)
+), kept as (
+  select doc_id, j, ws[j] as x from w, unnest(range(1, len(ws) + 1)) as z(j)
+  where (doc_id, j) not in (select doc_id, j from gone)
+), texts as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by j) as t from kept group by doc_id
+)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join texts using (doc_id)
 """,
     "op3_url_filters": r"""
 with parsed as (
