@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality, shards, substrings, url_rules
+from . import lines, ngram_join, quality, shards, substrings, url_rules
 from .common import table
 
 URL_RULES = [
@@ -37,14 +37,25 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", url_rules.host_of(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("lines")
+    )
+    digest = F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256")
+    return lines.drop_boilerplate(pages).select("page_id", "host", "n_lines", "n_dropped", digest)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
+  regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') else '' end"""
 LISTS = ", ".join(
     f"('{lang}', {i}, '{word}')" for lang, words in quality.COMMON_WORDS.items() for i, word in enumerate(words)
 )
@@ -148,6 +159,25 @@ with w as (
 )
 select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from w left join texts using (doc_id)
+""",
+    "op6_line_dedup": rf"""
+with texts as (
+  select page_id, {HOST} as host, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+    '{lines.HIDDEN}', chr(10), 'g'), '{lines.BLOCKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g') as t from pages
+), p as (
+  select page_id, host, list_filter(list_transform(string_split_regex(t, '[\n\r]+'), lambda x: trim(x, ' ' || chr(9))),
+    lambda x: x <> '') as lines from texts
+), counts as (
+  select host, line, count(*) as n from (select host, unnest(list_distinct(lines)) as line from p where host <> '') group by all
+), frequent as (
+  select host, list(line) as frequent from counts join (select host, count(*) as total from p group by host) using (host)
+  where n >= {lines.MIN_PAGES} and n > {lines.MAX_RATIO} * total group by host
+), k as (
+  select page_id, host, lines, list_filter(lines, lambda x: not coalesce(list_contains(frequent, x), false)) as kept
+  from p left join frequent using (host)
+)
+select page_id, host, len(lines) as n_lines, len(lines) - len(kept) as n_dropped,
+  sha256(coalesce(array_to_string(kept, chr(10)), '')) as kept_sha256 from k
 """,
     "op3_url_filters": r"""
 with parsed as (
