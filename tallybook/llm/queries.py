@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, ngram_join, quality, shards, substrings, url_rules
+from . import decontaminate, lines, ngram_join, quality, shards, substrings, url_rules
 from .common import table
 
 URL_RULES = [
@@ -50,7 +50,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding, op10_benchmark_decontamination)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
@@ -178,6 +183,44 @@ with texts as (
 )
 select page_id, host, len(lines) as n_lines, len(lines) - len(kept) as n_dropped,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) as kept_sha256 from k
+""",
+    "op10_benchmark_decontamination": r"""
+with i as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark
+), d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), ig as (
+  select item_id, array_to_string(ws[k:k + 4], ' ') as g, count(*) as n
+  from i, unnest(range(1, greatest(len(ws) - 3, 2))) as x(k) where len(ws) > 0 group by all
+), weight as (
+  select g, 1 + floor(log2((select count(*) from i where len(ws) > 0) / count(*))) as w from ig group by g
+), heavy as (
+  select 1 + floor(log2(count(*))) as w from i where len(ws) > 0
+), dg as (
+  select doc_id, len(ws) as n, k, array_to_string(ws[k:k + 4], ' ') as g
+  from d, unnest(range(1, greatest(len(ws) - 3, 2))) as x(k) where len(ws) > 0
+), near as (
+  select distinct doc_id, item_id, n, len(i.ws) as m, s
+  from dg join ig using (g) join i using (item_id),
+    unnest(range(greatest(1, k - greatest(len(i.ws) - 5, 0)), greatest(1, least(k, n - len(i.ws) + 1)) + 1)) as x(s)
+), wg as (
+  select doc_id, item_id, s, g, count(*) as n from (
+    select doc_id, item_id, s, array_to_string(ws[k:least(k + 4, s + m - 1)], ' ') as g
+    from near join d using (doc_id), unnest(range(s, greatest(least(s + m, n + 1) - 4, s + 1))) as x(k)) group by all
+), paired as (
+  select coalesce(wg.doc_id, e.doc_id) as doc_id, coalesce(wg.item_id, e.item_id) as item_id, coalesce(wg.s, e.s) as s,
+    coalesce(wg.g, e.g) as g, coalesce(wg.n, 0) as a, coalesce(e.n, 0) as b
+  from wg full join (select doc_id, item_id, s, g, ig.n from near join ig using (item_id)) e
+    on wg.doc_id = e.doc_id and wg.item_id = e.item_id and wg.s = e.s and wg.g = e.g
+), scored as (
+  select doc_id, item_id, s, sum(coalesce(weight.w, heavy.w) * least(a, b)) as common, sum(coalesce(weight.w, heavy.w) * greatest(a, b)) as united
+  from paired left join weight using (g) cross join heavy group by all
+)
+select doc_id, item_id, cast(s - 1 as integer) as start, round(common / united, 6) as similarity from (
+  select *, row_number() over (partition by doc_id, item_id order by common / united desc, s) as r
+  from scored where 100 * common >= 75 * united) where r = 1
 """,
     "op3_url_filters": r"""
 with parsed as (
