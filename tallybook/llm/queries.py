@@ -202,17 +202,17 @@ with i as (
   select doc_id, len(ws) as n, k, array_to_string(ws[k:k + 4], ' ') as g
   from d, unnest(range(1, greatest(len(ws) - 3, 2))) as x(k) where len(ws) > 0
 ), near as (
-  select distinct doc_id, item_id, n, len(i.ws) as m, s
+  select distinct doc_id, item_id, dg.n as n, len(i.ws) as m, s
   from dg join ig using (g) join i using (item_id),
-    unnest(range(greatest(1, k - greatest(len(i.ws) - 5, 0)), greatest(1, least(k, n - len(i.ws) + 1)) + 1)) as x(s)
+    unnest(range(greatest(1, k - greatest(len(i.ws) - 5, 0)), greatest(1, least(k, dg.n - len(i.ws) + 1)) + 1)) as x(s)
 ), wg as (
   select doc_id, item_id, s, g, count(*) as n from (
     select doc_id, item_id, s, array_to_string(ws[k:least(k + 4, s + m - 1)], ' ') as g
-    from near join d using (doc_id), unnest(range(s, greatest(least(s + m, n + 1) - 4, s + 1))) as x(k)) group by all
+    from near join d using (doc_id), unnest(range(s, greatest(least(s + m, near.n + 1) - 4, s + 1))) as x(k)) group by all
 ), paired as (
   select coalesce(wg.doc_id, e.doc_id) as doc_id, coalesce(wg.item_id, e.item_id) as item_id, coalesce(wg.s, e.s) as s,
     coalesce(wg.g, e.g) as g, coalesce(wg.n, 0) as a, coalesce(e.n, 0) as b
-  from wg full join (select doc_id, item_id, s, g, ig.n from near join ig using (item_id)) e
+  from wg full join (select doc_id, item_id, s, g, ig.n as n from near join ig using (item_id)) e
     on wg.doc_id = e.doc_id and wg.item_id = e.item_id and wg.s = e.s and wg.g = e.g
 ), scored as (
   select doc_id, item_id, s, sum(coalesce(weight.w, heavy.w) * least(a, b)) as common, sum(coalesce(weight.w, heavy.w) * greatest(a, b)) as united
