@@ -5,8 +5,8 @@ their eight bytes, each with all bytes one bit away: two fingerprints that diffe
 fewer agree in some byte up to one bit, so the index finds every window within the radius. Of what it finds,
 the distance is checked, then the weighted similarity of the shingles decides.
 
-Windows that share no shingle with any item have similarity 0 whatever their fingerprint; their
-fingerprints are not computed.
+A window that shares no shingle with an item of its size has similarity 0 with all of them, whatever its
+fingerprint, so that is not computed.
 """
 
 from __future__ import annotations
@@ -66,14 +66,15 @@ class ItemIndex:
         #: A shingle weighs 1 and the whole part of log2(items / items with it) more.
         self.weights = {s: 1 + int(math.log2(len(items) / n)) for s, n in seen.items()}
         self.unseen = 1 + int(math.log2(max(1, len(items))))
-        self.anchors = {k: np.empty(0, _U) for k in range(1, words + 1)}
         sizes: dict[int, list[int]] = defaultdict(list)
-        anchors: dict[int, set] = defaultdict(set)
+        #: By shingle length, the shingles of items and the item sizes that each occurs in.
+        self.sizes_of: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for j, (_, own) in enumerate(items):
             sizes[len(own)].append(j)
-            anchors[min(len(own), words)].update(shares[j])
-        for k, found in anchors.items():
-            self.anchors[k] = np.sort(np.array(sorted(found), _U))
+            for s in shares[j]:
+                self.sizes_of[min(len(own), words)][s].add(len(own))
+        self.sizes_of = {k: dict(v) for k, v in self.sizes_of.items()}
+        self.anchors = {k: np.sort(np.array(list(v), _U)) for k, v in self.sizes_of.items()}
         self.ids = [i for i, _ in items]
         self.shares = shares
         self.sizes = {}
@@ -124,27 +125,37 @@ class ItemIndex:
         united += sum(self.weights[s] * n for s, n in own.items() if s not in found)
         return common, united
 
-    def matches(self, own: np.ndarray) -> list[tuple[int, int, float]]:
-        """``(item, first word, similarity)`` of the best window of each item that reaches the threshold."""
+    def documents(self, hashed: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list]]:
+        """``(document, matches)`` for those of a run of documents that have a match."""
+        ends = np.cumsum(counts)
+        spots: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+
+        def note(doc: int, place: int, width: int, shingle: int) -> None:
+            for size in self.sizes_of[width][shingle]:
+                spots[doc][size].append(place)
+
+        for width, known in self.anchors.items():
+            found, numbers = windows(hashed, counts, width)
+            at = np.searchsorted(known, found)
+            at[at == len(known)] = 0
+            hits = np.flatnonzero(known[at] == found)
+            last = np.cumsum(numbers)
+            for hit, doc in zip(hits.tolist(), np.searchsorted(last, hits, side="right").tolist(), strict=True):
+                note(doc, hit - int(last[doc] - numbers[doc]), width, int(found[hit]))
+        for doc, by_size in sorted(spots.items()):
+            matches = self.matches(hashed[ends[doc] - counts[doc] : ends[doc]], by_size)
+            if matches:
+                yield doc, matches
+
+    def matches(self, own: np.ndarray, spots: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+        """``(item, first word, similarity)`` of the best window of each item that reaches the threshold.
+
+        ``spots`` has, by item size, the places of shingles that an item of that size has too.
+        """
         n = len(own)
-        if not n:
-            return []
-        grams = self.shingles(own)
-        spots = {}
-        for k, known in self.anchors.items():
-            if len(known) and n >= k:
-                found = grams if k == self.words else windows(own, np.array([n]), k)[0]
-                at = np.searchsorted(known, found)
-                at[at == len(known)] = 0
-                spots[k] = np.flatnonzero(known[at] == found)
-        if n < self.words and len(self.anchors[n]) and np.isin(self.shingles(own), self.anchors[n]).any():
-            spots[n] = np.zeros(1, np.int64)
         best: dict[int, tuple[float, int]] = {}
-        for size in self.sizes:
-            width = min(size, self.words)
-            hits = spots.get(width)
-            if hits is None or not len(hits):
-                continue
+        for size, places in sorted(spots.items()):
+            width, hits = min(size, self.words), np.array(places)
             length = min(size, n)
             edge = np.zeros(n + 2, np.int32)
             np.add.at(edge, np.maximum(hits - (length - width), 0), 1)
@@ -172,12 +183,8 @@ def _lookup(index) -> object:
         for texts in batches:
             out: list = [[]] * len(texts)
             for row, counts, hashed in hashed_words(texts, lower=True):
-                at = 0
-                for k, n in enumerate(counts.tolist()):
-                    hits = items.matches(hashed[at : at + n])
-                    at += n
-                    if hits:
-                        out[row + k] = [dict(zip(("item_id", "start", "similarity"), h, strict=True)) for h in hits]
+                for doc, hits in items.documents(hashed, counts):
+                    out[row + doc] = [dict(zip(("item_id", "start", "similarity"), h, strict=True)) for h in hits]
             yield pa.array(out, kind)
 
     return found

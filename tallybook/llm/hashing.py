@@ -133,8 +133,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarr
         if n:
             out.append(np.unique(found[begin : begin + n]))
         elif c:
-            whole = np.append(hashes[word : word + c] * _STEPS[:c], np.array([c], _U) * _STEPS[255:])
-            out.append(mix(whole.sum(dtype=_U, keepdims=True)))
+            out.append(mix((hashes[word : word + c] * _STEPS[:c]).sum(dtype=_U, keepdims=True)))
         else:
             out.append(np.empty(0, _U))
     return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, ngram_join, quality, shards, substrings, url_rules
+from tallybook.session import shared_folder
+
+from . import decontaminate, lines, ngram_join, quality, shards, substrings, url_rules, warc
 from .common import table
 
 URL_RULES = [
@@ -50,12 +52,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.archive_index(pages, shared_folder(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding, op9_warc, op10_benchmark_decontamination)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
@@ -221,6 +229,20 @@ with i as (
 select doc_id, item_id, cast(s - 1 as integer) as start, round(common / united, 6) as similarity from (
   select *, row_number() over (partition by doc_id, item_id order by common / united desc, s) as r
   from scored where 100 * common >= 75 * united) where r = 1
+""",
+    "op9_warc": """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as x from pages
+), d as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(x, 10 * (i // 8) + 1, 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as integer) + 1, 1)), '') as payload_digest
+  from p
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as one from d
+)
+select page_id, payload_bytes, payload_digest, case when page_id = one then 'response' else 'revisit' end as record_type,
+  case when page_id <> one then one end as refers_to from f
 """,
     "op3_url_filters": r"""
 with parsed as (
