@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.session import shared_folder
 
-from . import decontaminate, lines, ngram_join, quality, shards, substrings, url_rules, warc
+from . import decontaminate, licenses, lines, ngram_join, quality, shards, substrings, url_rules, warc
 from .common import table
 
 URL_RULES = [
@@ -34,6 +34,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("containment", F.round("containment", 6))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -63,12 +68,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_line_dedup, op7_sharding, op9_warc, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op4_license_scans, op5_substring_dedup, op6_line_dedup, op7_sharding, op9_warc, op10_benchmark_decontamination)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
   regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz') else '' end"""
+TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
 LISTS = ", ".join(
     f"('{lang}', {i}, '{word}')" for lang, words in quality.COMMON_WORDS.items() for i, word in enumerate(words)
 )
@@ -243,6 +249,34 @@ with p as (
 )
 select page_id, payload_bytes, payload_digest, case when page_id = one then 'response' else 'revisit' end as record_type,
   case when page_id <> one then one end as refers_to from f
+""",
+    "op4_license_scans": rf"""
+with t as (
+  select license, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as ws
+  from (values {TEMPLATES}) as v(license, text)
+), tg as (
+  select distinct license, least(len(ws), 5) as k, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') as g
+  from t, unnest(range(1, greatest(len(ws) - 3, 2))) as x(i)
+), sized as (
+  select license, any_value(k) as k, count(*) as n from tg group by license
+), roomy as (
+  select license, k, n, (select min(c) from (values (1), (2), (3), (4), (6), (8), (12), (16), (24), (32), (48), (64), (96),
+    (128), (192), (256)) as r(c) where c >= n) as c from sized
+), d as (
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as ws
+  from documents
+), dg as (
+  select doc_id, k, i - 1 as p, array_to_string(ws[i:i + k - 1], ' ') as g
+  from d, (select distinct k from sized) as ks, unnest(range(1, len(ws) - k + 2)) as x(i)
+), hits as (
+  select distinct doc_id, license, c, n, p, g, greatest(1, c // 2) as s from dg join tg using (k, g) join roomy using (license)
+), held as (
+  select doc_id, license, n, w * s as start, count(distinct g) as held
+  from hits, unnest(range(greatest(0, (p - c) // s), p // s + 1)) as y(w)
+  where w * s <= p and p < w * s + c + s group by all
+)
+select doc_id, license, round(max(held / n), 6) as containment, cast(arg_max(start, (held / n, -start)) as integer) as start
+from held where 100 * held >= 75 * n group by doc_id, license
 """,
     "op3_url_filters": r"""
 with parsed as (
