@@ -8,11 +8,12 @@ longer prefix and asks for more matches, whichever its estimated cost makes chea
 1. One pass over the texts: size and digest of each document's set, and counts of all tokens in a fixed
    number of buckets. Documents with equal sets become one class with its smallest key.
 2. A second pass: every document's prefix tokens, dealt by token in packed blocks. Tokens of one class only go.
-3. Every class is compared with the best connected class (hub) among those that it shares most prefix tokens with.
-   Verified, it belongs to that hub, so a group of thousands of near copies needs one comparison each.
-4. Classes that share prefix tokens and do not have the same hub are paired, and a pair must pass the size filter,
-   the bound from unmatched tokens and the number of matches before its sets are compared.
-5. Connected components over the verified links.
+3. Every class is compared with one well connected class (hub) that it shares prefix tokens with. Those similar to
+   the same hub are one group already, so thousands of near copies need one comparison each.
+4. Other classes under the same hub are paired by the tokens in which they differ from it (``_pairs_by_difference``).
+5. Classes under different hubs are paired by prefix tokens. A pair must pass the size filter, the bound from
+   unmatched tokens and the number of matches before its sets are compared.
+6. Connected components over the verified links.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -57,6 +58,10 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(half[0]), int(half[1])
 
 
+def _bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+
+
 def _describe(words: int):
     """Rows of documents (``n, key, key2``; keys null for empty sets), then rows of bucket counts."""
     schema = pa.schema(
@@ -64,18 +69,22 @@ def _describe(words: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(BUCKETS, np.int64)
+        weights, held, size = np.zeros(BUCKETS, np.int64), [np.empty(0, _U)], 0
         for batch in batches:
-            rows, gathered = [], []
+            rows = []
             for doc, tokens in _sets(batch, words):
                 rows.append((doc, len(tokens), *(_digest(tokens) if len(tokens) and doc is not None else (None, None))))
-                gathered.append(tokens)
+                held.append(tokens)
+                size += len(tokens)
+                if size >= FLUSH:
+                    weights += _bucket_counts(held)
+                    held, size = [np.empty(0, _U)], 0
             if rows:
-                weights += np.bincount((np.concatenate(gathered) & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 columns = list(zip(*rows, strict=True))
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 nulls = pa.nulls(len(rows))
                 yield pa.RecordBatch.from_arrays([*arrays, nulls.cast(pa.int32()), nulls.cast(pa.int64())], schema=schema)
+        weights += _bucket_counts(held)
         used = np.flatnonzero(weights)
         nulls = pa.nulls(len(used)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -226,8 +235,11 @@ def _set_rows(words: int):
     return run
 
 
-def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``: keys) whose whole sets are similar; only their documents are read."""
+def _compared(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``pairs`` (``a``, ``b``: keys) with their whole sets ``x``, ``y`` and common tokens ``o``.
+
+    Only the documents of the pairs are read.
+    """
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = written(classes.join(keys, "key", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "compared")
     small = ids.count() <= MAX_BROADCAST_ROWS
@@ -235,14 +247,16 @@ def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     sets = written(chosen.mapInArrow(_set_rows(words), "key long, tokens array<long>"), "sets").dropDuplicates(["key"])
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
-    similar = 100 * F.col("o") >= percent * (F.size("x") + F.size("y") - F.col("o"))
-    return both.where(similar).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
+
+
+def _similar(o: Column, n: Column, k: Column, percent: int) -> Column:
+    return 100 * o >= percent * (n + k - o)
 
 
-def _least_overlap(n: str, k: str, percent: int):
+def _least_overlap(n: Column, k: Column, percent: int) -> Column:
     """The least common tokens of sets of ``n`` and ``k`` that are similar."""
-    return F.ceil(percent * (F.col(n) + F.col(k)) / F.lit(100 + percent))
+    return F.ceil(percent * (n + k) / F.lit(100 + percent)).cast("int")
 
 
 def similar_groups(
@@ -306,55 +320,98 @@ def _links(
     )
     postings = written(postings, "postings")
 
-    # Hubs: of each token the class with the fewest unshared prefix tokens; of each class the hub met most often.
-    rank = F.struct(-F.col("alone"), F.col("n"), -F.col("key"))
-    hubs = postings.groupBy("token").agg(
-        F.max_by(F.struct("key", "n", "matches", "lacks", "alone"), rank).alias("h")
-    )
+    # Hubs: of each token the class with the fewest unshared prefix tokens; of each class the hub that most
+    # classes meet. A hub met at few tokens would not be similar; leaving it out here loses nothing.
+    rank = F.struct(-F.col("alone"), -F.col("key"))
+    hubs = postings.groupBy("token").agg(F.max_by(F.struct("key", "n"), rank).alias("h"))
     met = (
         postings.join(hubs, "token")
-        .where("key <> h.key")
-        .groupBy("key", "n", "lacks", "matches", "h")
+        .where((F.col("key") != F.col("h.key")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
+        .groupBy("key", "lacks", F.col("h.key").alias("b"))
         .agg(F.count("*").alias("met"))
+        .where(4 * F.col("met") >= F.col("lacks"))
     )
+    met = written(met, "met")
     star = (
-        met.where(100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
-        .groupBy("key")
-        .agg(F.max_by(F.struct("h.key", "met"), F.struct(F.col("met"), -F.col("h.alone"), -F.col("h.key"))).alias("s"))
-        .select(F.col("key").alias("a"), F.col("s.key").alias("b"), F.col("s.met").alias("met"))
-        .where("a <> b")
+        met.join(met.groupBy("b").agg(F.count("*").alias("classes")), "b")
+        .groupBy(F.col("key").alias("a"))
+        .agg(F.max_by("b", F.struct("classes", "met", "b")).alias("b"))
     )
-    # A comparison of classes with few common tokens would fail; leaving it out here loses nothing.
-    own = classes.select(F.col("key").alias("a"), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("lacks"))
-    star = star.join(own, "a").where(F.col("met") * 4 >= F.col("lacks")).select("a", "b")
-    star_links = written(_linked(texts, classes, written(star, "star"), words, percent), "star-links")
-
-    # Classes under different hubs.
-    hub_of = star_links.select(F.col("a").alias("key"), F.col("b").alias("hub"))
-    tagged = written(
-        postings.join(hub_of, "key", "left").withColumn("hub", F.coalesce("hub", "key")).drop("alone"), "tagged"
+    star = written(_compared(texts, classes, written(star, "star"), words), "star-sets")
+    n, k, o = F.size("x"), F.size("y"), F.col("o")
+    star = star.select(
+        F.col("a").alias("key"), F.col("b").alias("hub"), n.alias("n"), k.alias("n_hub"), "o",
+        _similar(o, n, k, percent).alias("linked"),
+        F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("differs"),
+    )
+    star_links = star.where("linked").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = _pairs_by_difference(star, percent)
+    far = _pairs_by_prefix(postings, star.drop("differs", "n"), percent)
+    candidates = written(near.union(far).distinct(), "candidates")
+    found = _compared(texts, classes, candidates, words)
+    return star_links.union(found.where(_similar(F.col("o"), F.size("x"), F.size("y"), percent)).select("a", "b"))
+
+
+def _sides(rows: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, with all columns but those of the join named ``_a`` and ``_b``."""
+    named = [c for c in rows.columns if c not in on]
+    return tuple(rows.select(*on, *[F.col(c).alias(f"{c}_{side}") for c in named]) for side in "ab")
+
+
+def _needed(percent: int) -> Column:
+    """Tokens that the differences of two classes from one hub must share if the classes are similar.
+
+    With ``d`` the difference from hub ``h``, ``|a & b| = |h| - |h - a| - |h - b| + |d(a) & d(b)|``.
+    """
+    return _least_overlap(F.col("n_a"), F.col("n_b"), percent) + F.col("n_hub_a") - F.col("o_a") - F.col("o_b")
+
+
+def _pairs_by_difference(star: DataFrame, percent: int) -> DataFrame:
+    """Pairs under one hub, not both linked to it, that may be similar.
+
+    Near copies differ from their hub at places of their own, so their differences share little where the sets
+    share nearly everything: prefixes of the differences, rare tokens first, hardly ever meet.
+    """
+    rows = star.select("hub", "key", "n", "n_hub", "o", "linked", F.size("differs").alias("d"), F.explode("differs").alias("t"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("hub", "t")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("hub", "key").orderBy("df", "t")))
+    x, y = _sides(written(rows.where("df > 1").drop("df"), "differences"), "hub", "t")
+    needed = _needed(percent)
+    return (
+        x.join(y, ["hub", "t"])
+        .where(
+            (F.col("key_a") < F.col("key_b"))
+            & ~(F.col("linked_a") & F.col("linked_b"))
+            & (needed > 0)
+            & (F.col("place_a") <= F.col("d_a") - needed + 1)
+            & (F.col("place_b") <= F.col("d_b") - needed + 1)
+            & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        )
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .distinct()
     )
-    x = tagged.select("token", *[F.col(c).alias(f"{c}_a") for c in tagged.columns if c != "token"])
-    y = tagged.select("token", *[F.col(c).alias(f"{c}_b") for c in tagged.columns if c != "token"])
+
+
+def _pairs_by_prefix(postings: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """All other pairs that share enough prefix tokens to be similar."""
+    rows = postings.join(star, "key", "left").drop("alone")
+    x, y = _sides(written(rows, "tagged"), "token")
     fewer = F.least("matches_a", "matches_b")
-    overlap = _least_overlap("n_a", "n_b", percent)
-    met_pairs = x.join(y, "token").where(
+    overlap = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
+    by_difference = (F.col("hub_a") == F.col("hub_b")) & ((F.col("linked_a") & F.col("linked_b")) | (_needed(percent) > 0))
+    met = x.join(y, "token").where(
         (F.col("key_a") < F.col("key_b"))
-        & (F.col("hub_a") != F.col("hub_b"))
+        & ~F.coalesce(by_difference, F.lit(False))
         & (F.col("place_a") <= F.col("lacks_a") + fewer)
         & (F.col("place_b") <= F.col("lacks_b") + fewer)
         & (F.least("reach_a", "reach_b") >= overlap)
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     )
     rest = F.greatest(F.col("n_a") - F.col("lacks_a"), F.col("n_b") - F.col("lacks_b")) - F.col("fewer")
-    candidates = (
-        met_pairs.groupBy("key_a", "key_b")
-        .agg(
-            F.count("*").alias("met"), F.first(fewer).alias("fewer"),
-            *[F.first(c).alias(c) for c in ("n_a", "n_b", "lacks_a", "lacks_b")],
-        )
+    sizes = ("n_a", "n_b", "lacks_a", "lacks_b")
+    return (
+        met.groupBy("key_a", "key_b")
+        .agg(F.count("*").alias("met"), F.first(fewer).alias("fewer"), *[F.first(c).alias(c) for c in sizes])
         .where((F.col("met") >= F.col("fewer")) & (F.col("met") + rest >= overlap))
         .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    )
-    other_links = _linked(texts, classes, written(candidates, "candidates"), words, percent)
-    return star_links.union(other_links)
+    )
