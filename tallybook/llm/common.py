@@ -29,6 +29,12 @@ def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns``, but a later filter is not moved below them, where it would compute them over again."""
+    own = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return rows.select(*rows.columns, F.inline(F.array(own)))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 WORDS = 5
 PERCENT = 75
@@ -114,12 +114,6 @@ def _longs(values: list[int]) -> Column:
     return F.expr("array(" + ", ".join(f"bigint('{v}')" for v in values) + ")")
 
 
-def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """``withColumns``, but a later filter is not moved below them, where it would compute them over again."""
-    own = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return rows.select(*rows.columns, F.inline(F.array(own)))
-
-
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -138,7 +132,7 @@ def scan_licenses(
     spark = docs.sparkSession
     listed = template_table(spark, TEMPLATES if templates is None else templates) if templates != {} else []
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    rows = _settled(rows, h=F.transform(words(F.col("__text")), lambda w: F.xxhash64(w))).drop("__text")
+    rows = settled(rows, h=F.transform(words(F.col("__text")), lambda w: F.xxhash64(w))).drop("__text")
     found = [_scan_block(rows, block, percent) for block in _blocks(listed)]
     if not found:
         return rows.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start")).limit(0)
@@ -165,7 +159,7 @@ def _blocks(listed: list) -> list[list]:
 
 def _scan_block(rows: DataFrame, listed: list[tuple[str, int, list[int]]], percent: int) -> DataFrame:
     lengths = sorted({k for _, k, _ in listed})
-    cut = _settled(rows, **{f"s{k}": shingles(F.col("h"), k) for k in lengths}).drop("h")
+    cut = settled(rows, **{f"s{k}": shingles(F.col("h"), k) for k in lengths}).drop("h")
     known = {k: sorted({s for _, j, own in listed if j == k for s in own}) for k in lengths}
     touched = F.lit(False)
     for k in lengths:

@@ -297,6 +297,23 @@ def similar_groups(
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, but of each group only the one with the smallest key.
+
+    Keys are taken to name documents: of rows equal in key and text one stays. Rows with a null key and
+    texts without words are in no group and all stay.
+    """
+    grouped = written(similar_groups(docs, key, text), "groups")
+    gone = grouped.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(gone, key, "left_anti")
+    several = written(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "repeated-keys")
+    if several.isEmpty():
+        return kept
+    named = several.select(F.col("doc_id").alias(key))
+    once = kept.join(named, key, "left_semi").dropDuplicates([key, text])
+    return kept.join(named, key, "left_anti").union(once.select(*kept.columns)).select(*docs.columns)
+
+
 def _links(
     texts: DataFrame, classes: DataFrame, weights: np.ndarray, words: int, percent: int, parts: int
 ) -> DataFrame:

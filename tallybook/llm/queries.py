@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.session import shared_folder
 
-from . import decontaminate, licenses, lines, ngram_join, quality, shards, substrings, url_rules, warc
+from . import decontaminate, licenses, lines, mixing, ngram_join, quality, shards, substrings, url_rules, warc
 from .common import table
 
 URL_RULES = [
@@ -18,6 +18,7 @@ URL_RULES = [
     url_rules.rule("block", "net/fr/"),
 ]
 SHARDS = 16
+DOMAIN_WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 QUALITY_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
 
 
@@ -57,6 +58,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mixing_rates(documents, labels, DOMAIN_WEIGHTS)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = warc.archive_index(pages, shared_folder(spark, "warc"))
@@ -68,7 +74,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op4_license_scans, op5_substring_dedup, op6_line_dedup, op7_sharding, op9_warc, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op4_license_scans, op5_substring_dedup, op6_line_dedup, op7_sharding, op8_source_mixing, op9_warc, op10_benchmark_decontamination)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
