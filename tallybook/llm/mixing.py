@@ -24,6 +24,8 @@ MIN_DOCUMENTS = 5
 MIN_SHARE = 0.01
 #: A word of the vocabulary is so many times likelier in some domain than in all.
 MIN_LIFT = 4.0
+#: Half the G statistic of a word and the domains, in nats: beyond chance even among many words.
+MIN_INFORMATION = 10.0
 STEPS = 40
 #: Relative residual, of all domains together, at which the steps end.
 TOLERANCE = 0.002
@@ -139,6 +141,7 @@ def fit_classifier(
     lift = F.greatest(*[F.col(f"n{i}") * everything / (present * max(k, 1)) for i, k in enumerate(n)], F.lit(0.0))
     best = (
         counts.where((present >= max(MIN_DOCUMENTS, MIN_SHARE * everything)) & ((lift >= MIN_LIFT) | F.contains("word", F.lit(":")))).withColumn("information", information)
+        .where((F.col("information") >= MIN_INFORMATION) | F.contains("word", F.lit(":")))
         .orderBy(F.desc("information"), "word").limit(vocabulary).collect()
     )
     # Only features that are present count: a text in one language lacks the words of all others.
@@ -155,12 +158,15 @@ def _largest(matrix: list[list[float]]) -> float:
     return max(sum(row) for row in matrix)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], ceiling: float | None = None, steps: int = STEPS) -> tuple[Column, list[float]]:
+def fit_rates(
+    rows: DataFrame, targets: list[float], ceiling: float | None = None, fixed: Column | None = None, steps: int = STEPS
+) -> tuple[Column, list[float]]:
     """The rate of a row as an expression over ``tokens`` and ``p`` (posteriors), and the tokens it reaches.
 
     Least squares of ``sum(tokens * p * rate) - targets``, each domain divided by the root of its
     tokens, so that domains weigh alike and few steps do. A step is one aggregate over the rows; a
-    document moves by the gradient a token and is projected onto [0, ``ceiling``]. All rates start at 1.
+    document moves by the gradient a token and is projected onto [0, ``ceiling``]. All rates start at 1, and
+    those of ``fixed`` rows stay there.
     ``rows`` must be written: each step reads it anew, and a rate follows from the steps' gradients, of which
     there is one number a domain.
     """
@@ -172,14 +178,16 @@ def fit_rates(rows: DataFrame, targets: list[float], ceiling: float | None = Non
     ).first()
     scale = [1 / math.sqrt(max(1.0, sums[f"t{i}"])) for i in k]
     length = 1 / max(1e-12, _largest([[sums[f"m{i}_{j}"] * scale[i] * scale[j] for j in k] for i in k]))
-    rate, reached = F.lit(1.0), [sums[f"t{i}"] for i in k]
+    free = rate = F.lit(1.0)
+    reached = [sums[f"t{i}"] for i in k]
     for _ in range(steps):
         gaps = [reached[i] - targets[i] for i in k]
         if sum(map(abs, gaps)) <= TOLERANCE * max(1.0, sum(targets)):
             break
         step = [length * scale[i] ** 2 * gaps[i] for i in k]
-        moved = rate - total([p[i] * F.lit(step[i]) for i in k])
-        rate = F.greatest(F.lit(0.0), moved if ceiling is None else F.least(F.lit(ceiling), moved))
+        moved = free - total([p[i] * F.lit(step[i]) for i in k])
+        free = F.greatest(F.lit(0.0), moved if ceiling is None else F.least(F.lit(ceiling), moved))
+        rate = free if fixed is None else F.when(fixed, 1.0).otherwise(free)
         found = rows.agg(*[F.coalesce(F.sum(tokens * p[i] * rate), F.lit(0.0)).alias(f"t{i}") for i in k]).first()
         reached = [found[f"t{i}"] for i in k]
     return rate, reached
@@ -231,13 +239,15 @@ def mix_documents(
 ) -> DataFrame:
     """The rows of ``docs``, with their columns, that make up the mixture; none is repeated.
 
-    The domain ``full`` sets the size: its target is 1 % above its tokens, so its documents reach the ceiling
-    of rate 1 and all stay. A document stays if a hash of its key and tokens is below its rate.
+    Documents likeliest in the domain ``full`` all stay, at rate 1, and with their expected tokens set the size of the
+    mixture; the others are fitted to the targets, below a ceiling of 1. A document stays if a hash of its key and
+    tokens is below its rate.
     """
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__t"))
     domains, rows = _posteriors(packed, docs, labels, weights, key, text, label)
     own = F.get("p", F.lit(domains.index(full)))
-    size = 1.01 * rows.agg(F.coalesce(F.sum(F.col("tokens") * own), F.lit(0.0))).first()[0] / weights[full]
-    rate, _ = fit_rates(rows, [size * weights[d] for d in domains], ceiling=1.0)
+    fixed = own == F.array_max("p")
+    size = rows.agg(F.coalesce(F.sum(F.col("tokens") * own), F.lit(0.0))).first()[0] / weights[full]
+    rate, _ = fit_rates(rows, [size * weights[d] for d in domains], ceiling=1.0, fixed=fixed)
     kept = rows.where(uniform("__key", "tokens") < rate)
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
