@@ -4,14 +4,14 @@ order in which they are tried. English and German."""
 # ---- basic extraction -------------------------------------------------------------------
 
 INVOICE_NUMBER = [
-    r"Invoice\s*#?\s*:?\s*([A-Z0-9\-]+)",
-    r"Invoice\s+Number\s*:?\s*([A-Z0-9\-]+)",
+    r"Invoice\s*(?:#\s*)?(?::\s*)?([A-Z0-9\-]+)",
+    r"Invoice\s+Number\s*(?::\s*)?([A-Z0-9\-]+)",
     r"INV[-#]?(\d+)",
     r"#\s*(\d{4,})",
-    r"Rechnung\s*(?:Nr|Nummer|#)?\s*:?\s*([A-Z0-9\-]+)",
-    r"Rechnungsnummer\s*:?\s*([A-Z0-9\-]+)",
-    r"Rechnungs-Nr\s*:?\s*([A-Z0-9\-]+)",
-    r"Rechnung\s+#?\s*:?\s*([A-Z0-9\-]+)",
+    r"Rechnung\s*(?:(?:Nr|Nummer|#)\s*)?(?::\s*)?([A-Z0-9\-]+)",
+    r"Rechnungsnummer\s*(?::\s*)?([A-Z0-9\-]+)",
+    r"Rechnungs-Nr\s*(?::\s*)?([A-Z0-9\-]+)",
+    r"Rechnung\s+(?:#\s*)?(?::\s*)?([A-Z0-9\-]+)",
 ]
 
 VENDOR_STOP_WORDS = ["invoice", "date", "bill to", "ship to", "rechnung", "datum", "kunde"]
@@ -54,20 +54,20 @@ STREET_WORDS = [
 ZIP_LINE = r"\d{5}(?:-\d{4})?"
 
 INVOICE_DATE_LINE = [
-    r"Invoice\s+Date\s*:?\s*([^\n]+)",
-    r"Date\s*:?\s*([^\n]+)",
-    r"Issued\s*:?\s*([^\n]+)",
-    r"Datum\s*:?\s*([^\n]+)",
-    r"Rechnungsdatum\s*:?\s*([^\n]+)",
-    r"Ausstellungsdatum\s*:?\s*([^\n]+)",
+    r"Invoice\s+Date\s*(?::\s*)?([^\n]+)",
+    r"Date\s*(?::\s*)?([^\n]+)",
+    r"Issued\s*(?::\s*)?([^\n]+)",
+    r"Datum\s*(?::\s*)?([^\n]+)",
+    r"Rechnungsdatum\s*(?::\s*)?([^\n]+)",
+    r"Ausstellungsdatum\s*(?::\s*)?([^\n]+)",
 ]
 
 DUE_DATE_LINE = [
-    r"Due\s+Date\s*:?\s*([^\n]+)",
-    r"Payment\s+Due\s*:?\s*([^\n]+)",
-    r"Fälligkeitsdatum\s*:?\s*([^\n]+)",
-    r"Fällig\s+am\s*:?\s*([^\n]+)",
-    r"Zahlungsziel\s*:?\s*([^\n]+)",
+    r"Due\s+Date\s*(?::\s*)?([^\n]+)",
+    r"Payment\s+Due\s*(?::\s*)?([^\n]+)",
+    r"Fälligkeitsdatum\s*(?::\s*)?([^\n]+)",
+    r"Fällig\s+am\s*(?::\s*)?([^\n]+)",
+    r"Zahlungsziel\s*(?::\s*)?([^\n]+)",
 ]
 
 DATE_IN_LINE = [
@@ -94,43 +94,43 @@ CURRENCY_MARKS = [
 DEFAULT_CURRENCY = "EUR"
 
 TOTAL_AMOUNT = [
-    r"Total\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Total\s+Amount\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Amount\s+Due\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Grand\s+Total\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Gesamtbetrag\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Gesamtsumme\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Endbetrag\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Summe\s*:?\s*€?\s*([\d,]+\.?\d*)",
+    r"Total\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Total\s+Amount\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Amount\s+Due\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Grand\s+Total\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Gesamtbetrag\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Gesamtsumme\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Endbetrag\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Summe\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
 ]
 
 SUBTOTAL = [
-    r"Subtotal\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Sub\s+Total\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"Zwischensumme\s*:?\s*€?\s*([\d,]+\.?\d*)",
+    r"Subtotal\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Sub\s+Total\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"Zwischensumme\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
 ]
 
 TAX_AMOUNT = [
-    r"Tax\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"VAT\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"GST\s*:?\s*\$?\s*([\d,]+\.?\d*)",
-    r"MwSt\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"MwSt\.\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Mehrwertsteuer\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Umsatzsteuer\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"USt\s*:?\s*€?\s*([\d,]+\.?\d*)",
-    r"Steuer\s*:?\s*€?\s*([\d,]+\.?\d*)",
+    r"Tax\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"VAT\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"GST\s*(?::\s*)?(?:\$\s*)?([\d,]+\.?\d*)",
+    r"MwSt\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"MwSt\.\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Mehrwertsteuer\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Umsatzsteuer\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"USt\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
+    r"Steuer\s*(?::\s*)?(?:€\s*)?([\d,]+\.?\d*)",
 ]
 
 # Payment terms: the pattern and the group that holds the value (0 is the whole match).
 PAYMENT_TERMS = [
-    (r"Payment\s+Terms\s*:?\s*([^\n]+)", 1),
-    (r"Terms\s*:?\s*([^\n]+)", 1),
+    (r"Payment\s+Terms\s*(?::\s*)?([^\n]+)", 1),
+    (r"Terms\s*(?::\s*)?([^\n]+)", 1),
     (r"Net\s+\d+", 0),
     (r"Due\s+(?:on|in)\s+[^\n]+", 0),
-    (r"Zahlungsbedingungen\s*:?\s*([^\n]+)", 1),
-    (r"Zahlungsziel\s*:?\s*([^\n]+)", 1),
-    (r"Zahlbar\s+bis\s*:?\s*([^\n]+)", 1),
+    (r"Zahlungsbedingungen\s*(?::\s*)?([^\n]+)", 1),
+    (r"Zahlungsziel\s*(?::\s*)?([^\n]+)", 1),
+    (r"Zahlbar\s+bis\s*(?::\s*)?([^\n]+)", 1),
 ]
 
 ITEM_HEADER_NAMES = ["description", "item", "product", "service", "beschreibung", "artikel", "position", "posten"]
@@ -159,21 +159,21 @@ LAYOUT_BUYER_MARKS = ["To:", "An:", "Customer:"]
 LAYOUT_INVOICE_NUMBER = [
     r"INV[-#]?(\d+)",
     r"#(\d{4,})",
-    r"Invoice\s*#?\s*:?\s*([A-Z0-9\-]+)",
-    r"Invoice\s+Number\s*:?\s*([A-Z0-9\-]+)",
-    r"Rechnung(?:s)?(?:nummer|nr|#)?\s*:?\s*([A-Z0-9\-]+)",
+    r"Invoice\s*(?:#\s*)?(?::\s*)?([A-Z0-9\-]+)",
+    r"Invoice\s+Number\s*(?::\s*)?([A-Z0-9\-]+)",
+    r"Rechnung(?:s)?(?:nummer|nr|#)?\s*(?::\s*)?([A-Z0-9\-]+)",
 ]
 
 LAYOUT_INVOICE_DATE_LINE = [
-    r"Invoice\s+Date\s*:?\s*([^\n]+)",
-    r"Date\s*:?\s*([^\n]+)",
-    r"Datum\s*:?\s*([^\n]+)",
+    r"Invoice\s+Date\s*(?::\s*)?([^\n]+)",
+    r"Date\s*(?::\s*)?([^\n]+)",
+    r"Datum\s*(?::\s*)?([^\n]+)",
 ]
 
 LAYOUT_DUE_DATE_LINE = [
-    r"Due\s+Date\s*:?\s*([^\n]+)",
-    r"Payment\s+Due\s*:?\s*([^\n]+)",
-    r"Fälligkeitsdatum\s*:?\s*([^\n]+)",
+    r"Due\s+Date\s*(?::\s*)?([^\n]+)",
+    r"Payment\s+Due\s*(?::\s*)?([^\n]+)",
+    r"Fälligkeitsdatum\s*(?::\s*)?([^\n]+)",
 ]
 
 # Dates inside a line, with the groups that hold year, month and day.

@@ -155,3 +155,25 @@ def py_one_decimal(c: Column) -> Column:
     nudge = F.when(midway, beyond * 0.01).otherwise(0.0).cast("decimal(3,2)")
     rounded = F.bround(decimal + nudge, 1).try_cast("decimal(38,1)")
     return F.coalesce(rounded.cast("string"), F.format_string("%.1f", c))
+
+
+def js_two_decimals(c: Column) -> Column:
+    """``x.toFixed(2)`` for finite numbers: 1.005 gives 1.00, as the binary number is below 1.005.
+
+    Where the printed number lies midway, the exact distance of ``200 x`` from the odd number decides, by the rounding
+    errors of ``128 x + 64 x + 8 x``; a true midpoint goes away from zero.
+    """
+    decimal = c.try_cast("decimal(38,14)")
+    halves = decimal * 200
+    midway = (halves == F.floor(halves)) & (F.abs(F.floor(halves)) % 2 == 1)
+
+    def add(a: Column, b: Column) -> tuple[Column, Column]:
+        total = a + b
+        part = total - a
+        return total, (a - (total - part)) + (b - part)
+
+    first, lost = add(c * 128.0, c * 64.0)
+    total, more = add(first, c * 8.0)
+    beyond = F.signum((total - F.rint(total)) + (lost + more))
+    nudge = F.when(midway, beyond * 0.001).otherwise(0.0).cast("decimal(4,3)")
+    return F.round(decimal + nudge, 2).try_cast("decimal(38,2)").cast("string")

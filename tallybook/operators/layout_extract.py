@@ -94,9 +94,14 @@ def fallback_vendor(text: Column) -> Column:
 
 
 def fallback_buyer(text: Column) -> Column:
-    """The text before the first street address on its line, if longer than three characters."""
-    pattern = regex(r"([^\n]*?)" + P.FALLBACK_STREET)
-    return let(pystrip(F.regexp_extract(text, pattern, 1)), lambda s: F.when(F.length(s) > 3, s))
+    """The text before the first street address on its line, if longer than three characters.
+
+    The address is found first and the line is cut before it: a pattern for both would start anew at every
+    character of a line without an address.
+    """
+    address = F.regexp_substr(text, F.lit(regex(P.FALLBACK_STREET)))
+    before = F.substring_index(F.substring(text, F.lit(1), F.instr(text, address) - 1), "\n", -1)
+    return let(pystrip(before), lambda s: F.when(F.length(s) > 3, s))
 
 
 def _has_value(value: Column, amount: bool) -> Column:

@@ -70,18 +70,18 @@ def difference_percent(left: Column, right: Column) -> Column:
 def pair_sources(left: DataFrame, right: DataFrame, key: str = "invoice_id") -> DataFrame:
     """Full outer join of both sides as struct columns ``l`` and ``r``.
 
-    Rows without a key cannot pair, so they pass by the shuffle instead of meeting in one task.
+    Rows without a key pair with nothing. A second join column, a hash of the row where the key is null,
+    keeps them from meeting in one task.
     """
 
-    def side(df: DataFrame, name: str, keyed: bool) -> DataFrame:
-        rows = df.filter(F.col(key).isNotNull() if keyed else F.col(key).isNull())
-        return rows.select(F.col(key), F.struct(*[c for c in df.columns if c != key]).alias(name))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        fields = [c for c in df.columns if c != key]
+        # Maps have no hash; one of the texts and numbers is enough to spread rows.
+        plain = [c for c in fields if df.schema[c].dataType.typeName() in ("string", "double", "long", "integer")]
+        spread = F.when(F.col(key).isNull(), F.xxhash64(*plain) if plain else F.lit(1)).otherwise(F.lit(0))
+        return df.select(F.col(key), spread.cast("long").alias("__spread"), F.struct(*fields).alias(name))
 
-    joined = side(left, "l", True).join(side(right, "r", True), key, "full_outer")
-    if not (left.schema[key].nullable or right.schema[key].nullable):
-        return joined
-    alone = side(left, "l", False).unionByName(side(right, "r", False), allowMissingColumns=True)
-    return joined.unionByName(alone)
+    return side(left, "l").join(side(right, "r"), [key, "__spread"], "full_outer").drop("__spread")
 
 
 def _compared(

@@ -16,20 +16,25 @@ def _rounded(total: Column, count: Column, places: int) -> Column:
 def dashboard_stats(df: DataFrame) -> DataFrame:
     """One row: totals, valid and invalid counts, amount sum and mean score. Empty gives zeros.
 
-    Amounts are summed as decimals, so the result does not depend on how rows are distributed.
+    Amounts are summed as wide decimals and rounded once, so the result does not depend on how rows are
+    distributed. Amounts that have no such decimal (not finite, or 28 digits before the point and more) are
+    counted in ``unsummed_amounts``.
     """
-    amount = F.coalesce(F.col("total_amount").try_cast("decimal(18,2)"), F.lit(0))
+    amount = F.col("total_amount").try_cast("decimal(38,10)")
+    unsummed = F.col("total_amount").isNotNull() & amount.isNull()
     sums = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_valid")).alias("valid"),
-        F.coalesce(F.sum(amount), F.lit(0)).alias("amount"),
+        F.coalesce(F.try_sum(amount), F.when(F.count(amount) == 0, F.lit(0))).alias("amount"),
+        F.count_if(unsummed).alias("unsummed"),
         F.coalesce(F.sum(F.coalesce(F.col("score"), F.lit(0))), F.lit(0)).alias("score"),
     )
     return sums.select(
         F.col("n").alias("total_invoices"),
         F.col("valid").alias("valid_invoices"),
         (F.col("n") - F.col("valid")).alias("invalid_invoices"),
-        F.col("amount").cast("double").alias("total_amount"),
+        F.round("amount", 2).cast("double").alias("total_amount"),
+        F.col("unsummed").alias("unsummed_amounts"),
         _rounded(F.col("score").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)"), 2)
         .cast("double")
         .alias("average_validation_score"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.pycompat import py_float_text, truthy_number, truthy_text
+from tallybook.functions.pycompat import js_two_decimals, py_float_text, truthy_number, truthy_text
 from tallybook.schema import INVOICE_FIELDS
 
 # Exported fields in order, with their labels.
@@ -30,7 +30,7 @@ def list_view(df: DataFrame, key: str = "invoice_id") -> DataFrame:
         return F.when(truthy_text(F.col(name)), F.col(name)).otherwise("-").alias(name)
 
     currency = F.when(truthy_text(F.col("currency")), F.col("currency")).otherwise("USD")
-    amount = F.coalesce(F.col("total_amount").try_cast("decimal(38,2)").cast("string"), F.lit("0.00"))
+    amount = F.coalesce(js_two_decimals(F.col("total_amount")), F.lit("0.00"))
     return df.select(
         key,
         *[or_dash(n) for n in ("invoice_number", "vendor_name", "buyer_name", "invoice_date")],
@@ -78,9 +78,12 @@ def to_field_value(df: DataFrame, key: str = "invoice_id") -> DataFrame:
     return df.select(key, F.inline(rows))
 
 
-def write_field_value_csv(df: DataFrame, path: str) -> None:
-    """Write the field-value form as CSV, values quoted and quotes inside them escaped."""
-    df.select(F.col("field").alias("Field"), F.col("value").alias("Value")).write.mode("errorifexists").csv(
+def write_field_value_csv(df: DataFrame, path: str, key: str = "invoice_id") -> None:
+    """Write the field-value form as CSV, values quoted and quotes inside them escaped.
+
+    Key and position stay, so that every line tells its invoice and lines can be put in order.
+    """
+    df.select(key, "position", F.col("field").alias("Field"), F.col("value").alias("Value")).write.mode("errorifexists").csv(
         path, header=True, quoteAll=True, escape='"'
     )
 

@@ -830,11 +830,11 @@ def ss_validate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ss_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a stream of uploads; repeats within a second are dropped."""
-    schema = table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    accepted = intake.suppress_duplicates(D.uploads_from_events(events))
+    """Uploads arrive in several files and disturbed order and are stored; repeats within a second do not count."""
     target = shared_folder(spark, "uploads")
-    intake.append_available(accepted, f"{target}/table", f"{target}/checkpoint")
-    stored = spark.read.parquet(f"{target}/table")
-    return stored.select("file_name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    uploads = D.uploads_from_events(table(spark, folder, "events"))
+    uploads.repartition(8, F.xxhash64("ts")).write.parquet(f"{target}/arriving")
+    arriving = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 3).parquet(f"{target}/arriving")
+    intake.append_available(arriving, f"{target}/table", f"{target}/checkpoint")
+    accepted = intake.accepted_uploads(spark.read.parquet(f"{target}/table"))
+    return accepted.select("file_name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))

@@ -32,6 +32,8 @@ def process_documents(
     is accepted but not a PDF succeeds with an empty, invalid invoice. ``method`` is ``basic``
     or ``layout``; the latter may use ``words`` and parsed model ``responses``.
     """
+    if method not in ("basic", "layout"):
+        raise ValueError(f"unknown method: {method}")
     checked = gate_files(files, intake).withColumn("file_type", file_type(F.col("file_name")))
     readable = F.col("error").isNull() & (F.col("file_type") == "pdf")
     joined = checked.join(texts.select(key, "text"), key, "left").withColumn(

@@ -356,7 +356,7 @@ ORACLE["v_bands"] = f"""with {VAL} select case when score>=80 then 'high' when s
 # Summaries
 ORACLE["ag_dashboard"] = f"""with {VAL} select count(*) total_invoices, count(*) filter (is_valid) valid_invoices,
   count(*) filter (not is_valid) invalid_invoices,
-  cast(sum(cast(coalesce(total_amount,0) as decimal(18,2))) as double) total_amount,
+  cast(round(sum(cast(coalesce(total_amount,0) as decimal(28,10))), 2) as double) total_amount, 0::bigint unsummed_amounts,
   cast(round(sum(score)::decimal(18,0)/count(*), 2) as double) average_validation_score from val"""
 ORACLE["ag_summary"] = f"""with {VAL} select count(*) total_invoices, count(*) filter (is_valid) valid_invoices,
   count(*) filter (not is_valid) invalid_invoices from val"""
@@ -798,7 +798,9 @@ ORACLE["rt_documents"] = f"""with {TXT}, {EXTRACTED}, {rules('ext')}, {GATED},
 
 # Streaming
 ORACLE["ss_validate"] = f"with {VAL} select invoice_id, invoice_number, is_valid, score from val"
-ORACLE["ss_dedup"] = """with u as (select concat('f', user_id, '.pdf') file_name, unnest(case when event_id%10=0
+ORACLE["ss_dedup"] = """with recursive u as (select distinct concat('f', user_id, '.pdf') file_name, unnest(case when event_id%10=0
     then [ts, ts + interval 500 milliseconds] else [ts] end) ts from events),
-  g as (select *, ts - lag(ts) over (partition by file_name order by ts) gap from u)
-  select file_name, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') ts from g where gap is null or gap >= interval 1 second"""
+  accepted(file_name, ts) as (select file_name, min(ts) from u group by 1 union all
+    select a.file_name, min(u.ts) from accepted a join u on u.file_name = a.file_name and u.ts >= a.ts + interval 1 second
+    group by a.file_name)
+  select file_name, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') ts from accepted"""

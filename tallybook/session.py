@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Folders of local-mode sessions that have no shared folder, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def local_session(app: str = "tallybook", cores: str | int = 8, partitions: int = 8, **conf: str) -> SparkSession:
     """A single-JVM session for tests and the bench."""
@@ -43,6 +46,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallybook-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        name = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(name) or _LOCAL_ROOTS.setdefault(name, tempfile.mkdtemp(prefix="tallybook-"))
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

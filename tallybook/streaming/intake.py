@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,47 +59,75 @@ def append_available(stream: DataFrame, table: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _accept(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cooldown_ms: int = COOLDOWN_MS
+def accepted_uploads(uploads: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+    """Accepted uploads (``file_name``, ``ts``), in the order of their moments: none within ``cooldown_ms``
+    of the last accepted one of the same name.
+
+    A moment that follows the one before it by the cooldown or more is accepted whatever was before, so
+    the uploads of a name fall into chains at such gaps and each chain is decided alone. A chain is as long
+    as uploads keep coming in less than the cooldown. Rows without a name or a moment are no uploads.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = uploads.select("file_name", micros.alias("at")).where("file_name is not null and at is not null").distinct()
+    by_time = Window.partitionBy("file_name").orderBy("at")
+    cooldown = F.lit(cooldown_ms * 1000)
+    first = F.coalesce(F.col("at") - F.lag("at").over(by_time) >= cooldown, F.lit(True))
+    chains = rows.withColumn("first", first).withColumn("chain", F.count_if("first").over(by_time))
+    moments = chains.groupBy("file_name", "chain").agg(F.sort_array(F.collect_list("at")).alias("moments"))
+    none = F.array().cast("array<bigint>")
+    kept = F.aggregate(
+        "moments",
+        none,
+        lambda kept, at: F.when(
+            (F.size(kept) == 0) | (at - F.element_at(kept, -1) >= cooldown), F.array_append(kept, at)
+        ).otherwise(kept),
+    )
+    return moments.select("file_name", F.explode(kept).alias("at")).select(
+        "file_name", F.timestamp_micros("at").alias("ts")
+    )
+
+
+def _decide(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cooldown: int, horizon: int
 ) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     moments = [np.unique(frame["ts"].to_numpy("datetime64[us]").astype("int64")) for frame in frames]
-    times = np.unique(np.concatenate(moments))
-    cooldown = cooldown_ms * 1000
-    accepted: list[int] = []
-    position = 0
-    if state.exists:
-        position = int(np.searchsorted(times, state.get[0] + cooldown))
-    while position < len(times):
-        accepted.append(int(times[position]))
-        position = int(np.searchsorted(times, times[position] + cooldown))
-    if accepted:
-        state.update((accepted[-1],))
-    last_ms = state.get[0] // 1000
-    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + cooldown_ms + 1)
-    if accepted:
-        yield pd.DataFrame({"file_name": key[0], "ts": np.array(accepted, "datetime64[us]")})
-
-
-def suppress_duplicates(uploads: DataFrame, late_by: str = "10 seconds") -> DataFrame:
-    """Accepted uploads (``file_name``, ``ts``): none within a second of the last accepted one
-    of the same name.
-
-    The state is one moment per file name, dropped once the watermark has passed it. Within a
-    batch only the distinct moments of a name are held, and the size of a batch is set by the
-    source.
+    kept = list(state.get[0]) if state.exists else []
+    out = []
+    for at in np.unique(np.concatenate(moments)).tolist():
+        if kept and at < kept[-1] - horizon:
+            out.append((at, True))
+            continue
+        place = bisect.bisect(kept, at)
+        near = kept[max(0, place - 1) : place + 1]
+        if all(abs(at - k) >= cooldown for k in near):
+            kept.insert(place, at)
+            out.append((at, False))
+    kept = [k for k in kept if k >= kept[-1] - horizon]
+    state.update((kept,))
+    if out:
+        at, late = zip(*out, strict=True)
+        yield pd.DataFrame({"file_name": key[0], "ts": np.array(at, "datetime64[us]"), "late": list(late)})
+
+
+def suppress_duplicates(uploads: DataFrame, horizon: str = "600 seconds") -> DataFrame:
+    """Accepted uploads of a stream (``file_name``, ``ts``, ``late``), decided as they arrive.
+
+    An upload is dropped only if it is within a second of an accepted one of the same name, before or
+    after. One that arrives more than ``horizon`` behind the newest accepted upload of its name cannot be
+    judged and is returned with ``late`` set; nothing else is left out. In disturbed order the first to
+    arrive wins; ``accepted_uploads`` over the stored uploads decides by moment instead. The state is the
+    accepted moments within the horizon, for each name.
     """
-    stream = uploads.select("file_name", F.col("ts").cast("timestamp").alias("ts"))
+    seconds = float(horizon.split()[0])
+    decide = functools.partial(_decide, cooldown=COOLDOWN_MS * 1000, horizon=int(seconds * 1_000_000))
     return (
-        stream.withWatermark("ts", late_by)
+        uploads.select("file_name", F.col("ts").cast("timestamp").alias("ts"))
         .groupBy("file_name")
         .applyInPandasWithState(
-            _accept,
-            outputStructType="file_name string, ts timestamp",
-            stateStructType="last bigint",
+            decide,
+            outputStructType="file_name string, ts timestamp, late boolean",
+            stateStructType="kept array<bigint>",
             outputMode="append",
-            timeoutConf=GroupStateTimeout.EventTimeTimeout,
+            timeoutConf=GroupStateTimeout.NoTimeout,
         )
     )

@@ -80,3 +80,9 @@ def test_no_query_uses_a_cross_join(spark, data):
 def test_page_is_a_top_n(spark, data):
     text = plan(QUERIES["st_page"](spark, data).filter(F.lit(True)))
     assert "TakeOrderedAndProject" in text
+
+
+def test_merge_reads_its_inputs_once(spark, data):
+    text = plan(QUERIES["m_quality"](spark, data))
+    assert text.count("Scan parquet") <= 10
+    assert text.count("ArrowEvalPython") <= 1

@@ -158,3 +158,14 @@ def test_nested_items_match_preaggregated(spark, data):
         return {r.invoice_id for r in rule_hits(df, "2000-06-30").filter("rule = 'V17'").collect()}
 
     assert v17(nested) == v17(flat) != set()
+
+
+def test_dashboard_loses_no_amount(spark):
+    from tallybook.operators.stats import dashboard_stats
+
+    amounts = [1e17, 5.0, None, float("nan"), 1e30] + [0.004] * 1000
+    df = spark.createDataFrame([(a, True, 100) for a in amounts], "total_amount double, is_valid boolean, score int")
+    row = dashboard_stats(df).first()
+    assert row.total_amount == 1e17 + 9 and row.unsummed_amounts == 2
+    small = dashboard_stats(df.where("total_amount < 1")).first()
+    assert small.total_amount == 4.0 and dashboard_stats(df.limit(0)).first().total_amount == 0.0

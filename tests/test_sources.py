@@ -202,8 +202,8 @@ def test_exports(spark, invoices, tmp_path):
     views.write_field_value_csv(views.to_field_value(df).coalesce(1).orderBy("position"), str(tmp_path / "csv"))
     part = next((tmp_path / "csv").glob("*.csv"))
     rows = list(csv.reader(part.open(encoding="utf8")))
-    assert rows[0] == ["Field", "Value"] and rows[1] == ["Invoice Number", 'A "q"']
-    assert rows[7] == ["Subtotal", "1000"] and rows[8] == ["Tax Amount", "0.5"]
+    assert rows[0] == ["invoice_id", "position", "Field", "Value"] and rows[1] == ["0", "1", "Invoice Number", 'A "q"']
+    assert rows[7] == ["0", "7", "Subtotal", "1000"] and rows[8] == ["0", "8", "Tax Amount", "0.5"]
     views.write_results_json(df.withColumn("error", F.lit(None).cast("string")), str(tmp_path / "json"))
     (line,) = [line for part in (tmp_path / "json").glob("*.json") for line in part.read_text().splitlines()]
     record = json.loads(line)

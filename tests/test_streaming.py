@@ -49,8 +49,38 @@ def test_repeats_within_a_second(spark, tmp_path):
         if name not in last or at - last[name] >= dt.timedelta(seconds=1):
             last[name] = at
             expected.append((name, at))
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(expected)
+    got = spark.read.parquet(out)
+    assert sorted((r.file_name, r.ts) for r in got.collect()) == sorted(expected)
+    assert not got.where("late").count()
 
 
 def test_validation_is_the_same_code(spark):
     assert intake.validate_invoices is validate_invoices
+
+
+def test_late_uploads_are_not_lost(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    source = str(tmp_path / "in")
+    for part in ([100, 101.5], [50, 60, 98, 100.4], [-900]):
+        rows = [(name, start + dt.timedelta(seconds=s)) for s in part for name in ("a.pdf", "b.pdf")]
+        spark.createDataFrame(rows, "file_name string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("file_name string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    intake.append_available(intake.suppress_duplicates(stream), out, str(tmp_path / "checkpoint"))
+    got = sorted((r.file_name, (r.ts - start).total_seconds(), r.late) for r in spark.read.parquet(out).collect())
+    each = [(-900.0, True), (50.0, False), (60.0, False), (98.0, False), (100.0, False), (101.5, False)]
+    assert got == [(name, s, late) for name in ("a.pdf", "b.pdf") for s, late in each]
+
+
+def test_accepted_uploads_follow_the_last_accepted(spark):
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    uploads = [(rng.choice(["a", "b"]), start + dt.timedelta(milliseconds=100 * rng.randrange(900))) for _ in range(500)]
+    uploads += [("c", start + dt.timedelta(seconds=s)) for s in (0, 0.6, 1.2)] + [(None, start), ("d", None)]
+    got = intake.accepted_uploads(spark.createDataFrame(uploads, "file_name string, ts timestamp")).collect()
+    last, expected = {}, []
+    for name, at in sorted({u for u in uploads if None not in u}):
+        if name not in last or at - last[name] >= dt.timedelta(seconds=1):
+            last[name] = at
+            expected.append((name, at))
+    assert sorted(map(tuple, got)) == expected and ("c", start + dt.timedelta(seconds=1.2)) in expected
