@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import written
 
@@ -37,7 +38,7 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def payload_digest(payload: pd.Series) -> pd.Series:
     """Bare upper-case base32 of the SHA-1 of the UTF-8 bytes; null counts as empty."""
     return payload.map(lambda p: base64.b32encode(hashlib.sha1((p or "").encode()).digest()).decode())
