@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; longer texts go in pieces that end at a blank.
 CHUNK = 1 << 20
+#: Rows of a batch that are copied at once.
+ROWS = 1024
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -61,14 +65,36 @@ def _hash_chunk(data: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tu
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system after each task.
+
+    Workers serve task after task; what allocators keep for later would add up beside the executor's heap.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def hashed_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, word counts, word hashes)`` for runs of rows; all words of a row are in one run.
 
     Words are runs of bytes other than ASCII blanks. Null texts have none. ``lower`` folds A-Z.
     """
-    numbers = _LOWER if lower else _PLAIN
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    for begin in range(0, len(texts), ROWS):
+        for row, counts, hashes in _hashed_slice(texts.slice(begin, ROWS), _LOWER if lower else _PLAIN):
+            yield begin + row, counts, hashes
+
+
+def _hashed_slice(texts: pa.Array, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts):

@@ -23,7 +23,10 @@ TAGS = r"<[^>]*>"
 
 
 def html_lines(html: Column) -> Column:
-    """The visible lines of a page as an array: trimmed, without empty ones, entities left as they are."""
+    """The visible lines of a page as an array: trimmed, without empty ones, entities left as they are.
+
+    Hidden parts end a line like blocks do.
+    """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
     text = F.regexp_replace(F.regexp_replace(text, BLOCKS, "\n"), TAGS, "")
     return text_lines(text)

@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership in domains.
 
-A table of labels trains a naive Bayes classifier over the words and shapes that a text has; it gives each document
+A table of labels trains a naive Bayes classifier over words and shapes; it gives each document
 a posterior for each domain. Projected gradient steps then fit one nonnegative rate a document, so that the
 expected tokens of a domain (posterior x tokens x rate, summed) match its target. Everything is a DataFrame
 expression; the driver sees the vocabulary, and one number a domain in each step.
@@ -66,7 +66,7 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Naive Bayes: per domain the weight of a feature's presence, and a constant."""
+    """Naive Bayes: per domain the weight of each feature that a text has, and a constant."""
 
     domains: list[str]
     vocabulary: list[str]
@@ -144,12 +144,14 @@ def fit_classifier(
         .where((F.col("information") >= MIN_INFORMATION) | F.contains("word", F.lit(":")))
         .orderBy(F.desc("information"), "word").limit(vocabulary).collect()
     )
-    # Only features that are present count: a text in one language lacks the words of all others.
+    # A word counts by its presence and its absence, a shape as the one of its kind that a text has.
     weights, constants = [], []
     for i, k in enumerate(n):
-        pooled = [(sum(r[f"n{j}"] for j in range(len(n))) + 0.5) / (everything + 1) for r in best]
-        weights.append([math.log((r[f"n{i}"] + 0.5) / (k + 1) / q) for r, q in zip(best, pooled, strict=True)])
-        constants.append(math.log((k + 1e-6) / (everything + 1)))
+        shares = [(r[f"n{i}"] + 0.5) / (k + 1) for r in best]
+        word = [":" not in r["word"] for r in best]
+        weights.append([math.log(q) - w * math.log1p(-q) for q, w in zip(shares, word, strict=True)])
+        absent = sum(math.log1p(-q) for q, w in zip(shares, word, strict=True) if w)
+        constants.append(math.log((k + 1e-6) / (everything + 1)) + absent)
     return Classifier(list(domains), [r["word"] for r in best], weights, constants)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .hashing import hashed_words, shingles
+from .hashing import hashed_words, lean, shingles
 
 WORDS = 5
 PERCENT = 75
@@ -91,7 +91,7 @@ def _describe(words: int):
             [nulls, nulls, nulls, nulls, pa.array(used.astype(np.int32)), pa.array(weights[used])], schema=schema
         )
 
-    return run
+    return lean(run)
 
 
 def allowed(n: int, percent: int) -> int:
@@ -149,7 +149,7 @@ def _prefixes(words: int, percent: int, weights: np.ndarray, parts: int):
         if held:
             yield _blocks(held, parts, schema)
 
-    return run
+    return lean(run)
 
 
 def mix_out(tokens: np.ndarray) -> np.ndarray:
@@ -189,6 +189,7 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens.view("<i8").ravel(), places.view("<u4").ravel(), np.frombuffer(block, "<i8", n, 10 * n)
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings whose token occurs in the prefixes of two classes or more, each class once."""
     held = [_unpack(block) for batch in batches for block in batch.column(1).to_pylist()]
@@ -232,7 +233,7 @@ def _set_rows(words: int):
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), sets], names=["key", "tokens"])
 
-    return run
+    return lean(run)
 
 
 def _compared(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:

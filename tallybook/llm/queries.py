@@ -18,7 +18,7 @@ URL_RULES = [
     url_rules.rule("block", "net/fr/"),
 ]
 SHARDS = 16
-DOMAIN_WEIGHTS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+DOMAIN_WEIGHTS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 QUALITY_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
 
 

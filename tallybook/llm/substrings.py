@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .hashing import hashed_words, windows
+from .hashing import hashed_words, lean, windows
 
 WORDS = 35
 FIRST = 9
@@ -105,7 +105,7 @@ def _short_windows(words: int, length: int, before: int | None, parts: int):
         if held:
             yield _blocks(held, parts, schema)
 
-    return run
+    return lean(run)
 
 
 def _blocks(held: list, parts: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -137,6 +137,7 @@ def _again(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarr
     return other
 
 
+@lean
 def _repeated_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = []
     for batch in batches:
@@ -177,7 +178,7 @@ def _runs(words: int, length: int, parts: int):
         if held:
             yield _run_blocks(held, schema)
 
-    return run
+    return lean(run)
 
 
 def _run_blocks(held: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -198,6 +199,7 @@ def _run_blocks(held: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
 
 
+@lean
 def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``key, start, stop``: windows from ``start`` up to, not including, ``stop`` occur elsewhere too."""
     held = []
@@ -285,7 +287,7 @@ def _remove(words: int):
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(

