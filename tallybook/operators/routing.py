@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The names of the methods, and below their labels and confidences.
 DOCUMENT, MODEL, LOCAL = "google_document_ai", "gemini_extraction", "pdf_extractor"
 
 

@@ -3,6 +3,8 @@
 Validation is a narrow projection. Every rule becomes one boolean column, computed once; the
 score, the message lists and the long form are derived from those columns, so a query that
 needs only the score never builds a message.
+
+Fixed values: the messages of the rules below are stated as results must have them.
 """
 
 from __future__ import annotations
