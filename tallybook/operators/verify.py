@@ -1,4 +1,5 @@
 """Verification of critical fields and the recommendation drawn from both results.
+
 Fixed values: the texts of statuses, notes and recommendations below are stated as results must have them.
 """
 
