@@ -1,19 +1,18 @@
-"""Benchmark items in documents: SimHash of item-sized windows, then exact weighted shingles.
+"""Benchmark items in documents: exact weighted shingles of item-sized windows.
 
-A window of as many words as an item has a 64-bit SimHash of its words. Item fingerprints are indexed by
-their eight bytes, each with all bytes one bit away: two fingerprints that differ in ``RADIUS`` = 15 bits or
-fewer agree in some byte up to one bit, so the index finds every window within the radius. Of what it finds,
-the distance is checked, then the weighted similarity of the shingles decides.
-
-A window that shares no shingle with an item of its size has similarity 0 with all of them, whatever its
-fingerprint, so that is not computed.
+Common shingles weigh at most what a window shares with an item, and the window and the item together weigh
+at least as much as the item. So a match shares one of an item's ``anchors``: its heaviest shingles, as many as
+weigh more than a quarter of it. Of the items whose anchors a document has, running sums over the document bound
+the similarity of every window from above, and the windows whose bound reaches the threshold are counted exactly.
+Both steps leave out only what cannot match.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from .hashing import hashed_words, mix, shingles, windows
 
 WORDS = 5
 PERCENT = 75
+#: Bits between fingerprints that ``ItemIndex.within`` looks for; no match depends on it.
 RADIUS = 15
 #: Words of items whose index goes to the executors at once; a larger benchmark is searched in blocks.
 MAX_BLOCK_WORDS = 2_000_000
@@ -49,38 +49,54 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _BITS[(a ^ b).view(np.uint8).reshape(-1, 8)].sum(axis=1)
 
 
-class ItemIndex:
-    """Items by size: shingle multisets, weights, and fingerprints by byte."""
+def _places(found: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``found`` a place in the sorted ``known``, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+    at = np.searchsorted(known, found)
+    at[at == len(known)] = 0
+    return at, known[at] == found
 
-    def __init__(self, ids: list[int], texts: list[str | None], words: int = WORDS, percent: int = PERCENT):
+
+class ItemIndex:
+    """Items by number: distinct shingles with counts and weights, one after the other, and anchors by shingle length."""
+
+    def __init__(
+        self, ids: list[int], texts: list[str | None], words: int = WORDS, percent: int = PERCENT,
+        among: tuple[int, np.ndarray, np.ndarray] | None = None,
+    ):
+        """``among`` is what the weights follow from when these items are not all: their number, the sorted
+        shingles that more than one of them has, and how many have each.
+        """
         self.words, self.percent = words, percent
-        items = []
+        self.ids: list[int] = []
+        lengths, prints, shares, numbers = [], [], [], []
         for row, counts, hashed in hashed_words(pa.array(texts, pa.string()), lower=True):
             at = 0
             for k, n in enumerate(counts.tolist()):
                 if n:
-                    items.append((ids[row + k], hashed[at : at + n]))
+                    own = hashed[at : at + n]
+                    self.ids.append(ids[row + k])
+                    lengths.append(n)
+                    prints.append(fingerprints(own, n, np.zeros(1, np.int64)))
+                    share, number = np.unique(self.shingles(own), return_counts=True)
+                    shares.append(share)
+                    numbers.append(number)
                 at += n
-        shares = [Counter(self.shingles(own).tolist()) for _, own in items]
-        seen = Counter(s for c in shares for s in c)
-        #: A shingle weighs 1 and the whole part of log2(items / items with it) more.
-        self.weights = {s: 1 + int(math.log2(len(items) / n)) for s, n in seen.items()}
-        self.unseen = 1 + int(math.log2(max(1, len(items))))
-        sizes: dict[int, list[int]] = defaultdict(list)
-        #: By shingle length, the shingles of items and the item sizes that each occurs in.
-        self.sizes_of: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for j, (_, own) in enumerate(items):
-            sizes[len(own)].append(j)
-            for s in shares[j]:
-                self.sizes_of[min(len(own), words)][s].add(len(own))
-        self.sizes_of = {k: dict(v) for k, v in self.sizes_of.items()}
-        self.anchors = {k: np.sort(np.array(list(v), _U)) for k, v in self.sizes_of.items()}
-        self.ids = [i for i, _ in items]
-        self.shares = shares
-        self.sizes = {}
-        for size, own in sorted(sizes.items()):
-            prints = np.concatenate([fingerprints(items[j][1], size, np.zeros(1, np.int64)) for j in own])
-            self.sizes[size] = (np.array(own), prints, self._buckets(prints))
+        self.lengths = np.array(lengths, np.int64)
+        self.prints = np.concatenate([*prints, np.empty(0, _U)])
+        self.bounds = np.cumsum([0, *map(len, shares)])
+        self.shares = np.concatenate([*shares, np.empty(0, _U)])
+        self.numbers = np.concatenate([*numbers, np.empty(0, np.int64)])
+        if among is None:
+            seen, times = np.unique(self.shares, return_counts=True)
+            among = len(lengths), seen[times > 1], times[times > 1]
+        everything, self.repeated, times = among
+        #: A shingle weighs 1 and the whole part of log2(items / items with it) more; ``unseen`` with one item or none.
+        self.repeated_weights = np.array([1 + int(math.log2(everything / n)) for n in times.tolist()], np.int8)
+        self.unseen = 1 + int(math.log2(max(1, everything)))
+        self.weights = self.weigh(self.shares)
+        self.anchors, self.owners = self._anchors()
 
     def shingles(self, own: np.ndarray) -> np.ndarray:
         """All shingles in order; of fewer words the whole sequence."""
@@ -88,6 +104,35 @@ class ItemIndex:
             return windows(own, np.array([len(own)]), self.words)[0]
         return shingles(own, np.array([len(own)]), self.words)[0]
 
+    def weigh(self, found: np.ndarray) -> np.ndarray:
+        out = np.full(len(found), self.unseen, np.int64)
+        at, hit = _places(found, self.repeated)
+        out[hit] = self.repeated_weights[at[hit]]
+        return out
+
+    def _anchors(self) -> tuple[dict[int, np.ndarray], dict[int, list[list[int]]]]:
+        """By shingle length, the sorted anchors and the items of each."""
+        owners: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for j, size in enumerate(self.lengths.tolist()):
+            own = slice(self.bounds[j], self.bounds[j + 1])
+            order = np.argsort(-self.weights[own], kind="stable")
+            taken = np.cumsum((self.weights[own] * self.numbers[own])[order])
+            enough = int(np.argmax(100 * taken > (100 - self.percent) * taken[-1])) + 1
+            for s in self.shares[own][order[:enough]].tolist():
+                owners[min(size, self.words)][s].append(j)
+        ordered = {width: sorted(of.items()) for width, of in owners.items()}
+        anchors = {width: np.array([s for s, _ in of], _U) for width, of in ordered.items()}
+        return anchors, {width: [items for _, items in of] for width, of in ordered.items()}
+
+    @cached_property
+    def sizes(self) -> dict[int, tuple[np.ndarray, np.ndarray, list]]:
+        """Items, fingerprints and byte index by item size."""
+        out = {}
+        for size in np.unique(self.lengths).tolist():
+            own = np.flatnonzero(self.lengths == size)
+            out[size] = own, self.prints[own], self._buckets(self.prints[own])
+        return out
+
     @staticmethod
     def _buckets(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each byte: offsets by value, and the items whose byte is that value or one bit away."""
@@ -115,63 +160,68 @@ class ItemIndex:
         near = distances(prints[window], own[item]) <= RADIUS
         return window[near], items[item[near]]
 
-    def similarity(self, found: Counter, item: int) -> tuple[int, int]:
-        """Weight of the common shingles and of all, each as often as it occurs."""
-        own, common, united = self.shares[item], 0, 0
-        for s, n in found.items():
-            w, k = self.weights.get(s, self.unseen), own.get(s, 0)
-            common += w * min(n, k)
-            united += w * max(n, k)
-        united += sum(self.weights[s] * n for s, n in own.items() if s not in found)
-        return common, united
-
     def documents(self, hashed: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list]]:
         """``(document, matches)`` for those of a run of documents that have a match."""
-        ends = np.cumsum(counts)
-        spots: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-
-        def note(doc: int, place: int, width: int, shingle: int) -> None:
-            for size in self.sizes_of[width][shingle]:
-                spots[doc][size].append(place)
-
-        for width, known in self.anchors.items():
+        items: dict[int, set[int]] = defaultdict(set)
+        shingled = {}
+        for width, anchors in self.anchors.items():
             found, numbers = windows(hashed, counts, width)
-            at = np.searchsorted(known, found)
-            at[at == len(known)] = 0
-            hits = np.flatnonzero(known[at] == found)
             last = np.cumsum(numbers)
-            for hit, doc in zip(hits.tolist(), np.searchsorted(last, hits, side="right").tolist(), strict=True):
-                note(doc, hit - int(last[doc] - numbers[doc]), width, int(found[hit]))
-        for doc, by_size in sorted(spots.items()):
-            matches = self.matches(hashed[ends[doc] - counts[doc] : ends[doc]], by_size)
+            shingled[width] = found, last - numbers, last
+            at, hit = _places(found, anchors)
+            hits = np.flatnonzero(hit)
+            pairs = np.unique(np.searchsorted(last, hits, side="right") * len(anchors) + at[hits])
+            for doc, spot in zip((pairs // len(anchors)).tolist(), (pairs % len(anchors)).tolist(), strict=True):
+                items[doc].update(self.owners[width][spot])
+        for doc, near in sorted(items.items()):
+            own = {width: found[first[doc] : last[doc]] for width, (found, first, last) in shingled.items()}
+            matches = self.matches(int(counts[doc]), own, sorted(near))
             if matches:
                 yield doc, matches
 
-    def matches(self, own: np.ndarray, spots: dict[int, list[int]]) -> list[tuple[int, int, float]]:
-        """``(item, first word, similarity)`` of the best window of each item that reaches the threshold.
+    def matches(self, n: int, own: dict[int, np.ndarray], items: list[int]) -> list[tuple[int, int, float]]:
+        """``(item, first word, similarity)`` of the best window of each of ``items`` that reaches the threshold.
 
-        ``spots`` has, by item size, the places of shingles that an item of that size has too.
+        ``own`` has the shingles of the document, of ``n`` words, by their length.
         """
-        n = len(own)
-        best: dict[int, tuple[float, int]] = {}
-        for size, places in sorted(spots.items()):
-            width, hits = min(size, self.words), np.array(places)
-            length = min(size, n)
-            edge = np.zeros(n + 2, np.int32)
-            np.add.at(edge, np.maximum(hits - (length - width), 0), 1)
-            np.add.at(edge, np.minimum(hits, n - length) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[: n - length + 1] > 0)
-            if not len(starts):
-                continue
-            window, items = self.within(size, fingerprints(own, length, starts))
-            for start, item in zip(starts[window].tolist(), items.tolist(), strict=True):
-                found = Counter(self.shingles(own[start : start + length]).tolist())
-                common, united = self.similarity(found, item)
-                if 100 * common >= self.percent * united:
-                    rank = (common / united, -start)
-                    if item not in best or rank > best[item]:
-                        best[item] = rank
-        return sorted((self.ids[item], -start, similarity) for item, (similarity, start) in best.items())
+        weights = {width: self.weigh(found) for width, found in own.items()}
+        out = []
+        for item in items:
+            size = int(self.lengths[item])
+            width, length = min(size, self.words), min(size, n)
+            best = self._best(own[width], weights[width], length - width + 1, item)
+            if best:
+                out.append((self.ids[item], best[0], best[1]))
+        return sorted(out)
+
+    def _best(self, found: np.ndarray, weights: np.ndarray, span: int, item: int) -> tuple[int, float] | None:
+        """The first of the windows of ``span`` shingles that are most like the item, and its similarity."""
+        share = slice(self.bounds[item], self.bounds[item + 1])
+        numbers, worth = self.numbers[share], self.weights[share]
+        whole = int((worth * numbers).sum())
+        at, hit = _places(found, self.shares[share])
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            run = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
+            return run[span:] - run[:-span]
+
+        both = sums(weights) + whole
+        most = np.minimum(sums(weights * hit), whole)
+        starts = np.flatnonzero(100 * most >= self.percent * (both - most))
+        bounds = most[starts] / (both - most)[starts]
+        best = None
+        for k in np.argsort(-bounds, kind="stable").tolist():
+            if best and bounds[k] < best[1]:
+                break
+            start = int(starts[k])
+            shared = at[start : start + span][hit[start : start + span]]
+            common = int((np.minimum(np.bincount(shared, minlength=len(numbers)), numbers) * worth).sum())
+            united = int(both[start]) - common
+            if 100 * common >= self.percent * united:
+                rank = (common / united, -start)
+                if best is None or rank > (best[1], -best[0]):
+                    best = start, rank[0]
+        return best
 
 
 def _lookup(index) -> object:

@@ -456,6 +456,26 @@ def test_index_finds_all_within_radius():
     assert {(int(w), int(i)) for w, i in zip(window, item, strict=True)} == {(k // 40, k % 40) for k in np.flatnonzero(near).tolist()}
 
 
+def test_items_with_edited_edges_are_found():
+    rng = random.Random(12)
+    items = [[f"z{rng.randrange(10**9)}" for _ in range(size)] for size in (20, 34, 59) for _ in range(400)]
+    texts, want = [], []
+    for k, own in enumerate(items):
+        # Of n shingles, x less and x others leave (n - x) / (n + x); of a document cut off, (n - x) / n.
+        n = len(own) - 4
+        swapped, cut = n // 7, n // 4
+        prose = [f"p{rng.randrange(10**9)}" for _ in range(40)]
+        texts += [" ".join(own[:-swapped] + prose), " ".join(own[:-cut])]
+        want += [(2 * k, k, 0, (n - swapped) / (n + swapped)), (2 * k + 1, k, 0, (n - cut) / n)]
+    index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(own) for own in items])
+    got = []
+    for row, counts, hashed in hashing.hashed_words(pa.array(texts), lower=True):
+        for doc, matches in index.documents(hashed, counts):
+            got += [(row + doc, *m) for m in matches]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
 def test_native_plans_have_no_python(spark, data, capsys):
     for name in ("op2_quality_rules", "op4_license_scans", "op8_source_mixing"):
         queries.QUERIES[name](spark, data).explain()
