@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
-from .hashing import hashed_words, mix, shingles, windows
+from .common import words_of, written
+from .hashing import hashed_words, lean, mix, shingles, windows
 
 WORDS = 5
 PERCENT = 75
@@ -240,31 +241,57 @@ def _lookup(index) -> object:
     return found
 
 
-def match_columns(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list:
-    """Functions from a text column to its matches, one for each block of items.
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each text."""
+    for batch in batches:
+        found = [np.empty(0, _U)]
+        for _, counts, hashed in hashed_words(batch["text"], lower=True):
+            found += [own for own, n in zip(shingles(hashed, counts, WORDS), counts.tolist(), strict=True) if n]
+        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+
+def _repeated(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles that more than one item has, and how many have each."""
+    found = rows.select("text").mapInArrow(lean(_shingles_of), "shingle long")
+    times = found.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").toArrow()
+    seen = times["shingle"].to_numpy().view(_U)
+    order = np.argsort(seen)
+    return seen[order], times["times"].to_numpy()[order]
+
+
+def search_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[int, Iterator[Broadcast]]:
+    """The number of blocks of items, and one index after the other.
 
     Items are a stated query set. Their words are counted first; up to ``MAX_BLOCK_WORDS`` of them make a
-    block whose index is broadcast. Items without words, or with a null id, match nothing.
+    block whose index is built on the driver and broadcast. Weights follow from all items: of several blocks each
+    gets the shingles that more than one item has, counted by one aggregate. Items without words, or with a null id,
+    match nothing.
     """
     spark = items.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where(
         "item_id is not null"
     )
-    size = rows.agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0))).first()[0]
+    words = F.size(words_of(F.col("text")))
+    size, number = rows.agg(F.coalesce(F.sum(words), F.lit(0)), F.count(F.when(words > 0, 1))).first()
     blocks = -(-size // MAX_BLOCK_WORDS)
-    found = []
-    for b in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
-        if block.num_rows:
-            index = ItemIndex(block["item_id"].to_pylist(), block["text"].to_pylist())
-            found.append(_lookup(spark.sparkContext.broadcast(index)))
-    return found
 
+    def indexes() -> Iterator[Broadcast]:
+        among = (number, *_repeated(rows)) if blocks > 1 else None
+        for b in range(blocks):
+            block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
+            index = ItemIndex(block["item_id"].to_pylist(), block["text"].to_pylist(), among=among)
+            yield spark.sparkContext.broadcast(index)
+
+    return blocks, indexes()
 
-def _matches(found: list, text: Column) -> Column:
-    if not found:
-        return F.array().cast(MATCH)
-    return F.concat(*[f(text) for f in found]) if len(found) > 1 else found[0](text)
+
+def _written_blocks(indexes: Iterator[Broadcast], answer: Callable[[Callable], DataFrame]) -> DataFrame:
+    """The answers of all blocks. One block is held at a time, and its answer is written."""
+    parts = []
+    for index in indexes:
+        parts.append(written(answer(_lookup(index)), "matches"))
+        index.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def find_items(
@@ -276,13 +303,35 @@ def find_items(
     the item is one window. Similarity is the weight of the common 5-word shingles over that of all, each as
     often as it occurs; 0.75 or more matches. A-Z is folded. Null and blank texts match nothing; rows with
     null or repeated keys are searched like others; without documents or items the result is empty. It is a
-    projection: no shuffle. Items with the same id are items of their own.
+    projection for each block of items: no shuffle. Items with the same id are items of their own.
     """
-    hits = docs.select(F.col(key).alias("doc_id"), _matches(match_columns(items), F.col(text)).alias("hits"))
-    return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.start", "hit.similarity")
+
+    def answer(found: Callable) -> DataFrame:
+        hits = docs.select(F.col(key).alias("doc_id"), F.explode(found(F.col(text))).alias("hit"))
+        return hits.select("doc_id", "hit.item_id", "hit.start", "hit.similarity")
+
+    blocks, indexes = search_blocks(items)
+    if not blocks:
+        return answer(lambda _: F.array().cast(MATCH))
+    return answer(_lookup(next(indexes))) if blocks == 1 else _written_blocks(indexes, answer)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, in which no item is found."""
-    hits = docs.withColumn("__hits", _matches(match_columns(items), F.col(text)))
-    return hits.where(F.size("__hits") == 0).drop("__hits")
+    """The rows of ``docs``, with their columns, in which no item is found.
+
+    One block of items is a projection; of several, each writes the digests of the texts that have a match, and
+    rows with such a text go by one join.
+    """
+    blocks, indexes = search_blocks(items)
+    if not blocks:
+        return docs
+    if blocks == 1:
+        return docs.withColumn("__hits", _lookup(next(indexes))(F.col(text))).where(F.size("__hits") == 0).drop("__hits")
+    digest = F.sha2(F.col(text), 256).alias("__digest")
+
+    def matched(found: Callable) -> DataFrame:
+        hits = docs.select(digest, found(F.col(text)).alias("hits"))
+        return hits.where(F.size("hits") > 0).select("__digest").distinct()
+
+    gone = _written_blocks(indexes, matched).distinct()
+    return docs.withColumn("__digest", digest).join(gone, "__digest", "left_anti").select(*docs.columns)

@@ -456,6 +456,31 @@ def test_index_finds_all_within_radius():
     assert {(int(w), int(i)) for w, i in zip(window, item, strict=True)} == {(k // 40, k % 40) for k in np.flatnonzero(near).tolist()}
 
 
+def test_blocks_of_items_give_equal_rows(spark, docs, monkeypatch):
+    rng = random.Random(13)
+    shared = [f"s{i}" for i in range(14)]
+    items = [(i, " ".join([f"q{i}x{j}" for j in range(20)] + shared[: rng.choice([0, 8, 14])])) for i in range(24)]
+    items += [(50, items[3][1]), (51, ""), (52, None)]
+    rows = []
+    for i, text in items[:24]:
+        for n in range(1, 5):
+            own = text.split()
+            own[-n:] = [f"{w}!" for w in own[-n:]]
+            rows.append(f"before {' '.join(own)} after")
+            own = text.split()
+            own[:n] = shared[:n]
+            rows.append(" ".join([*own, *shared]))
+    given = docs([*rows, None, "", "clean text", None])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    plain = sorted(decontaminate.find_items(given, table).collect())
+    clean = sorted(r.doc_id for r in decontaminate.drop_contaminated(given, table).collect())
+    assert 0 < len({r.doc_id for r in plain}) < len(rows) and len(clean) + len({r.doc_id for r in plain}) == len(rows) + 4
+    monkeypatch.setattr(decontaminate, "MAX_BLOCK_WORDS", 60)
+    assert sorted(decontaminate.find_items(given, table).collect()) == plain
+    kept = decontaminate.drop_contaminated(given, table)
+    assert kept.columns == given.columns and sorted(r.doc_id for r in kept.collect()) == clean
+
+
 def test_items_with_edited_edges_are_found():
     rng = random.Random(12)
     items = [[f"z{rng.randrange(10**9)}" for _ in range(size)] for size in (20, 34, 59) for _ in range(400)]
