@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,10 @@ from .common import settled, total, written
 
 #: Labelled rows that train the classifier: those with the least key hash. Documented bound of the sample.
 SAMPLE = 20_000
-VOCABULARY = 64
-#: A word of the vocabulary is in so many labelled documents, and in this share of them.
+#: A word of the vocabulary is in so many labelled documents, and in this share of those of some domain.
 MIN_DOCUMENTS = 5
 MIN_SHARE = 0.01
-#: A word of the vocabulary is so many times likelier in some domain than in all.
+#: A word of the vocabulary is so many times likelier in that domain than in all.
 MIN_LIFT = 4.0
 #: Half the G statistic of a word and the domains, in nats: beyond chance even among many words.
 MIN_INFORMATION = 10.0
@@ -104,13 +104,13 @@ def _doubles(values: list[float]) -> Column:
 
 def fit_classifier(
     docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text",
-    label: str = LABEL, sample: int = SAMPLE, vocabulary: int = VOCABULARY,
+    label: str = LABEL, sample: int = SAMPLE,
 ) -> Classifier:
     """Trained on at most ``sample`` labelled rows. ``label`` is SQL over ``labels`` for the domain.
 
     Rows whose label is null or none of ``domains`` are left out, of several labels of a key the least
-    counts. The vocabulary is the features with the most information on the domain. Domains without
-    a labelled row have a posterior near 0.
+    counts. The vocabulary is all words that speak for some domain, measured within it however rare it is, and
+    all shapes. Domains without a labelled row have a posterior near 0.
     """
     chosen = (
         labels.select(F.col(key).alias("__key"), F.expr(label).alias("__domain"))
@@ -138,11 +138,12 @@ def fit_classifier(
         [cell(F.col(f"n{i}"), present, k) + cell(F.lit(k) - F.col(f"n{i}"), F.lit(everything) - present, k) for i, k in enumerate(n)]
     )
     # Words must speak for a domain; those that are merely rarer in one would add up to a verdict by sheer number.
-    lift = F.greatest(*[F.col(f"n{i}") * everything / (present * max(k, 1)) for i, k in enumerate(n)], F.lit(0.0))
+    frequent = [F.col(f"n{i}") >= max(1, MIN_SHARE * k) for i, k in enumerate(n)]
+    telling = [often & (F.col(f"n{i}") * everything >= MIN_LIFT * k * present) for (i, k), often in zip(enumerate(n), frequent, strict=True)]
+    word = _any_of(telling) & (information >= MIN_INFORMATION)
     best = (
-        counts.where((present >= max(MIN_DOCUMENTS, MIN_SHARE * everything)) & ((lift >= MIN_LIFT) | F.contains("word", F.lit(":")))).withColumn("information", information)
-        .where((F.col("information") >= MIN_INFORMATION) | F.contains("word", F.lit(":")))
-        .orderBy(F.desc("information"), "word").limit(vocabulary).collect()
+        counts.where((present >= MIN_DOCUMENTS) & (word | F.contains("word", F.lit(":")) & _any_of(frequent)))
+        .withColumn("information", information).orderBy(F.desc("information"), "word").collect()
     )
     # A word counts by its presence and its absence, a shape as the one of its kind that a text has.
     weights, constants = [], []
@@ -155,6 +156,10 @@ def fit_classifier(
     return Classifier(list(domains), [r["word"] for r in best], weights, constants)
 
 
+def _any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def _largest(matrix: list[list[float]]) -> float:
     """A bound of the largest eigenvalue of a nonnegative symmetric matrix: its largest row sum."""
     return max(sum(row) for row in matrix)

@@ -351,6 +351,23 @@ def test_mixing_meets_targets_and_labels(spark):
     assert good <= kept and len(kept - good) < 40
 
 
+def test_mixing_learns_the_words_of_a_rare_domain(spark):
+    # 1% toxic with three of ten words each, 10% low with twenty of ninety; 20,000 labelled and 1,000 not.
+    draw = lambda name, of, n: f"transform(sequence(1, {n}), j -> concat('{name}', pmod(xxhash64('{name}', id, j), {of})))"
+    df = spark.range(21_000).selectExpr(
+        "id as doc_id", "case when id % 100 = 0 then 'toxic' when id % 10 = 1 then 'low' else 'good' end as truth",
+        f"""array_join(concat({draw("w", 300, 30)}, case when id % 100 = 0 then {draw("grim", 10, 3)}
+            when id % 10 = 1 then {draw("junk", 90, 20)} else {draw("w", 300, 5)} end), ' ') as text""",
+    )
+    labels = df.where("doc_id < 20000").selectExpr("doc_id", "int(truth != 'low') as quality", "int(truth = 'toxic') as toxic")
+    classifier = mixing.fit_classifier(df, labels, ["good", "low", "toxic"])
+    assert {f"grim{i}" for i in range(10)} | {f"junk{i}" for i in range(90)} <= set(classifier.vocabulary)
+    assert not [w for w in classifier.vocabulary if w.startswith("w")]
+    kept = mixing.mix_documents(df, labels, queries.DOMAIN_WEIGHTS, "good").groupBy("truth").count().collect()
+    kept = {r["truth"]: r["count"] for r in kept}
+    assert kept["good"] == 21_000 - 210 - 2100 and kept.get("toxic", 0) <= 10
+
+
 def test_mixing_odd_rows(spark, docs, texts):
     table = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     rows = odd(texts)
