@@ -193,9 +193,7 @@ def _run_blocks(held: list, schema: pa.Schema) -> pa.RecordBatch:
         spots = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         head = np.array([n], np.int64).tobytes() + size.astype(np.int32).tobytes() + starts[own].astype(np.int32).tobytes()
         numbers.append(int(part[order[begin]]))
-        # The lower 48 bits do: the part tells windows apart as well.
-        short = whole[spots].view(np.uint8).reshape(-1, 8)[:, :6]
-        blocks.append(head + keys[own].tobytes() + np.ascontiguousarray(short).tobytes())
+        blocks.append(head + keys[own].tobytes() + whole[spots].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
 
 
@@ -209,11 +207,9 @@ def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             size = np.frombuffer(block, np.int32, n, 8)
             starts = np.frombuffer(block, np.int32, n, 8 + 4 * n)
             keys = np.frombuffer(block, np.int64, n, 8 + 8 * n)
-            raw = np.frombuffer(block, np.uint8, offset=8 + 16 * n).reshape(-1, 6)
-            whole = np.zeros((len(raw), 8), np.uint8)
-            whole[:, :6] = raw
-            within = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-            held.append((whole.view(_U).ravel(), np.repeat(keys, size), np.repeat(starts, size) + within))
+            whole = np.frombuffer(block, _U, offset=8 + 16 * n)
+            within = np.arange(len(whole)) - np.repeat(np.cumsum(size) - size, size)
+            held.append((whole, np.repeat(keys, size), np.repeat(starts, size) + within))
     if not held:
         return
     hashes, keys, places = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -256,6 +256,18 @@ def test_remove_repeats(docs, texts, size):
     assert got == want
 
 
+def test_windows_are_compared_by_all_bits():
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+    one = np.ones(1, np.int64)
+
+    def found(*hashes):
+        held = [(one, one, 5 * one, k * one, np.array([h], np.uint64)) for k, h in enumerate(hashes)]
+        return [r for b in substrings._repeated_runs(iter([substrings._run_blocks(held, schema)])) for r in b.to_pylist()]
+
+    assert found(7 + (1 << 60), 7 + (2 << 60), 7) == []
+    assert found(7 + (1 << 60), 7 + (1 << 60), 7) == [{"key": 0, "start": 5, "stop": 6}, {"key": 1, "start": 5, "stop": 6}]
+
+
 def test_remove_repeats_odd_rows(docs, texts):
     rows = odd(texts)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs(rows)).collect()), key=str)
