@@ -271,6 +271,11 @@ def similar_groups(
     nothing. Rows with a null key have a null component and link with nothing. Repeated rows are all
     returned; an empty table gives an empty result. Keys must be whole numbers. Other columns are not read.
     """
+    return _grouped(docs, key, text, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``similar_groups`` with ``n``, the digest of the set, ``key, key2``, and a ``group`` that no two groups share."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = written(
@@ -290,29 +295,49 @@ def similar_groups(
     found = components(links).select(F.col("node").alias("key"), F.col("component").alias("group"))
     grouped = classes.join(found, "key", "left").withColumn("group", F.coalesce("group", "key"))
     lowest = grouped.groupBy("group").agg(F.min("doc").alias("component"))
-    labelled = grouped.join(lowest, "group").select("key", "key2", "component")
+    labelled = grouped.join(lowest, "group").select("key", "key2", "group", "component")
     return rows.join(labelled, ["key", "key2"], "left").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        "n",
+        "key",
+        "key2",
+        "group",
         F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"),
     )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and texts with the digest of the text's set, null without words."""
+    for batch in batches:
+        found = [_digest(tokens) if len(tokens) else (None, None) for _, tokens in _sets(batch, WORDS)]
+        halves = [pa.array([f[i] for f in found], pa.int64()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *halves], names=["doc_id", "text", "key", "key2"])
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, but of each group only the one with the smallest key.
 
-    Keys are taken to name documents: of rows equal in key and text one stays. Rows with a null key and
-    texts without words are in no group and all stay.
+    Of rows equal in key and text one stays. A key with several texts stands for each of them: each is judged by its
+    own group, and of those that have the smallest key of one group the least stays. Rows with a null key and texts
+    without words are in no group and all stay.
     """
-    grouped = written(similar_groups(docs, key, text), "groups")
+    grouped = written(_grouped(docs, key, text), "groups")
+    several = written(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-keys")
     gone = grouped.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(gone, key, "left_anti")
-    several = written(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "repeated-keys")
     if several.isEmpty():
-        return kept
+        return docs.join(gone, key, "left_anti")
     named = several.select(F.col("doc_id").alias(key))
-    once = kept.join(named, key, "left_semi").dropDuplicates([key, text])
-    return kept.join(named, key, "left_anti").union(once.select(*kept.columns)).select(*docs.columns)
+    own = docs.join(named, key, "left_semi")
+    texts = own.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).distinct()
+    texts = texts.mapInArrow(lean(_digests), "doc_id long, text string, key long, key2 long")
+    first = grouped.join(several, "doc_id", "left_semi").where("n > 0 and component_id = doc_id")
+    first = first.select("doc_id", "key", "key2", "group").distinct()
+    chosen = texts.join(first, ["doc_id", "key", "key2"]).groupBy("doc_id", "group").agg(F.min("text").alias("text"))
+    chosen = written(chosen.select("doc_id", "text").union(texts.where("key is null").select("doc_id", "text")), "chosen")
+    same = (F.col(key) == F.col("__key")) & F.col(text).eqNullSafe(F.col("__text"))
+    once = own.join(chosen.select(F.col("doc_id").alias("__key"), F.col("text").alias("__text")), same, "left_semi")
+    alone = docs.join(named.union(gone), key, "left_anti")
+    return alone.select(*docs.columns).union(once.dropDuplicates([key, text]).select(*docs.columns))
 
 
 def _links(

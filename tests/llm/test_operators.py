@@ -154,6 +154,16 @@ def test_keep_one(docs, texts):
     assert got == Counter([k for k, (_, c) in plain.items() if k == c] + [None, None])
 
 
+def test_keep_one_judges_each_text_of_a_key(docs):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcd")
+    row = lambda key, text: (key, text, "en", "s", 1, "x", "y", "z")
+    rows = [row(1, a), row(5, f"{a} more"), row(5, b), row(7, f"{b} more"), row(8, c), row(8, f"{c} more"), row(8, d)]
+    rows += [row(9, ""), row(9, None), row(9, None), row(9, d), row(10, d), row(None, d)]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(docs(rows)).collect())
+    want = [(1, a), (5, b), (8, c), (8, d), (9, ""), (9, None), (None, d)]
+    assert got == Counter(want)
+
+
 def test_quality_counts_and_verdicts(spark, docs, texts):
     repeated = "one two three four five six seven eight nine ten " * 4
     rows = odd(texts) + [(300, repeated, "en", "s", 1, "x", "y", "z"), (301, "a\n#a b|\na\n \n \n" + texts[4], "de", "s", 1, "x", "y", "z")]
