@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.session import shared_folder
@@ -49,6 +50,27 @@ def total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], purpose: str = "numbered") -> DataFrame:
+    """``rows`` with ``place`` (long), gapless from 0 within each of ``groups``, ascending in ``order``.
+
+    Rows are dealt by ranges of all these columns and a salt, so neither a large group nor many equal rows meet in
+    one task. Each task writes its sorted rows with their number in the task; of each group and task only the first
+    number and the count are aggregated, and turn these numbers into places. ``groups`` must not hold nulls; rows
+    equal in ``order`` (nulls come first) are numbered in any order, once and for all as they are written.
+    """
+    dealt = rows.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = dealt.repartitionByRange(*groups, *order, "__salt").drop("__salt").sortWithinPartitions(*groups, *order)
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), purpose)
+    task, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.select(*rows.columns, task.alias("__task"), row.alias("__row"))
+    runs = dealt.groupBy("__task", *groups).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    shifts = runs.select("__task", *groups, shift.alias("__shift"))
+    placed = dealt.join(shifts, ["__task", *groups])
+    return placed.select(*rows.columns, (F.col("__row") + F.col("__shift")).alias("place"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of links ``a``, ``b`` (long): columns ``node``, ``component`` (smallest node).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.session import shared_folder
 
-from . import decontaminate, licenses, lines, mixing, ngram_join, quality, shards, substrings, url_rules, warc
+from . import decontaminate, licenses, lines, mixing, ngram_join, quality, set_queries, shards, substrings, url_rules, warc
 from .common import table
 
 URL_RULES = [
@@ -75,6 +75,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_url_filters, op4_license_scans, op5_substring_dedup, op6_line_dedup, op7_sharding, op8_source_mixing, op9_warc, op10_benchmark_decontamination)}
+QUERIES |= set_queries.QUERIES
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HOST = """case when instr(coalesce(url, ''), '://') > 0 then translate(
@@ -305,3 +306,4 @@ with parsed as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from best where n = 1
 """,
 }
+ORACLE |= set_queries.ORACLE
