@@ -201,7 +201,9 @@ def _child_paths(fan: int):
 def _folder(fan: int, levels: int, schema: pa.Schema):
     def fold(changed: pa.Table, chunks: pa.Table) -> pa.Table:
         n = len(changed)
-        if not n or not len(chunks):
+        if not n:
+            return schema.empty_table()
+        if not len(chunks):
             nothing = pa.nulls(n, pa.binary())
             return pa.Table.from_arrays([*changed.drop_columns(["chunk"]).columns, nothing, nothing], schema=schema)
         row = chunks.to_pylist()[0]
