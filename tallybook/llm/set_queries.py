@@ -1,20 +1,64 @@
-"""Queries over the whole document set: its manifest; and their SQL where SQL can express them."""
+"""Queries over the whole document set: packing, source divergence, manifest; and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import merkle
+from . import divergence, merkle, packing
 from .common import table
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised_pieces(table(spark, sf_dir, "documents"))
+    digests = pieces.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return packing.packed_pieces(digests)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op13_merkle_manifest,)}
+QUERIES = {f.__name__: f for f in (op11_best_fit_packing, op12_source_divergence, op13_merkle_manifest)}
 
 ORACLE = {
+    "op12_source_divergence": r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), kept as (
+  select lang, term from (select lang, unnest(list_distinct(ws)) as term from d) group by all having count(*) >= 3
+), seen as (
+  select lang, source, term, count(*) as n from (select lang, source, unnest(ws) as term from d) semi join kept using (lang, term)
+  group by all
+), groups as (
+  select lang, source, coalesce(n, 0) as total, coalesce(v, 0) as v
+  from (select distinct lang, source from d) left join (select lang, source, sum(n)::hugeint as n from seen group by all) using (lang, source)
+    left join (select lang, count(*) as v from kept group by lang) using (lang)
+), shares as (
+  select lang, source, term, coalesce(n, 0) as n, (1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (total + v))::hugeint as p
+  from groups join kept using (lang) left join seen using (lang, source, term)
+), whole as (
+  select lang, term, (1 + 1000000000::hugeint * (s + 1) // (t + v))::hugeint as q
+  from (select lang, term, sum(n)::hugeint as s from seen group by all) join (select lang, sum(total)::hugeint as t, any_value(v) as v from groups group by lang) using (lang)
+), rows as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as f
+    from shares a join shares b on a.lang = b.lang and a.term = b.term group by all) s
+    on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from shares join whole using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from rows)
+where part = 'pair' or rank <= 200
+""",
     "op13_merkle_manifest": r"""
 with recursive crc as (
   select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
