@@ -51,7 +51,7 @@ def total(terms: list[Column]) -> Column:
 
 
 def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], purpose: str = "numbered") -> DataFrame:
-    """``rows`` with ``place`` (long), gapless from 0 within each of ``groups``, ascending in ``order``.
+    """``rows`` with ``place`` (long), gapless from 0 within each of ``groups``, ascending in ``order``, and the group's ``total``.
 
     Rows are dealt by ranges of all these columns and a salt, so neither a large group nor many equal rows meet in
     one task. Each task writes its sorted rows with their number in the task; of each group and task only the first
@@ -66,9 +66,10 @@ def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], purpo
     runs = dealt.groupBy("__task", *groups).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
-    shifts = runs.select("__task", *groups, shift.alias("__shift"))
+    total = F.sum("__n").over(Window.partitionBy(*groups))
+    shifts = runs.select("__task", *groups, shift.alias("__shift"), total.alias("total"))
     placed = dealt.join(shifts, ["__task", *groups])
-    return placed.select(*rows.columns, (F.col("__row") + F.col("__shift")).alias("place"))
+    return placed.select(*rows.columns, (F.col("__row") + F.col("__shift")).alias("place"), "total")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

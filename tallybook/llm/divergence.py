@@ -69,7 +69,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     found = docs.select("lang", "text").mapInArrow(lean(_term_documents), "lang string, term binary, docs long")
     kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     placed = numbered(written(kept.select("lang", "term"), "terms"), ["lang"], ["term"])
-    return written(placed.withColumnRenamed("place", "ordinal"), "vocabulary")
+    return written(placed.select("lang", "term", F.col("place").alias("ordinal")), "vocabulary")
 
 
 def _built(group: pa.Table) -> pa.Table:

@@ -204,8 +204,8 @@ def _folder(fan: int, levels: int, schema: pa.Schema):
         if not n:
             return schema.empty_table()
         if not len(chunks):
-            nothing = pa.nulls(n, pa.binary())
-            return pa.Table.from_arrays([*changed.drop_columns(["chunk"]).columns, nothing, nothing], schema=schema)
+            nothing = [pa.nulls(n, pa.binary())] * 3
+            return pa.Table.from_arrays([*changed.drop_columns(["chunk"]).columns, *nothing], schema=schema)
         row = chunks.to_pylist()[0]
         folding = Folding(_digests(changed["digest"]))
         places = changed["place"].to_numpy() - row["chunk"] * fan**levels
@@ -214,7 +214,7 @@ def _folder(fan: int, levels: int, schema: pa.Schema):
         for step in Step.unpacked(row["path"], fan, n):
             folding.up(step)
         tops, proofs = sha.bytes_of(folding.digests), sha.bytes_of(sha.close(folding.proofs, folding.met))
-        cut = [pa.array([raw[i : i + 32] for i in range(0, 32 * n, 32)], pa.binary()) for raw in (tops, proofs)]
+        cut = [pa.array([raw[i : i + 32] for i in range(0, 32 * n, 32)], pa.binary()) for raw in (tops, proofs, row["subroot"] * n)]
         return pa.Table.from_arrays([*changed.drop_columns(["chunk"]).columns, *cut], schema=schema)
 
     return fold
@@ -252,21 +252,22 @@ class Manifest:
         return rows
 
     def paths(self) -> DataFrame:
-        """``tree, chunk, path``: the steps from the top of each row of the first round to the root."""
+        """``tree, chunk, path, subroot``: the steps from the top of each row of the first round to the root."""
         empty = F.lit(b"").alias("path")
-        trees = self.subroots.select("tree", "place", F.lit("").alias("forest"), empty)
-        trees = self._with_paths(trees, self.forest, "forest", "place").select("tree", F.col("path").alias("above"))
+        trees = self.subroots.select("tree", "place", F.lit("").alias("forest"), empty, F.col("digest").alias("subroot"))
+        trees = self._with_paths(trees, self.forest, "forest", "place").select("tree", F.col("path").alias("above"), "subroot")
         chunks = self.rounds[0].select("tree", "chunk", empty)
         chunks = self._with_paths(chunks, self.rounds[1:], "tree", "chunk")
-        return chunks.join(trees, "tree").select("tree", "chunk", F.concat("path", "above").alias("path"))
+        return chunks.join(trees, "tree").select("tree", "chunk", F.concat("path", "above").alias("path"), "subroot")
 
     def fold(self, changed: DataFrame) -> DataFrame:
-        """``changed`` (``tree, place, digest`` and other columns) with ``folded`` and ``proof``.
+        """``changed`` (``tree, place, digest`` and other columns) with ``folded``, ``proof`` and ``subroot``.
 
         ``folded`` is the root with that one leaf replaced by ``digest``, ``proof`` the hash of all siblings on its
-        way, both 32 bytes. Each row is folded apart; a place that the manifest lacks gives nulls.
+        way, ``subroot`` the root of its tree as it was, all 32 bytes. Each row is folded apart; a place that the
+        manifest lacks gives nulls.
         """
-        out = changed.select(*changed.columns, F.lit(b"").alias("folded"), F.lit(b"").alias("proof")).schema
+        out = changed.select(*changed.columns, *[F.lit(None).cast("binary").alias(c) for c in ("folded", "proof", "subroot")]).schema
         chunk = F.floor(F.col("place") / F.lit(self.fan**self.levels)).alias("chunk")
         rows = self.rounds[0].select("tree", "chunk", "n", "height", "nodes", "states").join(self.paths(), ["tree", "chunk"])
         left = changed.select("*", chunk).groupBy("tree", "chunk")
@@ -296,20 +297,19 @@ def _grow(nodes: DataFrame, fan: int, levels: int) -> tuple[list[DataFrame], Dat
 
 
 def build(leaves: DataFrame, fan: int = FAN, levels: int = LEVELS) -> Manifest:
-    """The manifest of numbered leaves ``tree`` (string, not null), ``place``, ``digest`` (32 bytes).
+    """The manifest of numbered leaves ``tree`` (string, not null), ``place``, ``total``, ``digest`` (32 bytes).
 
-    Trees are ordered bytewise by name. Places are gapless from 0 in each tree, as ``numbered`` gives them.
+    Trees are ordered bytewise by name. Places are gapless from 0 in each tree of ``total`` leaves, as ``numbered``
+    gives them.
     """
-    totals = leaves.groupBy("tree").agg(F.count("*").alias("total"))
-    rounds, tops = _grow(leaves.select("tree", "place", "digest").join(totals, "tree"), fan, levels)
+    rounds, tops = _grow(leaves.select("tree", "place", "digest", "total"), fan, levels)
     subroots = written(numbered(tops.withColumn("forest", F.lit("")), ["forest"], ["tree"]), "subroots")
-    trees = subroots.agg(F.count("*")).first()[0]
-    nodes = subroots.select(F.col("forest").alias("tree"), "place", "digest", F.lit(trees).alias("total"))
+    nodes = subroots.select(F.col("forest").alias("tree"), "place", "digest", "total")
     return Manifest(fan, levels, rounds, _grow(nodes, fan, levels)[0], subroots)
 
 
 def document_leaves(docs: DataFrame) -> DataFrame:
-    """``doc_id, tree, digest, tampered, place`` of every row of ``docs``, numbered by ``doc_id`` within its language.
+    """``doc_id, tree, digest, tampered, place, total`` of every row of ``docs``, numbered by ``doc_id`` within its language.
 
     A leaf covers ``doc_id, source, lang, n_chars, text``. ``tampered`` is its digest after 1 is added to ``n_chars``
     where 7 divides the CRC-32 of the decimal ``doc_id``, else null. Any column may be null: a null language is a tree of
@@ -339,10 +339,9 @@ def audit_manifest(docs: DataFrame, fan: int = FAN, levels: int = LEVELS) -> Dat
     changed = leaves.select(
         "tree", "place", F.coalesce("tampered", "digest").alias("digest"), "doc_id", F.col("digest").alias("leaf")
     )
-    subroots = manifest.subroots.select("tree", F.col("digest").alias("subroot"))
     root = F.lit(manifest.root).cast("binary")
     as_text = lambda name: F.lower(F.hex(name))
-    return manifest.fold(changed).join(subroots, "tree").select(
+    return manifest.fold(changed).select(
         "doc_id",
         as_text("leaf").alias("leaf"),
         as_text("subroot").alias("subroot"),

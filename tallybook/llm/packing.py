@@ -291,12 +291,14 @@ def packed_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Sequences are gapless and at most ``capacity`` long. Pieces of equal length are numbered over ranges of rows, so
     a common length is no group of its own. All columns are written and shuffled for it: leave ``ids`` out, or put a
-    digest in their place, where only the places are asked for.
+    digest in their place, where only the places are asked for. Columns of these two names are replaced.
     """
-    placed = numbered(written(pieces, "pieces"), ["length"], ["doc_id", "piece"], "lengths")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = written(pieces.select("length", "doc_id", "piece", F.struct(*kept).alias("__piece")), "pieces")
+    placed = numbered(rows, ["length"], ["doc_id", "piece"], "lengths")
     counts = {r["length"]: r["count"] for r in placed.groupBy("length").count().collect()}
     where = _located(plan(counts, capacity))(F.col("length").cast("long"), F.col("place")).alias("__where")
-    return placed.select(*pieces.columns, where).select(*pieces.columns, "__where.sequence_id", "__where.offset")
+    return placed.select("__piece", where).select("__piece.*", "__where.sequence_id", "__where.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

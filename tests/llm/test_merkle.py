@@ -116,7 +116,7 @@ def test_folding_reads_no_left_sibling(spark):
 def test_places_a_manifest_lacks_fold_to_null(spark):
     manifest = merkle.build(merkle.document_leaves(spark.createDataFrame(ROWS, DOCS)))
     asked = spark.createDataFrame([("=xx", 0, bytes(32), 1)], "tree string, place long, digest binary, mark int")
-    assert [tuple(r) for r in manifest.fold(asked).collect()] == [("=xx", 0, bytes(32), 1, None, None)]
+    assert [tuple(r) for r in manifest.fold(asked).collect()] == [("=xx", 0, bytes(32), 1, None, None, None)]
 
 
 def test_numbered(spark):
