@@ -22,6 +22,42 @@ AS_IS = _BYTES.astype(np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
+#: Plain words are cut further: at changes between letters and other characters, and around every digit.
+_ODD = (_BYTES >= 128) | np.isin(_BYTES, [ord(c) for c in "'<|>"])
+_KINDS = np.where(LETTERS, 1, np.where((_BYTES >= 48) & (_BYTES <= 57), 2, 0)).astype(np.uint8)
+
+
+def odd_words(words: pa.Array) -> np.ndarray:
+    """Which words hold a character beyond ASCII, an apostrophe or one of ``<|>``."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    odd = np.concatenate([[0], np.cumsum(_ODD[data[: offsets[-1]]])])
+    return odd[offsets[1:]] > odd[offsets[:-1]]
+
+
+def plain_parts(counts: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The same text in parts: plain words in runs of letters, runs of other characters and single digits, in lower case.
+
+    Odd words stay whole and as they are.
+    """
+    if not len(words):
+        return counts, words
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    odd = np.repeat(odd_words(words), np.diff(offsets))
+    kind = _KINDS[data]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~odd[1:]
+    begins[offsets[:-1] - offsets[0]] = True
+    starts = np.flatnonzero(begins)
+    cuts = np.append(starts, len(data)).astype(np.int32)
+    flat = np.where(odd, data, LOWER[data])
+    parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    places = np.append(offsets[:-1] - offsets[0], len(data))[firsts]
+    return np.diff(np.searchsorted(starts, places)), parts
+
+
 def _cut(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """The number of words of each text that ``bounds`` cuts ``data`` into, and all words."""
     inside = member[data]

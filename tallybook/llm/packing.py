@@ -12,59 +12,85 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_runs import NOT_BLANK, byte_runs
+from .byte_runs import NOT_BLANK, byte_runs, odd_words, plain_parts
 from .common import numbered, written
 from .hashing import lean
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker keeps; beyond it, it starts anew.
-KNOWN_WORDS = 300_000
+#: Different parts of words whose ids a worker keeps; beyond it, it starts anew.
+KNOWN_PARTS = 500_000
+#: Parts that are tokenised in one call.
+CALL = 20_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary"
 
 
-class WordIds:
-    """Ids of words, each tokenised once. Words are cut at ASCII blanks, which no token and no merge of the tokenizer spans."""
+class PartIds:
+    """Ids of parts of words, each tokenised once.
+
+    The tokenizer neither lets a token span white space nor, in plain words, a change between letters, digits and
+    other characters, and ends each such part with a token of its own kind. So the parts of many words are tokenised in
+    one call and told apart by these tokens. Words that are not plain are tokenised one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
+        last = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[last] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
-        self.flat, self.starts, self.used = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self._clear()
-        fresh = [w for w in words if w not in self.known]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        size = int(sizes.sum())
-        while self.used + size > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + size] = np.fromiter((i for own in ids for i in own), np.uint32, size)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes)])
-        self.used += size
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-
-    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each word has."""
-        coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if any(w not in self.known for w in different):
-            self._learn([w for w in different if w not in self.known] if len(self.known) + len(different) <= KNOWN_WORDS else different)
-        spot = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode("ascii"), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(words):
+            return self._one_by_one(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _learn(self, words: pa.Array) -> None:
+        odd = odd_words(words) if len(words) else np.empty(0, bool)
+        flats, starts = [self.flat], [self.starts]
+        for which, encode in ((odd, self._one_by_one), (~odd, self._together)):
+            own = words.filter(pa.array(which)).to_pylist()
+            for k in range(0, len(own), CALL):
+                ids, sizes = encode(own[k : k + CALL])
+                flats.append(ids)
+                starts.append(starts[-1][-1] + np.cumsum(sizes))
+            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
+        self.flat, self.starts = np.concatenate(flats), np.concatenate(starts)
+
+    def encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, one after the other, and how many each has."""
+        coded = parts.dictionary_encode()
+        different = coded.dictionary
+        if len(self.known) + len(different) > KNOWN_PARTS:
+            self._clear()
+        listed = different.to_pylist()
+        spots = np.array([self.known.get(part, -1) for part in listed], np.int64)
+        if (spots < 0).any():
+            self._learn(different.filter(pa.array(spots < 0)))
+            spots = np.array([self.known[part] for part in listed], np.int64)
+        spot = spots[coded.indices.to_numpy()]
         first = self.starts[spot]
         sizes = self.starts[spot + 1] - first
         begins = np.cumsum(sizes) - sizes
@@ -72,8 +98,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _part_ids(path: str) -> PartIds:
+    return PartIds(path)
 
 
 def _tokenised(path: str | None, capacity: int, end: int):
@@ -81,9 +107,9 @@ def _tokenised(path: str | None, capacity: int, end: int):
         if path is None:
             import public_tokenizers
 
-            known = _word_ids(public_tokenizers.path("word_bpe_49k.json"))
+            known = _part_ids(public_tokenizers.path("word_bpe_49k.json"))
         else:
-            known = _word_ids(path)
+            known = _part_ids(path)
         stop = np.array([end], np.uint32)
         for batch in batches:
             keys, waiting, at = batch["doc_id"], [], None
@@ -91,6 +117,7 @@ def _tokenised(path: str | None, capacity: int, end: int):
                 if at is not None and row != at:
                     yield _pieces(keys.slice(at, 1), [np.concatenate([*waiting, stop])], capacity)
                     waiting, at = [], None
+                counts, words = plain_parts(counts, words)
                 ids, sizes = known.encoded(words)
                 if piece >= 0:
                     waiting.append(ids)
@@ -124,8 +151,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     """``doc_id, piece, start, length, ids``: each row's token ids and ``end``, cut into pieces of at most ``capacity``.
 
     ``ids`` are little-endian 32-bit numbers, one after the other. ``tokenizer`` is the path of a file for the
-    ``tokenizers`` library (by default the public word vocabulary of 49,408), which must not join words over ASCII
-    blanks. A null or blank text is ``end`` alone.
+    ``tokenizers`` library with word ends, lower case and this cut of words (by default the public vocabulary of
+    49,408 entries). A null or blank text is ``end`` alone.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lean(_tokenised(tokenizer, capacity, end)), PIECES)

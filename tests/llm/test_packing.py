@@ -98,13 +98,26 @@ def test_words_have_the_ids_of_their_text(tokenizer, monkeypatch):
 
 
 def test_a_full_memory_of_words_starts_anew(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN_WORDS", 5)
-    known = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "KNOWN_PARTS", 5)
+    known = packing.PartIds(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("a b c", "a d e f", "g h i j k l m", "a b g"):
         ids, _ = known.encoded(pa.array([w.encode() for w in text.split()], pa.binary()))
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_of_words_have_the_ids_of_the_text(tokenizer):
+    rng = random.Random(12)
+    signs = ["a", "Zb", "'", "s", "t", "re", "LL", "1", "23", ".", "--", "...", "<", "|", ">", "é", "e\u0301", "=\u0338", "İ", "ß", "日", "🙂", "_", "x1", " ", "\n", "\u00a0", "<|endoftext|>", "K"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["O'Neill's <|ENDOFTEXT|> a<|endoftext|>b", "A.B-c_D,e1f22", "l'été.", "''s", "--'s", "x'sun"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = {}
+    for out in packing._tokenised(None, 4096, 1)([batch]):
+        got.update({r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out.to_pylist()})
+    for i, text in enumerate(texts):
+        assert got[i] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_pack_documents(spark, tokenizer):
     rng = random.Random(8)
     texts = [" ".join(rng.choices(["one", "two", "unbelievable", "x"], k=rng.randint(1, 70))) for _ in range(60)]
