@@ -24,8 +24,8 @@ MIN_DOCS = 3
 #: Terms of a report's source and language.
 TOP = 200
 #: Terms of a transducer, and transducers that the executors hold at once.
-BLOCK = 1 << 16
-PACK = 32
+BLOCK = 1 << 14
+PACK = 128
 #: Terms whose counts in all sources are compared together.
 SPAN = 1 << 12
 SCALE = 1_000_000_000
