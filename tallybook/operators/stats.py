@@ -13,34 +13,57 @@ def _rounded(total: Column, count: Column, places: int) -> Column:
     return F.when(count > 0, F.round(total / count, places)).otherwise(F.lit(0).cast("decimal(18,2)"))
 
 
-def dashboard_stats(df: DataFrame) -> DataFrame:
-    """One row: totals, valid and invalid counts, amount sum and mean score. Empty gives zeros.
-
-    Amounts are summed as wide decimals and rounded once, so the result does not depend on how rows are
-    distributed. Amounts that have no such decimal (not finite, or 28 digits before the point and more) are
-    counted in ``unsummed_amounts``.
-    """
+def dashboard_partials(df: DataFrame) -> DataFrame:
+    """One row of exact sums and counts over some invoices, which add up with those over others."""
     amount = F.col("total_amount").try_cast("decimal(38,10)")
     unsummed = F.col("total_amount").isNotNull() & amount.isNull()
-    sums = df.agg(
+    return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_valid")).alias("valid"),
-        F.coalesce(F.try_sum(amount), F.when(F.count(amount) == 0, F.lit(0))).alias("amount"),
+        F.try_sum(amount).alias("amount"),
+        F.count(amount).alias("amounts"),
         F.count_if(unsummed).alias("unsummed"),
-        F.coalesce(F.sum(F.coalesce(F.col("score"), F.lit(0))), F.lit(0)).alias("score"),
+        F.coalesce(F.sum(F.coalesce(F.col("score"), F.lit(0))), F.lit(0)).cast("long").alias("score"),
+    )
+
+
+def fold_dashboard(partials: DataFrame) -> DataFrame:
+    """The dashboard from any number of partial rows: the same as from all their invoices at once."""
+    # A partial sum that is null though there are amounts has overflowed, and so has the whole.
+    overflowed = F.bool_or((F.col("amounts") > 0) & F.col("amount").isNull())
+    total = F.when(F.coalesce(overflowed, F.lit(False)), F.lit(None)).otherwise(
+        F.coalesce(F.try_sum("amount"), F.when(F.coalesce(F.sum("amounts"), F.lit(0)) == 0, F.lit(0)))
+    )
+    sums = partials.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "valid", "unsummed", "score")], total.alias("amount")
     )
     return sums.select(
         F.col("n").alias("total_invoices"),
         F.col("valid").alias("valid_invoices"),
         (F.col("n") - F.col("valid")).alias("invalid_invoices"),
         F.round("amount", 2).cast("double").alias("total_amount"),
-        F.col("unsummed").alias("unsummed_amounts"),
         _rounded(F.col("score").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)"), 2)
         .cast("double")
         .alias("average_validation_score"),
+        F.col("unsummed").alias("unsummed_amounts"),
     )
 
 
+def dashboard_stats(df: DataFrame) -> DataFrame:
+    """One row: totals, valid and invalid counts, amount sum and mean score. Empty gives zeros.
+
+    Amounts are summed as wide decimals and rounded once, so the result does not depend on how rows are
+    distributed. Amounts that have no such decimal (not finite, or 28 digits before the point and more) are
+    counted in ``unsummed_amounts``.
+    """
+    return fold_dashboard(dashboard_partials(df))
+
+
+def fold_error_counts(partials: DataFrame) -> DataFrame:
+    """Error counts from those of parts."""
+    return partials.groupBy("error").agg(F.sum("n").alias("n"))
+
+
 def validation_summary(df: DataFrame) -> DataFrame:
     """One row: total, valid and invalid invoices."""
     return df.agg(

@@ -184,7 +184,9 @@ def test_documents_account_for_every_file(spark):
 
 def test_empty_tables_give_zeros(invoices):
     empty = validate_invoices(invoices({}), "2024-01-01").filter("false")
-    assert tuple(stats.dashboard_stats(empty).first()) == (0, 0, 0, 0.0, 0.0)
+    dashboard = stats.dashboard_stats(empty).first()
+    assert tuple(dashboard)[:5] == (0, 0, 0, 0.0, 0.0) and dashboard.unsummed_amounts == 0
+    assert dashboard.average_validation_score == 0.0 and dashboard.total_amount == 0.0
     assert stats.batch_summary(empty.withColumn("success", F.lit(True))).first().success_rate == 0.0
 
 
