@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +81,46 @@ def to_field_value(df: DataFrame, key: str = "invoice_id") -> DataFrame:
     return df.select(key, F.inline(rows))
 
 
-def write_field_value_csv(df: DataFrame, path: str, key: str = "invoice_id") -> None:
+def write_field_value_csv(df: DataFrame, path: str, key: str = "invoice_id", by_invoice: bool = False) -> None:
     """Write the field-value form as CSV, values quoted and quotes inside them escaped.
 
-    Key and position stay, so that every line tells its invoice and lines can be put in order.
+    Key and position stay, so that every line tells its invoice and lines can be put in order. ``by_invoice`` writes one
+    file an invoice instead, in a folder of its key, with the two columns and lines in order. Nothing is visible before
+    the whole job is committed.
     """
-    df.select(key, "position", F.col("field").alias("Field"), F.col("value").alias("Value")).write.mode("errorifexists").csv(
-        path, header=True, quoteAll=True, escape='"'
-    )
+    lines = [F.col("field").alias("Field"), F.col("value").alias("Value")]
+    if by_invoice:
+        rows = df.select(key, "position", *lines).repartition(key).sortWithinPartitions(key, "position")
+        writer = rows.drop("position").write.partitionBy(key)
+    else:
+        writer = df.select(key, "position", *lines).write
+    writer.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def write_results_json(df: DataFrame, path: str) -> None:
-    """Write result rows as JSON lines, failed extractions left out."""
+def write_results_json(df: DataFrame, path: str, arrays: bool = False) -> None:
+    """Write result rows as JSON lines, failed extractions left out.
+
+    ``arrays`` writes each file as one JSON array, a record a line; a task without rows writes no array. Files
+    become visible together, when the job is committed.
+    """
     kept = df.filter(F.col("error").isNull()) if "error" in df.columns else df
-    kept.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+    if not arrays:
+        kept.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+        return
+    record = F.to_json(F.struct(*kept.columns), {"ignoreNullFields": "false"}).alias("value")
+    kept.select(record).mapInArrow(_as_array, "value string").write.mode("errorifexists").text(path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a task as lines of one JSON array."""
+    lead, held = "[", None
+    for batch in batches:
+        lines = []
+        for record in batch["value"].to_pylist():
+            if held is not None:
+                lines.append(f"{lead}{held},")
+                lead = ""
+            held = record
+        yield pa.record_batch([pa.array(lines, pa.string())], ["value"])
+    if held is not None:
+        yield pa.record_batch([pa.array([f"{lead}{held}]"])], ["value"])

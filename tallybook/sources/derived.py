@@ -34,30 +34,34 @@ def order_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def invoices_from_orders(orders: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+def order_sides(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What orders are joined with to make invoices of them, by the column it is joined on."""
+    return {
+        "k": order_totals(spark, folder),
+        "c_custkey": table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey"),
+        "n_nationkey": table(spark, folder, "nation").select("n_nationkey", "n_regionkey"),
+        "s_suppkey": table(spark, folder, "supplier").select("s_suppkey", "s_name"),
+    }
+
+
+def invoices_from_orders(
+    orders: DataFrame, spark: SparkSession, folder: str, sides: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """F1 for the given orders: one invoice per order, with seeded defects.
 
-    ``orders`` may be a stream; everything it is joined with is static.
+    ``orders`` may be a stream; everything it is joined with is static. A stream reads ``sides`` anew for every
+    batch: hand it written ones.
     """
     k = F.col("k")
+    sides = sides or order_sides(spark, folder)
     base = (
         orders.select(
             F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_custkey")
         )
-        .join(order_totals(spark, folder), "k", "left")
-        .join(
-            table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey"),
-            F.col("c_custkey") == F.col("o_custkey"),
-        )
-        .join(
-            table(spark, folder, "nation").select("n_nationkey", "n_regionkey"),
-            F.col("n_nationkey") == F.col("c_nationkey"),
-        )
-        .join(
-            table(spark, folder, "supplier").select("s_suppkey", "s_name"),
-            F.col("s_suppkey") == F.col("sk"),
-            "left",
-        )
+        .join(sides["k"], "k", "left")
+        .join(sides["c_custkey"], F.col("c_custkey") == F.col("o_custkey"))
+        .join(sides["n_nationkey"], F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(sides["s_suppkey"], F.col("s_suppkey") == F.col("sk"), "left")
     )
     st = F.col("st")
     region_currency = (
@@ -358,6 +362,32 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """the files of F8 with the method asked for and the services that were there at the time."""
+    key = F.col("file_id")
+    asked = F.array(*[F.lit(m) for m in ("auto", "google_document_ai", "gemini_extraction", "pdf_extractor", "something")])
+    return files(spark, folder).withColumns(
+        {
+            "requested": F.get(asked, (key % 5).cast("int")),
+            "document_ready": F.floor(key / 12) % 2 == 0,
+            "model_ready": F.floor(key / 6) % 3 != 1,
+        }
+    )
+
+
+def document_answers(invoices: DataFrame) -> DataFrame:
+    """what a document service says about each file: an invoice, or the text of its failure."""
+    key = F.col("invoice_id")
+    failed = key % 7 < 3
+    fields = ["invoice_number", "vendor_name", "buyer_name", "invoice_date", "due_date", "currency"]
+    return invoices.where(key % 11 != 0).select(
+        key.alias("file_id"),
+        F.when(failed, F.concat(F.lit("503 quota exceeded for file "), key.cast("string"))).alias("error"),
+        *[F.when(~failed, F.col(f)).alias(f) for f in fields],
+        *[F.when(~failed, F.col(f)).alias(f) for f in ("subtotal", "tax_amount", "total_amount")],
+    )
+
+
 def uploads_from_events(events: DataFrame) -> DataFrame:
     """F9 for the given events: uploads, with a repeat 500 ms later for every tenth event."""
     repeat = F.expr("ts + interval 500 milliseconds")
@@ -368,6 +398,55 @@ def uploads_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+# What F12 writes: labels, and the kind of value behind each.
+LABELS = {
+    "number": [
+        "Invoice", "INVOICE #", "Invoice Number", "inv-", "INV#", "# ", "Rechnung Nr", "Rechnung Nummer", "Rechnungsnummer",
+        "Rechnungs-Nr", "rechnung ", "Ref #",
+    ],
+    "name": ["Bill To", "BILL  TO", "Buyer", "Customer", "Kunde", "Käufer", "KÄUFER", "Rechnungsempfänger", "An", "Ship To", "Sold To", "To", "ship to"],
+    "date": [
+        "Invoice Date", "Date", "Issued", "Datum", "Rechnungsdatum", "Ausstellungsdatum", "Due Date", "Payment Due",
+        "Fälligkeitsdatum", "FÄLLIG AM", "Zahlungsziel",
+    ],
+    "amount": [
+        "Total", "TOTAL AMOUNT", "Amount Due", "Grand Total", "Gesamtbetrag", "Gesamtsumme", "Endbetrag", "Summe", "Subtotal",
+        "Sub Total", "Zwischensumme", "Tax", "VAT", "GST", "MwSt", "MwSt.", "Mehrwertsteuer", "Umsatzsteuer", "USt", "Steuer",
+    ],
+    "terms": ["Payment Terms", "Terms", "Net 45", "Due in", "due on", "Zahlungsbedingungen", "Zahlungsziel", "Zahlbar bis"],
+}
+LABEL_KINDS = [(label, kind) for kind, labels in LABELS.items() for label in labels]
+SEPARATORS = [": ", "", " ", ":\n", " :\n\n  ", "\n"]
+DATE_FORMS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d MMM yyyy", "d.M.yyyy"]
+CURRENCY_SIGNS = ["$", "€", "£", "₹", "USD ", ""]
+
+
+def label_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """for every order a short text around one label, in turn of all labels, separators and forms of a value."""
+    key = F.col("o_orderkey")
+    n, m = len(LABEL_KINDS), len(SEPARATORS)
+
+    def nth(values: list[str], at: Column) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(at, F.lit(len(values))).cast("int"))
+
+    turn, form = F.floor(key / n), F.floor(key / (n * m))
+    label, kind = nth([label for label, _ in LABEL_KINDS], key), nth([kind for _, kind in LABEL_KINDS], key)
+    day = F.lit(None)
+    for i, pattern in enumerate(DATE_FORMS):
+        day = F.when(F.pmod(form, F.lit(len(DATE_FORMS))) == i, F.date_format("o_orderdate", pattern)).otherwise(day)
+    figure = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    value = (
+        F.when(kind == "number", F.concat(key.cast("string"), F.lit("-A")))
+        .when(kind == "name", F.concat(F.lit("Buyer Nr. "), key.cast("string"), F.lit("\n7 Lake Road\n12345 Town\n")))
+        .when(kind == "date", day)
+        .when(kind == "amount", F.concat(nth(CURRENCY_SIGNS, form), figure))
+        .otherwise(F.concat(F.lit("30 days from "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    )
+    name = F.concat(F.lit("Trader "), key.cast("string"))
+    text = F.concat(name, F.lit("\n8 Hill Street\n"), label, nth(SEPARATORS, turn), value, F.lit("\nend\n"))
+    return spread(table(spark, folder, "orders")).select(key.alias("invoice_id"), text.alias("text"))
+
+
 def item_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Short item tables as text, one per line item, for the item section reader."""
     name, qty = F.col("p_name"), F.col("l_quantity").cast("int").cast("string")

@@ -34,9 +34,13 @@ PDF_ONLY = {
 }
 
 
-def read_invoice_files(spark: SparkSession, path: str) -> DataFrame:
-    """The ``*.pdf`` files directly in a folder (or one file), with ``source_file`` as base name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+def read_invoice_files(spark: SparkSession, path: str, pattern: str = "*.pdf", nested: bool = False) -> DataFrame:
+    """The ``*.pdf`` files directly in a folder (or one file), with ``source_file`` as base name.
+
+    ``pattern`` and ``nested`` read files of other names, and those in folders below.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    files = reader.option("recursiveFileLookup", str(nested).lower()).load(path)
     return files.withColumn("source_file", F.element_at(F.split("path", "/"), -1))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import jsonvalues as J
 from tallybook.schema import AMOUNT_FIELDS, INVOICE_FIELDS, ITEM_TYPE
+from tallybook.sources.json_arrays import read_json_records
 
 ITEM_NUMBERS = ["quantity", "price", "total"]
 ITEMS = f"array<{ITEM_TYPE.simpleString()}>"
@@ -116,12 +117,11 @@ def load_invoices(df: DataFrame, json: str = "value") -> DataFrame:
 def read_invoice_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Invoices from JSON files, with the base name of each file as ``source_file``.
 
-    ``lines=False`` reads every file as one document; ``lines=True`` reads one document per
-    line, which lets Spark split large files.
+    ``lines=False`` reads every file as one document: one record, or an array of any size, which is read by its
+    records in parallel. ``lines=True`` reads one document per line. A file or line that is not JSON is one row.
     """
-    text = spark.read.text(path, wholetext=not lines).withColumn(
-        "source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)
-    )
     if lines:
-        text = text.filter(F.trim("value") != "")
-    return load_invoices(text, "value")
+        text = spark.read.text(path).filter(F.trim("value") != "").withColumn("file", F.input_file_name())
+    else:
+        text = read_json_records(spark, path).drop("part")
+    return load_invoices(text.withColumn("source_file", F.element_at(F.split("file", "/"), -1)).drop("file"), "value")

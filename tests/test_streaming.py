@@ -4,6 +4,9 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
+import pytest
+
 from tallybook.operators.validate import validate_invoices
 from tallybook.sources.invoice_json import read_invoice_json
 from tallybook.streaming import intake
@@ -84,3 +87,60 @@ def test_accepted_uploads_follow_the_last_accepted(spark):
             last[name] = at
             expected.append((name, at))
     assert sorted(map(tuple, got)) == expected and ("c", start + dt.timedelta(seconds=1.2)) in expected
+
+
+def chained(uploads):
+    last, expected = {}, []
+    for name, at in sorted(set(uploads)):
+        if name not in last or at - last[name] >= dt.timedelta(seconds=1):
+            last[name] = at
+            expected.append((name, at))
+    return expected
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_blocks_decide_like_one_chain(spark, block):
+    """Chains across blocks, blocks within one cooldown, gaps, and names of one upload."""
+    rng = random.Random(block)
+    start = dt.datetime(2024, 1, 1)
+    uploads, at = [("c", start)], start
+    for _ in range(900):
+        at += dt.timedelta(microseconds=rng.choice([1, 999, 90_000, 400_000, 600_000, 999_999, 1_000_000, 9_000_000]))
+        uploads.append((rng.choice("aaab"), at))
+    uploads += [("d", start + dt.timedelta(microseconds=i)) for i in range(40)] + [("d", start + dt.timedelta(seconds=1))]
+    frame = spark.createDataFrame(uploads + uploads[:9], "file_name string, ts timestamp")
+    got = intake.accepted_uploads(frame, block=block)
+    assert sorted(map(tuple, got.collect())) == chained(uploads)
+
+
+class State:
+    """The state of one group, as Spark hands it to the function."""
+
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_names_out_of_use_are_forgotten():
+    state, day = State(), pd.Timedelta(days=1)
+    start = pd.Timestamp("2024-01-01")
+
+    def arrive(rows):
+        frame = pd.DataFrame(rows, columns=["file_name", "ts"])
+        parts = list(intake._decide((0,), iter([frame]), state, 1_000_000, 600_000_000))
+        return [tuple(r) for part in parts for r in part.itertuples(index=False)]
+
+    assert len(arrive([(f"f{i}", start + pd.Timedelta(seconds=i)) for i in range(500)])) == 500
+    assert len(state.get[0]) == 500
+    arrive([("g", start + day)])
+    assert state.get[0] == ["g"]
+    # What comes behind the clock cannot be judged and says so; the state does not grow by it.
+    assert arrive([("f3", start), ("new", start + day - pd.Timedelta(seconds=599))]) == [
+        ("f3", start, True), ("new", start + day - pd.Timedelta(seconds=599), False),
+    ]
+    assert sorted(state.get[0]) == ["g", "new"]
+    before_the_epoch = State()
+    state = before_the_epoch
+    assert arrive([("old", pd.Timestamp("1960-01-01"))])[0][2] is False
