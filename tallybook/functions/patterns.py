@@ -16,21 +16,24 @@ INVOICE_NUMBER = [
 
 VENDOR_STOP_WORDS = ["invoice", "date", "bill to", "ship to", "rechnung", "datum", "kunde"]
 
-BUYER_NAME = [
-    r"Bill\s+To\s*:?\s*\n\s*([^\n]+)",
-    r"Buyer\s*:?\s*\n\s*([^\n]+)",
-    r"Customer\s*:?\s*\n\s*([^\n]+)",
-    r"Kunde\s*:?\s*\n\s*([^\n]+)",
-    r"Käufer\s*:?\s*\n\s*([^\n]+)",
-    r"Rechnungsempfänger\s*:?\s*\n\s*([^\n]+)",
-    r"An\s*:?\s*\n\s*([^\n]+)",
+# The buyer's name is the first line after one of these labels.
+BUYER_NAME_LABELS = [
+    r"Bill\s+To",
+    r"Buyer",
+    r"Customer",
+    r"Kunde",
+    r"Käufer",
+    r"Rechnungsempfänger",
+    r"An",
 ]
 
-BUYER_ADDRESS = [
-    r"Bill\s+To\s*:?\s*\n((?:[^\n]+\n){1,4})",
-    r"Kunde\s*:?\s*\n((?:[^\n]+\n){1,4})",
-    r"Rechnungsempfänger\s*:?\s*\n((?:[^\n]+\n){1,4})",
+# The buyer's address is up to four lines after one of these.
+BUYER_ADDRESS_LABELS = [
+    r"Bill\s+To",
+    r"Kunde",
+    r"Rechnungsempfänger",
 ]
+BUYER_ADDRESS_LINES = 4
 
 # A street line has a digit and one of these words somewhere after it.
 STREET_WORDS = [
@@ -185,20 +188,20 @@ LAYOUT_DATES = [
 ]
 
 LAYOUT_TOTAL = [
-    r"Total\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
-    r"Total\s+Amount\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
-    r"Gesamtbetrag\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
+    r"Total\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
+    r"Total\s+Amount\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
+    r"Gesamtbetrag\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
 ]
 
 LAYOUT_SUBTOTAL = [
-    r"Subtotal\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
-    r"Zwischensumme\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
+    r"Subtotal\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
+    r"Zwischensumme\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
 ]
 
 LAYOUT_TAX = [
-    r"Tax\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
-    r"VAT\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
-    r"MwSt\.?\s*:?\s*[$€£₹]?\s*([\d,]+\.?\d*)",
+    r"Tax\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
+    r"VAT\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
+    r"MwSt\.?\s*(?::\s*)?(?:[$€£₹]\s*)?([\d,]+\.?\d*)",
 ]
 
 FALLBACK_VENDOR_STOP_WORDS = ["invoice", "bill", "date"]

@@ -3,6 +3,7 @@ rules that the invoice semantics are defined in (those of Python)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -61,17 +62,58 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
-def capture(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
-    """The group of the first match, or null. Only for groups that cannot match empty."""
-    return empty_to_null(F.regexp_extract(text, regex(pattern, ignore_case), group))
+#: White space other than a line feed; a possessive run of it is never tried in parts.
+BLANK = r"[\s&&[^\n]]"
+#: The first line with text, after a line feed; where only white space follows, a blank that starts a line.
+FIRST_LINE = rf"(?:\s*+(?!\z)|\n*+(?={BLANK}\s*+\z))([^\n]++)"
+
+
+def line_after(label: str) -> str:
+    """The pattern of the first line with text after a label, an optional colon and a line feed.
+
+    It matches what ``label\\s*:?\\s*\\n\\s*([^\\n]+)`` does, but reads each run of white space once: after a colon or,
+    where that has no line feed behind it, without one.
+    """
+    return rf"{label}(?:\s*+:{BLANK}*+\n|{BLANK}*+\n){FIRST_LINE}"
+
+
+def lines_after(label: str, most: int) -> str:
+    """The pattern of up to ``most`` whole lines after a label, an optional colon and blank lines.
+
+    It matches what ``label\\s*:?\\s*\\n((?:[^\\n]+\\n){1,most})`` does. The lines start behind the last line feed of
+    the white space; where the text ends within the first of them, a blank line before it is what is left to match.
+    """
+    starts = rf"(?:{BLANK}*+\n)++(?=[^\n])|\s*?\n(?={BLANK}++\n)"
+    return rf"{label}(?:\s*+:|)(?:{starts})((?:[^\n]++\n){{1,{most}}}+)"
+
+
+def literal_of(pattern: str) -> str:
+    """What every match of a pattern starts with, in lower case. Only for patterns that start with a plain word or mark."""
+    return re.match(r"[^\W\d_]+|#", pattern)[0].lower()
+
+
+def capture(
+    text: Column, pattern: str, group: int = 1, ignore_case: bool = True, folded: Column | None = None, before: str = ""
+) -> Column:
+    """The group of the first match, or null. Only for groups that cannot match empty.
+
+    ``folded`` is the text as ``fold`` gives it: a text without the word that the pattern starts with is then not
+    searched. ``before`` is put in front of the pattern.
+    """
+    found = empty_to_null(F.regexp_extract(text, regex(before + pattern, ignore_case), group))
+    return found if folded is None else F.when(folded.contains(literal_of(pattern)), found)
 
 
 def first_capture(
-    text: Column, patterns: Sequence[str], group: int | Sequence[int] = 1, ignore_case: bool = True
+    text: Column,
+    patterns: Sequence[str],
+    group: int | Sequence[int] = 1,
+    ignore_case: bool = True,
+    folded: Column | None = None,
 ) -> Column:
     """The capture of the first pattern that matches; later patterns are not evaluated then."""
     groups = [group] * len(patterns) if isinstance(group, int) else group
-    return F.coalesce(*[capture(text, p, g, ignore_case) for p, g in zip(patterns, groups)])
+    return F.coalesce(*[capture(text, p, g, ignore_case, folded) for p, g in zip(patterns, groups)])
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
@@ -79,10 +121,9 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, with the two letters that case-insensitive patterns also match as ``i`` and ``s``."""
-    lowered = F.lower(text)
-    special = text.contains("ı") | text.contains("ſ")
-    return F.when(special, F.translate(lowered, "ıſ", "is")).otherwise(lowered)
+    """Lower case, with the three letters that case-insensitive patterns also match as ``i`` and ``s``."""
+    special = text.contains("ı") | text.contains("ſ") | text.contains("İ")
+    return F.when(special, F.lower(F.translate(text, "İıſ", "iis"))).otherwise(F.lower(text))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

@@ -1,7 +1,8 @@
 """Pattern extraction of invoice fields from document text, English and German.
 
 Everything is a column expression over one row. The first pattern that matches wins and later
-patterns are not evaluated for that row.
+patterns are not evaluated for that row. Functions take the text in folded form as well: a pattern is then tried only
+on texts that have the word it starts with, and most texts have few of the many labels.
 """
 
 from __future__ import annotations
@@ -16,7 +17,18 @@ from tallybook.functions.normalize import (
     parse_amount_normalized,
     plain_number,
 )
-from tallybook.functions.pycompat import capture, contains_any, first_capture, fold, let, matches, pystrip, regex
+from tallybook.functions.pycompat import (
+    capture,
+    contains_any,
+    first_capture,
+    fold,
+    let,
+    line_after,
+    lines_after,
+    matches,
+    pystrip,
+    regex,
+)
 
 ITEM_ARRAY = "array<struct<description:string,quantity:double,price:double,total:double>>"
 
@@ -25,8 +37,8 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def invoice_number(text: Column) -> Column:
-    return pystrip(first_capture(text, P.INVOICE_NUMBER))
+def invoice_number(text: Column, folded: Column | None = None) -> Column:
+    return pystrip(first_capture(text, P.INVOICE_NUMBER, folded=folded))
 
 
 def first_usable(lines: Column, shortest: int, longest: int | None, stop_words: list[str]) -> Column:
@@ -44,12 +56,13 @@ def vendor_name(lines: Column) -> Column:
     return first_usable(lines, 3, 99, P.VENDOR_STOP_WORDS)
 
 
-def buyer_name(text: Column) -> Column:
-    return pystrip(first_capture(text, P.BUYER_NAME))
+def buyer_name(text: Column, folded: Column | None = None) -> Column:
+    return pystrip(first_capture(text, [line_after(label) for label in P.BUYER_NAME_LABELS], folded=folded))
 
 
-def buyer_address(text: Column) -> Column:
-    return pystrip(first_capture(text, P.BUYER_ADDRESS))
+def buyer_address(text: Column, folded: Column | None = None) -> Column:
+    patterns = [lines_after(label, P.BUYER_ADDRESS_LINES) for label in P.BUYER_ADDRESS_LABELS]
+    return pystrip(first_capture(text, patterns, folded=folded))
 
 
 def vendor_address(lines: Column) -> Column:
@@ -74,26 +87,29 @@ def vendor_address(lines: Column) -> Column:
     return let(F.transform(F.slice(lines, 1, 15), marked), collect)
 
 
-def date_text(text: Column, labels: list[str]) -> Column:
+def date_text(text: Column, labels: list[str], folded: Column | None = None) -> Column:
     """The first date after a label. A labelled line without a date leads on to the next label."""
     found = [
-        let(pystrip(capture(text, label)), lambda line: first_capture(line, P.DATE_IN_LINE, group=0))
+        let(pystrip(capture(text, label, folded=folded)), lambda line: first_capture(line, P.DATE_IN_LINE, group=0))
         for label in labels
     ]
     return F.coalesce(*found)
 
 
-def amount(text: Column, patterns: list[str], amounts: str = "legacy", lookbehind: str = "") -> Column:
+def amount(
+    text: Column, patterns: list[str], amounts: str = "legacy", lookbehind: str = "", folded: Column | None = None
+) -> Column:
     """The first pattern whose capture reads as a number."""
     parse = {"legacy": parse_amount_basic, "normalized": parse_amount_normalized}[amounts]
-    return F.coalesce(*[let(capture(text, lookbehind + p), parse) for p in patterns])
+    return F.coalesce(*[let(capture(text, p, folded=folded, before=lookbehind), parse) for p in patterns])
 
 
-def payment_terms(text: Column) -> Column:
-    return pystrip(first_capture(text, [p for p, _ in P.PAYMENT_TERMS], [g for _, g in P.PAYMENT_TERMS]))
+def payment_terms(text: Column, folded: Column | None = None) -> Column:
+    groups = [g for _, g in P.PAYMENT_TERMS]
+    return pystrip(first_capture(text, [p for p, _ in P.PAYMENT_TERMS], groups, folded=folded))
 
 
-def line_items(text: Column, lines: Column | None = None) -> Column:
+def line_items(text: Column, lines: Column | None = None, folded: Column | None = None) -> Column:
     """Items of the section between the first header line and the next closing line.
 
     A header line names both an item and a value column and is never an item. An item line has
@@ -143,7 +159,7 @@ def line_items(text: Column, lines: Column | None = None) -> Column:
     lines = lines_of(text) if lines is None else lines
     items = F.array_compact(let(F.transform(lines, marked), section)).cast(ITEM_ARRAY)
     # A text without the words of a header line has no section, and its lines need no reading.
-    folded = fold(text)
+    folded = fold(text) if folded is None else folded
     headed = contains_any(folded, P.ITEM_HEADER_NAMES) & contains_any(folded, P.ITEM_HEADER_VALUES)
     return F.coalesce(F.when(headed, items), F.array().cast(ITEM_ARRAY))
 
@@ -156,26 +172,26 @@ def extract_basic(
     ``amounts="normalized"`` reads ``1,234.56`` as that number instead of the legacy reading.
     ``fix_subtotal=True`` keeps the total patterns from matching inside ``Subtotal``.
     """
-    body, lines = F.col(text), F.col("_lines")
+    body, lines, folded = F.col(text), F.col("_lines"), F.col("_folded")
     lookbehind = "(?<!sub)" if fix_subtotal else ""
     return (
-        df.withColumn("_lines", lines_of(body))
+        df.withColumns({"_lines": lines_of(body), "_folded": fold(body)})
         .withColumns(
             {
-                "invoice_number": invoice_number(body),
+                "invoice_number": invoice_number(body, folded),
                 "vendor_name": vendor_name(lines),
-                "buyer_name": buyer_name(body),
+                "buyer_name": buyer_name(body, folded),
                 "vendor_address": vendor_address(lines),
-                "buyer_address": buyer_address(body),
-                "invoice_date": date_text(body, P.INVOICE_DATE_LINE),
-                "due_date": date_text(body, P.DUE_DATE_LINE),
+                "buyer_address": buyer_address(body, folded),
+                "invoice_date": date_text(body, P.INVOICE_DATE_LINE, folded),
+                "due_date": date_text(body, P.DUE_DATE_LINE, folded),
                 "currency": currency_basic(body),
-                "total_amount": amount(body, P.TOTAL_AMOUNT, amounts, lookbehind),
-                "subtotal": amount(body, P.SUBTOTAL, amounts),
-                "tax_amount": amount(body, P.TAX_AMOUNT, amounts),
-                "payment_terms": payment_terms(body),
-                "line_items": line_items(body, lines),
+                "total_amount": amount(body, P.TOTAL_AMOUNT, amounts, lookbehind, folded),
+                "subtotal": amount(body, P.SUBTOTAL, amounts, folded=folded),
+                "tax_amount": amount(body, P.TAX_AMOUNT, amounts, folded=folded),
+                "payment_terms": payment_terms(body, folded),
+                "line_items": line_items(body, lines, folded),
             }
         )
-        .drop("_lines")
+        .drop("_lines", "_folded")
     )

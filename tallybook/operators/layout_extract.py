@@ -14,10 +14,13 @@ from pyspark.sql.window import Window
 from tallybook.functions import patterns as P
 from tallybook.functions.normalize import currency_layout, parse_amount_normalized, to_layout_date
 from tallybook.functions.pycompat import (
+    FIRST_LINE,
     capture,
     contains_any,
     first_capture,
+    fold,
     let,
+    line_after,
     pystrip,
     regex,
     truthy_number,
@@ -62,31 +65,36 @@ def vendor_from_words(words: DataFrame, key: str = "invoice_id") -> DataFrame:
     return first.filter(usable).groupBy(key).agg(F.min_by(word, F.col("ord")).alias("vendor_word"))
 
 
-def buyer_layout(text: Column) -> Column:
+def buyer_layout(text: Column, folded: Column | None = None) -> Column:
     """Line after a buyer label; else the line after the first ``To:``, ``An:`` or ``Customer:``."""
-    labelled = [re.escape(label) + r"\s*:?\s*\n\s*([^\n]+)" for label in P.LAYOUT_BUYER_LABELS]
+    labelled = [line_after(re.escape(label)) for label in P.LAYOUT_BUYER_LABELS]
+    # The first line feed after the mark is found by itself, and the text is read from there.
     marked = [
-        F.when(text.contains(mark), capture(F.substr(text, F.instr(text, mark)), r"\n\s*([^\n]+)"))
-        for mark in P.LAYOUT_BUYER_MARKS
+        F.when(text.contains(mark), let(F.substr(text, F.instr(text, mark)), _after_line_feed)) for mark in P.LAYOUT_BUYER_MARKS
     ]
-    return pystrip(F.coalesce(first_capture(text, labelled), *marked))
+    return pystrip(F.coalesce(first_capture(text, labelled, folded=folded), *marked))
 
 
-def number_layout(text: Column) -> Column:
+def _after_line_feed(text: Column) -> Column:
+    rest = F.when(text.contains("\n"), F.substr(text, F.instr(text, "\n")))
+    return capture(rest, r"\A\n" + FIRST_LINE)
+
+
+def number_layout(text: Column, folded: Column | None = None) -> Column:
     """The first pattern whose capture has at least three characters."""
     found = [
-        let(capture(text, p), lambda n: F.when(F.length(n) >= 3, pystrip(n))) for p in P.LAYOUT_INVOICE_NUMBER
+        let(capture(text, p, folded=folded), lambda n: F.when(F.length(n) >= 3, pystrip(n))) for p in P.LAYOUT_INVOICE_NUMBER
     ]
     return F.coalesce(*found)
 
 
-def date_layout(text: Column, labels: list[str]) -> Column:
+def date_layout(text: Column, labels: list[str], folded: Column | None = None) -> Column:
     """ISO date from the line of the first label that occurs; other labels are not tried."""
-    return let(pystrip(first_capture(text, labels)), to_layout_date)
+    return let(pystrip(first_capture(text, labels, folded=folded)), to_layout_date)
 
 
-def amount_layout(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[let(capture(text, p), parse_amount_normalized) for p in patterns])
+def amount_layout(text: Column, patterns: list[str], folded: Column | None = None) -> Column:
+    return F.coalesce(*[let(capture(text, p, folded=folded), parse_amount_normalized) for p in patterns])
 
 
 def fallback_vendor(text: Column) -> Column:
@@ -110,17 +118,17 @@ def _has_value(value: Column, amount: bool) -> Column:
 
 def layout_captures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the raw captures as ``_layout_*`` and ``_regex_*`` columns, before they are merged."""
-    body = F.col(text)
-    return df.withColumns(
+    body, folded = F.col(text), F.col("_folded")
+    return df.withColumn("_folded", fold(body)).withColumns(
         {
-            "_layout_buyer_name": buyer_layout(body),
-            "_layout_invoice_number": number_layout(body),
-            "_layout_invoice_date": date_layout(body, P.LAYOUT_INVOICE_DATE_LINE),
-            "_layout_due_date": date_layout(body, P.LAYOUT_DUE_DATE_LINE),
-            "_layout_total_amount": amount_layout(body, P.LAYOUT_TOTAL),
-            "_layout_subtotal": amount_layout(body, P.LAYOUT_SUBTOTAL),
-            "_layout_tax_amount": amount_layout(body, P.LAYOUT_TAX),
-            "_regex_invoice_number": capture(body, P.PLAIN_NUMBER, ignore_case=False),
+            "_layout_buyer_name": buyer_layout(body, folded),
+            "_layout_invoice_number": number_layout(body, folded),
+            "_layout_invoice_date": date_layout(body, P.LAYOUT_INVOICE_DATE_LINE, folded),
+            "_layout_due_date": date_layout(body, P.LAYOUT_DUE_DATE_LINE, folded),
+            "_layout_total_amount": amount_layout(body, P.LAYOUT_TOTAL, folded),
+            "_layout_subtotal": amount_layout(body, P.LAYOUT_SUBTOTAL, folded),
+            "_layout_tax_amount": amount_layout(body, P.LAYOUT_TAX, folded),
+            "_regex_invoice_number": capture(body, P.PLAIN_NUMBER, ignore_case=False, folded=folded),
             "_regex_currency": currency_layout(body),
         }
     )

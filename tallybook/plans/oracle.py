@@ -5,7 +5,7 @@ Each statement derives its inputs from the order tables by itself (see FIXTURES.
 
 from __future__ import annotations
 
-from tallybook.functions import patterns as P
+from tallybook.plans import expected as P
 
 AS_OF = "date '2000-06-30'"
 NL = "chr(10)"
