@@ -20,6 +20,7 @@ from tallybook.operators import responses as R
 from tallybook.operators import routing, stats, store, verify, views
 from tallybook.operators.validate import rule_hits, score_band, validate_invoices
 from tallybook.plans.documents import process_documents, unsupported_result
+from tallybook.ranges import written
 from tallybook.session import shared_folder
 from tallybook.sources import derived as D
 from tallybook.sources import files as S
@@ -114,7 +115,7 @@ def ag_error_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ag_load_summary(spark: SparkSession, folder: str) -> DataFrame:
-    loaded = J.load_invoices(_records(spark, folder), "record")
+    loaded = J.load_invoices(json_records(spark, folder), "record")
     return stats.load_summary(intake.validate_stream(loaded, AS_OF))
 
 
@@ -312,7 +313,7 @@ def src_documents_ocr(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", S.needs_ocr(F.col("text")).alias("needs_ocr"))
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
+def json_records(spark: SparkSession, folder: str) -> DataFrame:
     """Invoices as JSON records: well-typed, with a wrong type, in an array, or malformed."""
     invoices = D.invoices(spark, folder)
     key = F.col("invoice_id")
@@ -338,7 +339,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def src_json(spark: SparkSession, folder: str) -> DataFrame:
-    return J.load_invoices(_records(spark, folder), "record").select(
+    return J.load_invoices(json_records(spark, folder), "record").select(
         "invoice_id", "invoice_number", "vendor_name", "due_date", _money("total_amount").alias("total_amount"), "load_error"
     )
 
@@ -821,7 +822,9 @@ def ss_validate(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a stream, each becoming an invoice that is validated and appended to a table."""
     schema = table(spark, folder, "orders").schema
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
-    validated = intake.validate_stream(D.invoices_from_orders(orders, spark, folder), AS_OF)
+    # Every batch joins the same static side: it is summed up and written once.
+    sides = {name: written(side, "sides") for name, side in D.order_sides(spark, folder).items()}
+    validated = intake.validate_stream(D.invoices_from_orders(orders, spark, folder, sides), AS_OF)
     rows = validated.select("invoice_id", "invoice_number", "is_valid", "score")
     target = shared_folder(spark, "validated")
     intake.append_available(rows, f"{target}/table", f"{target}/checkpoint")
