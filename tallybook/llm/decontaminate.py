@@ -1,10 +1,9 @@
-"""Benchmark items in documents: exact weighted shingles of item-sized windows.
+"""Benchmark items in documents: SimHash of item-sized windows, found by Hamming blocks, then exact weighted shingles.
 
-Common shingles weigh at most what a window shares with an item, and the window and the item together weigh
-at least as much as the item. So a match shares one of an item's ``anchors``: its heaviest shingles, as many as
-weigh more than a quarter of it. Of the items whose anchors a document has, running sums over the document bound
-the similarity of every window from above, and the windows whose bound reaches the threshold are counted exactly.
-Both steps leave out only what cannot match.
+A window that is like an item has one of its shingles, so only windows around shingles of items of their size get a
+fingerprint: each bit is the weighted majority of the window's shingles. The fingerprints of items are indexed by their
+bytes, each with up to two bits flipped: two fingerprints at most ``RADIUS`` bits apart agree so far in one byte at least, so
+all of them meet. Pairs that do are verified by their exact weighted shingles.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +25,42 @@ from .hashing import hashed_words, lean, mix, shingles, windows
 
 WORDS = 5
 PERCENT = 75
-#: Bits between fingerprints that ``ItemIndex.within`` looks for; no match depends on it.
-RADIUS = 15
+BITS = 128
+#: Flipped bits of a byte under which an item is indexed.
+FLIPS = 2
+#: Bits between fingerprints up to which all pairs are found: beyond it every byte may differ in one more bit.
+RADIUS = BITS // 8 * (FLIPS + 1) - 1
 #: Words of items whose index goes to the executors at once; a larger benchmark is searched in blocks.
-MAX_BLOCK_WORDS = 2_000_000
+MAX_BLOCK_WORDS = 500_000
+#: Shingles of a document whose bits are held at once.
+STRETCH = 1 << 16
 
 _U = np.uint64
 _BITS = np.array([bin(v).count("1") for v in range(256)], np.uint8)
+_NEAR = np.array([sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(8), n)], np.uint8)
 MATCH = "array<struct<item_id:bigint,start:int,similarity:double>>"
 
 
-def fingerprints(words: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    """SimHash of the windows of ``size`` words at ``starts``: each bit is the majority of the words' bits."""
-    low, high = int(starts.min()), int(starts.max()) + size
-    own = mix(words[low:high])
-    signs = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    sums = np.zeros((len(own) + 1, 64), np.int32)
-    np.cumsum(signs, axis=0, out=sums[1:])
-    ones = sums[starts - low + size] - sums[starts - low]
-    return np.packbits(2 * ones > size, axis=1).view(_U).ravel()
+def fingerprints(found: np.ndarray, weights: np.ndarray, span: int, starts: np.ndarray) -> np.ndarray:
+    """SimHash (16 bytes each) of the windows of ``span`` shingles at the ascending ``starts``."""
+    out = np.empty((len(starts), BITS // 8), np.uint8)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(starts, low + STRETCH)))
+        own = slice(low, int(starts[stop - 1]) + span)
+        halves = np.stack([mix(found[own]), mix(found[own] ^ _U(0xD6E8FEB86659FD93))], axis=1)
+        signs = 2 * np.unpackbits(halves.view(np.uint8), axis=1).astype(np.int32) - 1
+        sums = np.zeros((len(signs) + 1, BITS), np.int32)
+        np.cumsum(signs * weights[own, None].astype(np.int32), axis=0, out=sums[1:])
+        places = starts[at:stop] - low
+        out[at:stop] = np.packbits(sums[places + span] > sums[places], axis=1)
+        at = stop
+    return out
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _BITS[(a ^ b).view(np.uint8).reshape(-1, 8)].sum(axis=1)
+    return _BITS[a ^ b].sum(axis=1, dtype=np.int32)
 
 
 def _places(found: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +73,7 @@ def _places(found: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class ItemIndex:
-    """Items by number: distinct shingles with counts and weights, one after the other, and anchors by shingle length."""
+    """Items by number: distinct shingles with counts and weights, one after the other, and fingerprints by size."""
 
     def __init__(
         self, ids: list[int], texts: list[str | None], words: int = WORDS, percent: int = PERCENT,
@@ -71,21 +84,19 @@ class ItemIndex:
         """
         self.words, self.percent = words, percent
         self.ids: list[int] = []
-        lengths, prints, shares, numbers = [], [], [], []
+        lengths, orders, shares, numbers = [], [], [], []
         for row, counts, hashed in hashed_words(pa.array(texts, pa.string()), lower=True):
             at = 0
             for k, n in enumerate(counts.tolist()):
                 if n:
-                    own = hashed[at : at + n]
                     self.ids.append(ids[row + k])
                     lengths.append(n)
-                    prints.append(fingerprints(own, n, np.zeros(1, np.int64)))
-                    share, number = np.unique(self.shingles(own), return_counts=True)
+                    orders.append(self.shingles(hashed[at : at + n]))
+                    share, number = np.unique(orders[-1], return_counts=True)
                     shares.append(share)
                     numbers.append(number)
                 at += n
         self.lengths = np.array(lengths, np.int64)
-        self.prints = np.concatenate([*prints, np.empty(0, _U)])
         self.bounds = np.cumsum([0, *map(len, shares)])
         self.shares = np.concatenate([*shares, np.empty(0, _U)])
         self.numbers = np.concatenate([*numbers, np.empty(0, np.int64)])
@@ -97,7 +108,9 @@ class ItemIndex:
         self.repeated_weights = np.array([1 + int(math.log2(everything / n)) for n in times.tolist()], np.int8)
         self.unseen = 1 + int(math.log2(max(1, everything)))
         self.weights = self.weigh(self.shares)
-        self.anchors, self.owners = self._anchors()
+        whole = np.zeros(1, np.int64)
+        prints = [fingerprints(own, self.weigh(own), len(own), whole) for own in orders]
+        self.prints = np.concatenate([*prints, np.empty((0, BITS // 8), np.uint8)])
 
     def shingles(self, own: np.ndarray) -> np.ndarray:
         """All shingles in order; of fewer words the whole sequence."""
@@ -111,92 +124,104 @@ class ItemIndex:
         out[hit] = self.repeated_weights[at[hit]]
         return out
 
-    def _anchors(self) -> tuple[dict[int, np.ndarray], dict[int, list[list[int]]]]:
-        """By shingle length, the sorted anchors and the items of each."""
-        owners: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    @cached_property
+    def marks(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By shingle length: the sorted shingles, and behind the offsets of each the sizes of the items that have it."""
+        owners: dict[int, set] = defaultdict(set)
         for j, size in enumerate(self.lengths.tolist()):
-            own = slice(self.bounds[j], self.bounds[j + 1])
-            order = np.argsort(-self.weights[own], kind="stable")
-            taken = np.cumsum((self.weights[own] * self.numbers[own])[order])
-            enough = int(np.argmax(100 * taken > (100 - self.percent) * taken[-1])) + 1
-            for s in self.shares[own][order[:enough]].tolist():
-                owners[min(size, self.words)][s].append(j)
-        ordered = {width: sorted(of.items()) for width, of in owners.items()}
-        anchors = {width: np.array([s for s, _ in of], _U) for width, of in ordered.items()}
-        return anchors, {width: [items for _, items in of] for width, of in ordered.items()}
+            owners[min(size, self.words)].update((s, size) for s in self.shares[self.bounds[j] : self.bounds[j + 1]].tolist())
+        out = {}
+        for width, pairs in owners.items():
+            ordered = sorted(pairs)
+            known, first = np.unique(np.array([s for s, _ in ordered], _U), return_index=True)
+            out[width] = known, np.append(first, len(ordered)), np.array([size for _, size in ordered], np.int64)
+        return out
 
     @cached_property
-    def sizes(self) -> dict[int, tuple[np.ndarray, np.ndarray, list]]:
-        """Items, fingerprints and byte index by item size."""
+    def sizes(self) -> dict[int, tuple[np.ndarray, list]]:
+        """Items and byte index by item size."""
         out = {}
         for size in np.unique(self.lengths).tolist():
             own = np.flatnonzero(self.lengths == size)
-            out[size] = own, self.prints[own], self._buckets(self.prints[own])
+            out[size] = own, self._buckets(self.prints[own])
         return out
 
     @staticmethod
     def _buckets(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each byte: offsets by value, and the items whose byte is that value or one bit away."""
-        near = np.array([0, *(1 << b for b in range(8))], np.uint8)
+        """For each byte: offsets by value, and the items whose byte is that value or at most ``FLIPS`` bits away."""
         out = []
-        for column in prints.view(np.uint8).reshape(-1, 8).T:
-            values = (column[:, None] ^ near).ravel()
-            owners = np.repeat(np.arange(len(prints)), len(near))
+        for column in prints.T:
+            values = (column[:, None] ^ _NEAR).ravel()
+            owners = np.repeat(np.arange(len(prints), dtype=np.int32), len(_NEAR))
             order = np.argsort(values, kind="stable")
             out.append((np.searchsorted(values[order], np.arange(257)), owners[order]))
         return out
 
     def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item of this size) at most ``RADIUS`` bits apart."""
-        items, own, buckets = self.sizes[size]
-        codes = []
-        for b, column in enumerate(prints.view(np.uint8).reshape(-1, 8).T):
-            offsets, owners = buckets[b]
+        """All pairs (fingerprint, item of this size) at most ``RADIUS`` bits apart."""
+        items, buckets = self.sizes[size]
+        own, codes = self.prints[items], np.empty(0, np.int64)
+        for (offsets, owners), column in zip(buckets, prints.T, strict=True):
             first, n = offsets[column], offsets[column.astype(np.int64) + 1] - offsets[column]
             which = np.repeat(np.arange(len(prints)), n)
             spots = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            codes.append(which * len(own) + owners[spots])
-        codes = np.unique(np.concatenate(codes))
+            codes = np.unique(np.concatenate([codes, which * len(own) + owners[spots]]))
         window, item = codes // len(own), codes % len(own)
         near = distances(prints[window], own[item]) <= RADIUS
         return window[near], items[item[near]]
 
     def documents(self, hashed: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list]]:
         """``(document, matches)`` for those of a run of documents that have a match."""
-        items: dict[int, set[int]] = defaultdict(set)
+        spots: dict[tuple[int, int], list] = defaultdict(list)
         shingled = {}
-        for width, anchors in self.anchors.items():
+        for width, (known, offsets, sizes) in self.marks.items():
             found, numbers = windows(hashed, counts, width)
             last = np.cumsum(numbers)
             shingled[width] = found, last - numbers, last
-            at, hit = _places(found, anchors)
+            at, hit = _places(found, known)
             hits = np.flatnonzero(hit)
-            pairs = np.unique(np.searchsorted(last, hits, side="right") * len(anchors) + at[hits])
-            for doc, spot in zip((pairs // len(anchors)).tolist(), (pairs % len(anchors)).tolist(), strict=True):
-                items[doc].update(self.owners[width][spot])
-        for doc, near in sorted(items.items()):
-            own = {width: found[first[doc] : last[doc]] for width, (found, first, last) in shingled.items()}
-            matches = self.matches(int(counts[doc]), own, sorted(near))
-            if matches:
-                yield doc, matches
-
-    def matches(self, n: int, own: dict[int, np.ndarray], items: list[int]) -> list[tuple[int, int, float]]:
-        """``(item, first word, similarity)`` of the best window of each of ``items`` that reaches the threshold.
-
-        ``own`` has the shingles of the document, of ``n`` words, by their length.
+            n = offsets[at[hits] + 1] - offsets[at[hits]]
+            place = np.repeat(hits, n)
+            size = sizes[np.repeat(offsets[at[hits]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            doc = np.searchsorted(last, place, side="right")
+            for key, spot in zip(zip(doc.tolist(), size.tolist(), strict=True), (place - (last - numbers)[doc]).tolist(), strict=True):
+                spots[key].append(spot)
+        matches: dict[int, list] = defaultdict(list)
+        for (doc, size), near in spots.items():
+            found, first, last = shingled[min(size, self.words)]
+            own = found[first[doc] : last[doc]]
+            matches[doc] += self.matches(int(counts[doc]), own, size, np.array(near))
+        for doc, found in sorted(matches.items()):
+            if found:
+                yield doc, sorted(found)
+
+    def matches(self, n: int, found: np.ndarray, size: int, near: np.ndarray) -> list[tuple[int, int, float]]:
+        """``(item, first word, similarity)`` of the best window of each item of ``size`` that reaches the threshold.
+
+        ``found`` has the shingles of the document, of ``n`` words; windows hold one of those at ``near``.
         """
-        weights = {width: self.weigh(found) for width, found in own.items()}
+        length = min(size, n)
+        span = length - min(size, self.words) + 1
+        edge = np.zeros(n + 2, np.int32)
+        np.add.at(edge, np.maximum(near - span + 1, 0), 1)
+        np.add.at(edge, np.minimum(near, n - length) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge)[: n - length + 1] > 0)
+        weights = self.weigh(found)
+        window, items = self.within(size, fingerprints(found, weights, span, starts))
         out = []
-        for item in items:
-            size = int(self.lengths[item])
-            width, length = min(size, self.words), min(size, n)
-            best = self._best(own[width], weights[width], length - width + 1, item)
+        for item in np.unique(items).tolist():
+            best = self._best(found, weights, span, item, starts[window[items == item]])
             if best:
                 out.append((self.ids[item], best[0], best[1]))
-        return sorted(out)
+        return out
 
-    def _best(self, found: np.ndarray, weights: np.ndarray, span: int, item: int) -> tuple[int, float] | None:
-        """The first of the windows of ``span`` shingles that are most like the item, and its similarity."""
+    def _best(
+        self, found: np.ndarray, weights: np.ndarray, span: int, item: int, starts: np.ndarray
+    ) -> tuple[int, float] | None:
+        """The first of the windows at ``starts`` that are most like the item, and its similarity.
+
+        Running sums bound each window's similarity from above; those that may reach the threshold are counted.
+        """
         share = slice(self.bounds[item], self.bounds[item + 1])
         numbers, worth = self.numbers[share], self.weights[share]
         whole = int((worth * numbers).sum())
@@ -208,7 +233,7 @@ class ItemIndex:
 
         both = sums(weights) + whole
         most = np.minimum(sums(weights * hit), whole)
-        starts = np.flatnonzero(100 * most >= self.percent * (both - most))
+        starts = starts[100 * most[starts] >= self.percent * (both - most)[starts]]
         bounds = most[starts] / (both - most)[starts]
         best = None
         for k in np.argsort(-bounds, kind="stable").tolist():
@@ -299,6 +324,9 @@ def find_items(
 ) -> DataFrame:
     """``doc_id, item_id, start, similarity``: for each document and item the best window that matches.
 
+    Found are windows whose fingerprint is at most ``RADIUS`` of 128 bits from the item's; one of similarity 0.75 is
+    about 20 bits away.
+
     ``start`` is the window's first word, from 0, the first of equally good ones; a document shorter than
     the item is one window. Similarity is the weight of the common 5-word shingles over that of all, each as
     often as it occurs; 0.75 or more matches. A-Z is folded. Null and blank texts match nothing; rows with
@@ -320,18 +348,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") ->
     """The rows of ``docs``, with their columns, in which no item is found.
 
     One block of items is a projection; of several, each writes the digests of the texts that have a match, and
-    rows with such a text go by one join.
+    rows with such a text go by one join. Null and blank texts stay, of repeated rows all stay or go, columns of any
+    name are kept, and without documents or items nothing changes.
     """
     blocks, indexes = search_blocks(items)
     if not blocks:
         return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if blocks == 1:
-        return docs.withColumn("__hits", _lookup(next(indexes))(F.col(text))).where(F.size("__hits") == 0).drop("__hits")
-    digest = F.sha2(F.col(text), 256).alias("__digest")
+        found = docs.select(row, _lookup(next(indexes))(F.col(text)).alias("hits"))
+        return found.where(F.size("hits") == 0).select(*kept)
+    digest = F.sha2(F.col(text), 256).alias("digest")
 
     def matched(found: Callable) -> DataFrame:
         hits = docs.select(digest, found(F.col(text)).alias("hits"))
-        return hits.where(F.size("hits") > 0).select("__digest").distinct()
+        return hits.where(F.size("hits") > 0).select("digest").distinct()
 
     gone = _written_blocks(indexes, matched).distinct()
-    return docs.withColumn("__digest", digest).join(gone, "__digest", "left_anti").select(*docs.columns)
+    return docs.select(row, digest).join(gone, "digest", "left_anti").select(*kept)

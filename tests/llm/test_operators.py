@@ -483,16 +483,35 @@ def test_find_items(spark, docs, texts):
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     index = decontaminate.ItemIndex(list(range(40)), [" ".join(f"t{i}x{j}" for j in range(20)) for i in range(40)])
-    _, prints, _ = index.sizes[20]
+    prints = index.prints[index.sizes[20][0]]
     probes = []
     for p in prints:
-        for n in (0, 5, 15, 16):
-            flip = rng.choice(64, n, replace=False)
-            probes.append(p ^ np.bitwise_or.reduce(np.uint64(1) << flip.astype(np.uint64), initial=np.uint64(0)))
-    probes = np.array(probes, np.uint64)
+        for n in (0, 5, 23, 46, 47, 48):
+            bits = np.unpackbits(p)
+            bits[rng.choice(decontaminate.BITS, n, replace=False)] ^= 1
+            probes.append(np.packbits(bits))
+        # The worst spread: as many bits in every byte as can be, and one more.
+        bits = np.unpackbits(p).reshape(-1, 8)
+        bits[:, :3] ^= 1
+        bits[0, 0] ^= 1
+        probes.append(np.packbits(bits))
+    probes = np.array(probes, np.uint8)
     window, item = index.within(20, probes)
-    near = decontaminate.distances(np.repeat(probes, 40), np.tile(prints, len(probes))) <= decontaminate.RADIUS
-    assert {(int(w), int(i)) for w, i in zip(window, item, strict=True)} == {(k // 40, k % 40) for k in np.flatnonzero(near).tolist()}
+    near = decontaminate.distances(np.repeat(probes, 40, axis=0), np.tile(prints, (len(probes), 1))) <= decontaminate.RADIUS
+    found = {(int(w), int(i)) for w, i in zip(window, item, strict=True)}
+    assert found == {(k // 40, k % 40) for k in np.flatnonzero(near).tolist()}
+    assert {(7 * i + 6, i) for i in range(40)} <= found and decontaminate.RADIUS == 47
+
+
+def test_fingerprints_in_stretches_are_those_of_each_window(monkeypatch):
+    rng = np.random.default_rng(6)
+    found, weights = rng.integers(0, 2**63, 900).astype(np.uint64), rng.integers(1, 9, 900)
+    starts = np.flatnonzero(rng.random(880) < 0.3)
+    whole = decontaminate.fingerprints(found, weights, 20, starts)
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    assert (decontaminate.fingerprints(found, weights, 20, starts) == whole).all()
+    one = [decontaminate.fingerprints(found[s : s + 20], weights[s : s + 20], 20, np.zeros(1, np.int64))[0] for s in starts]
+    assert (np.array(one) == whole).all()
 
 
 def test_blocks_of_items_give_equal_rows(spark, docs, monkeypatch):
@@ -520,24 +539,74 @@ def test_blocks_of_items_give_equal_rows(spark, docs, monkeypatch):
     assert kept.columns == given.columns and sorted(r.doc_id for r in kept.collect()) == clean
 
 
-def test_items_with_edited_edges_are_found():
+def exact_matches(index, hashed, counts):
+    """Matches by the exact sums of every window, without fingerprints: what the fingerprints are measured against."""
+    out = []
+    for doc, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
+        for item, size in enumerate(index.lengths.tolist()):
+            width, length = min(size, index.words), min(size, n)
+            own = hashing.windows(hashed[end - n : end], np.array([n]), width)[0]
+            if len(own):
+                span = length - width + 1
+                best = index._best(own, index.weigh(own), span, item, np.arange(len(own) - span + 1))
+                out += [(doc, index.ids[item], *best)] if best else []
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 12])
+def test_edited_items_are_found(common):
+    """Of 2,400 windows at or just above the threshold none is further from its item than the radius.
+
+    Words are replaced at the end, on both sides or anywhere, or the document is cut off; with ``common`` words that
+    many items share, shingles weigh differently.
+    """
     rng = random.Random(12)
-    items = [[f"z{rng.randrange(10**9)}" for _ in range(size)] for size in (20, 34, 59) for _ in range(400)]
-    texts, want = [], []
-    for k, own in enumerate(items):
-        # Of n shingles, x less and x others leave (n - x) / (n + x); of a document cut off, (n - x) / n.
-        n = len(own) - 4
-        swapped, cut = n // 7, n // 4
-        prose = [f"p{rng.randrange(10**9)}" for _ in range(40)]
-        texts += [" ".join(own[:-swapped] + prose), " ".join(own[:-cut])]
-        want += [(2 * k, k, 0, (n - swapped) / (n + swapped)), (2 * k + 1, k, 0, (n - cut) / n)]
+    fresh = lambda: f"z{rng.randrange(10**9)}"
+    shared = [[fresh() for _ in range(common)] for _ in range(3)]
+    items = [[fresh() for _ in range(size - common)] for size in (16, 20, 34, 59) for _ in range(150)]
+    items = [own[: len(own) // 2] + shared[k % 3] + own[len(own) // 2 :] for k, own in enumerate(items)]
     index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(own) for own in items])
-    got = []
+    texts, want = [], set()
+    for k, own in enumerate(items):
+        for way in range(4):
+            edited = None
+            for x in range(1, len(own) // 2):
+                tried = list(own)
+                if way == 0:
+                    tried[-x:] = [fresh() for _ in range(x)]
+                elif way == 1:
+                    tried = tried[:-x]
+                elif way == 2:
+                    tried[: x // 2] = [fresh() for _ in range(x // 2)]
+                    tried[-(x - x // 2) :] = [fresh() for _ in range(x - x // 2)]
+                else:
+                    for spot in rng.sample(range(len(own)), x):
+                        tried[spot] = fresh()
+                (run,) = hashing.hashed_words(pa.array([" ".join(tried)]), lower=True)
+                grams = index.shingles(run[2])
+                span = min(len(tried), len(own)) - 4
+                if index._best(grams, index.weigh(grams), span, k, np.arange(len(grams) - span + 1)) is None:
+                    break
+                edited = tried
+            if edited:
+                want.add((len(texts), k))
+                texts.append(" ".join(edited))
+    got = set()
     for row, counts, hashed in hashing.hashed_words(pa.array(texts), lower=True):
         for doc, matches in index.documents(hashed, counts):
-            got += [(row + doc, *m) for m in matches]
-    assert [g[:3] for g in got] == [w[:3] for w in want]
-    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+            got |= {(row + doc, m[0]) for m in matches}
+    assert len(want) > 1700 and want <= got
+
+
+def test_fingerprints_find_what_exact_sums_find(data):
+    """Every match of the given tables, by all windows of every document against every item."""
+    import pyarrow.parquet as pq
+
+    items, documents = (pq.read_table(f"{data}/{name}.parquet") for name in ("benchmark", "documents"))
+    index = decontaminate.ItemIndex(items["item_id"].to_pylist(), items["text"].to_pylist())
+    for _, counts, hashed in hashing.hashed_words(documents["text"].combine_chunks(), lower=True):
+        got = [(doc, *m) for doc, found in index.documents(hashed, counts) for m in found]
+        assert got == sorted(exact_matches(index, hashed, counts)) and got
 
 
 def test_native_plans_have_no_python(spark, data, capsys):
