@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are cut at once; a longer text goes in pieces that end between words.
 CHUNK = 1 << 22
 #: Rows of a batch that are copied at once.
-ROWS = 4096
+ROWS = 8192
 
 _BYTES = np.arange(256)
 #: All but ASCII blanks.
@@ -77,21 +77,24 @@ def _cut(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, fold: np.ndar
 
 
 def byte_runs(
-    texts: pa.Array, member: np.ndarray, fold: np.ndarray = AS_IS
+    texts: pa.Array, member: np.ndarray, fold: np.ndarray = AS_IS, chunk: int | None = None
 ) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
     """``(first row, piece, words of each row, words)`` for runs of rows, in order.
 
     A word is a longest run of bytes in ``member``, each replaced by ``fold``; null texts have none. A text above
-    ``CHUNK`` bytes comes alone, in pieces 0, 1, ...; other runs hold whole rows and are piece -1.
+    ``chunk`` (by default ``CHUNK``) bytes comes alone, in pieces 0, 1, ...; other runs hold whole rows and are piece -1.
     """
+    chunk = chunk or CHUNK
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     for begin in range(0, len(texts), ROWS):
-        for row, *rest in _runs_of(texts.slice(begin, ROWS), member, fold):
+        for row, *rest in _runs_of(texts.slice(begin, ROWS), member, fold, chunk):
             yield begin + row, *rest
 
 
-def _runs_of(texts: pa.Array, member: np.ndarray, fold: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
+def _runs_of(
+    texts: pa.Array, member: np.ndarray, fold: np.ndarray, chunk: int
+) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -99,12 +102,12 @@ def _runs_of(texts: pa.Array, member: np.ndarray, fold: np.ndarray) -> Iterator[
     row = 0
     while row < len(texts):
         begin = offsets[row]
-        stop = max(row + 1, int(np.searchsorted(offsets, begin + CHUNK, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, begin + chunk, side="right")) - 1)
         stop = min(stop, len(texts))
-        if stop == row + 1 and offsets[stop] - begin > CHUNK:
+        if stop == row + 1 and offsets[stop] - begin > chunk:
             low, piece = int(begin), 0
             while low < offsets[stop]:
-                high = min(low + CHUNK, int(offsets[stop]))
+                high = min(low + chunk, int(offsets[stop]))
                 while high < offsets[stop] and member[data[high]]:
                     high += 1
                 yield row, piece, *_cut(data[low:high], np.array([0, high - low]), member, fold)

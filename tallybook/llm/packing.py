@@ -26,7 +26,9 @@ from .hashing import lean
 CAPACITY = 4096
 END = 1
 #: Different parts of words whose ids a worker keeps; beyond it, it starts anew.
-KNOWN_PARTS = 500_000
+KNOWN_PARTS = 800_000
+#: Bytes of text whose words are looked up together.
+CHUNK = 1 << 23
 #: Parts that are tokenised in one call.
 CALL = 20_000
 
@@ -38,7 +40,7 @@ class PartIds:
 
     The tokenizer neither lets a token span white space nor, in plain words, a change between letters, digits and
     other characters, and ends each such part with a token of its own kind. So the parts of many words are tokenised in
-    one call and told apart by these tokens. Words that are not plain are tokenised one by one.
+    one call and told apart by these tokens. Words that are not plain are told apart by the places of their tokens.
     """
 
     def __init__(self, path: str):
@@ -54,23 +56,26 @@ class PartIds:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_place(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, told apart by where in the joined text a token starts."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        places = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
+        sizes = np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(words))
+        return np.array(found.ids, np.uint32), sizes
 
     def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode("ascii"), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self.last[ids])
         if len(ends) != len(words):
-            return self._one_by_one(words)
+            return self._by_place(words)
         return ids, np.diff(ends, prepend=-1)
 
     def _learn(self, words: pa.Array) -> None:
         odd = odd_words(words) if len(words) else np.empty(0, bool)
         flats, starts = [self.flat], [self.starts]
-        for which, encode in ((odd, self._one_by_one), (~odd, self._together)):
+        for which, encode in ((odd, self._by_place), (~odd, self._together)):
             own = words.filter(pa.array(which)).to_pylist()
             for k in range(0, len(own), CALL):
                 ids, sizes = encode(own[k : k + CALL])
@@ -113,7 +118,7 @@ def _tokenised(path: str | None, capacity: int, end: int):
         stop = np.array([end], np.uint32)
         for batch in batches:
             keys, waiting, at = batch["doc_id"], [], None
-            for row, piece, counts, words in byte_runs(batch["text"], NOT_BLANK):
+            for row, piece, counts, words in byte_runs(batch["text"], NOT_BLANK, chunk=CHUNK):
                 if at is not None and row != at:
                     yield _pieces(keys.slice(at, 1), [np.concatenate([*waiting, stop])], capacity)
                     waiting, at = [], None

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallybook.llm import byte_runs, packing, set_queries
+from tallybook.llm import packing, set_queries
 
 DOCS = "doc_id long, text string, lang string, ids string, length string, place string"
 
@@ -85,7 +85,7 @@ def test_words_have_the_ids_of_their_text(tokenizer, monkeypatch):
     ]
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for chunk in (1 << 22, 40):
-        monkeypatch.setattr(byte_runs, "CHUNK", chunk)
+        monkeypatch.setattr(packing, "CHUNK", chunk)
         run = packing._tokenised(None, 50, 1)
         batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
         got = defaultdict(list)
