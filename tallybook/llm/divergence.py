@@ -95,6 +95,7 @@ def _recount(blobs):
             machines.setdefault(lang, []).append((first, Transducer.from_bytes(blob)))
         for batch in batches:
             (langs, lang_names), (sources, source_names) = _batch_names(batch, "lang", "source")
+            parts = [np.empty((3, 0), np.int64)]
             for row, _, counts, words in byte_runs(batch["text"], LETTERS, LOWER):
                 own = slice(row, row + len(counts))
                 groups, group = np.unique(langs[own].astype(np.int64) * len(source_names) + sources[own], return_inverse=True)
@@ -105,17 +106,24 @@ def _recount(blobs):
                 of, term = groups[pairs // size], pairs % size
                 for k in np.unique(of // len(source_names)).tolist():
                     here = np.flatnonzero(of // len(source_names) == k)
-                    mine = terms.take(pa.array(term[here]))
+                    # A term is streamed once, whatever the number of sources that have it.
+                    asked, spot = np.unique(term[here], return_inverse=True)
+                    mine = terms.take(pa.array(asked))
                     for first, machine in machines.get(lang_names[k], ()):
-                        found = machine.ordinals(mine)
+                        found = machine.ordinals(mine)[spot]
                         hit = np.flatnonzero(found >= 0)
-                        columns = {
-                            "lang": pa.array([lang_names[k]] * len(hit), pa.string()),
-                            "source": pa.array([source_names[s] for s in (of[here[hit]] % len(source_names)).tolist()], pa.string()),
-                            "ordinal": pa.array(found[hit] + first, pa.int64()),
-                            "n": pa.array(times[here[hit]], pa.int64()),
-                        }
-                        yield pa.RecordBatch.from_pydict(columns)
+                        parts.append(np.stack([of[here[hit]], found[hit] + first, times[here[hit]]]))
+            of, ordinal, times = np.concatenate(parts, axis=1)
+            order = np.lexsort((ordinal, of))
+            of, ordinal, times = of[order], ordinal[order], times[order]
+            heads = np.flatnonzero(np.diff(of, prepend=-1).astype(bool) | np.diff(ordinal, prepend=-1).astype(bool))
+            columns = {
+                "lang": pa.array(lang_names, pa.string()).take(pa.array(of[heads] // max(1, len(source_names)))),
+                "source": pa.array(source_names, pa.string()).take(pa.array(of[heads] % max(1, len(source_names)))),
+                "ordinal": pa.array(ordinal[heads]),
+                "n": pa.array(np.add.reduceat(times, heads) if len(heads) else times),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return count
 
