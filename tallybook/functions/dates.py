@@ -118,6 +118,24 @@ def with_parsed_date(df: DataFrame, name: str, text: str, as_of: Column, unusual
     return df.withColumn(name, F.coalesce(read, plain)).drop(native)
 
 
+def with_distinct_dates(df: DataFrame, name: str, text: str, as_of: Column) -> DataFrame:
+    """``with_parsed_date`` where many rows have the same unusual texts: each is read once, whatever its rows.
+
+    The different undecided texts are read and joined back. Decided rows have a key of their own each, so that they do
+    not meet in one task.
+    """
+    native = native_day(F.col(text))
+    undecided = native.isNull() & truthy_text(F.col(text)) & ~mere_words(F.col(text))
+    rows = df.withColumns({"_native": native, "_unusual": F.when(undecided, F.col(text)), "_as_of": as_of.cast("date")})
+    own = F.when(F.col("_unusual").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_own", F.coalesce(own, F.lit(-1).cast("long"))).withColumn("_unusual", F.coalesce("_unusual", F.lit("")))
+    different = rows.where("_own = -1").select("_unusual", "_as_of", "_own").distinct()
+    read = different.withColumn("_read", _parse_unusual(F.col("_unusual"), F.col("_as_of")))
+    plain = F.struct(F.col("_native").alias("day"), F.lit(0).cast("bigint").alias("tod"), F.lit(False).alias("zoned"))
+    joined = rows.join(read, ["_own", "_unusual", "_as_of"], "left")
+    return joined.withColumn(name, F.coalesce("_read", plain)).select(*df.columns, name)
+
+
 def whole_days(later_day: Column, later_tod: Column, earlier_day: Column, earlier_tod: Column) -> Column:
     """Whole days between two moments, rounded down."""
     return F.date_diff(later_day, earlier_day) - F.when(later_tod < earlier_tod, 1).otherwise(0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.pycompat import exceeds, let, py_float_text, py_one_decimal, pystrip
-from tallybook.functions.similarity import similarities
+from tallybook.functions.similarity import similarities, similarity_bound
 from tallybook.operators.stats import extracted_fields
 
 TEXT, AMOUNT, ITEMS = "text", "amount", "items"
@@ -204,6 +204,78 @@ def _source_metadata(side: str, label: str, nested: bool, at: Column) -> Column:
     return F.when(F.col(side).isNotNull(), described)
 
 
+def _scored(merged: DataFrame) -> DataFrame:
+    """Add ``quality_score``, ``recommendation`` and ``notes`` from the selected fields and ``mismatch_count``."""
+    present = sum((F.col(f"_selected_{name}").isNotNull().cast("int") for name in REQUIRED), F.lit(0))
+    score = F.col("quality_score")
+    note = F.concat(
+        F.lit("Quality Score: "),
+        py_one_decimal(score),
+        F.lit("% (Completeness="),
+        py_one_decimal(F.col("_completeness")),
+        F.lit("%, Mismatches="),
+        F.col("mismatch_count").cast("string"),
+        F.lit(")"),
+    )
+    rated = merged.withColumn("_completeness", present / F.lit(len(REQUIRED)) * 100).withColumn(
+        "quality_score", F.greatest(F.lit(0.0), F.col("_completeness") - F.col("mismatch_count") * MISMATCH_PENALTY)
+    )
+    return rated.withColumns(
+        {
+            "recommendation": F.when(score >= 85, "approve").when(score >= 60, "review").otherwise("reject"),
+            "notes": F.array(note),
+        }
+    )
+
+
+def merge_scores(
+    left: DataFrame, right: DataFrame, merged_at: str | dt.datetime | Column, key: str = "invoice_id"
+) -> DataFrame:
+    """What ``merge_sources`` says of the quality of each merge, without the comparisons and their reasons.
+
+    Columns: key, ``mismatch_count``, ``quality_score``, ``recommendation``, ``notes``, ``pdf_source``, ``google_source``.
+    A mismatch of texts needs no more than which side of the limit their similarity lies on: bounds decide nearly all
+    pairs, and only the others have it computed.
+    """
+    nested = "line_items" in left.columns and "line_items" in right.columns
+    items_column = "line_items" if nested else "item_count"
+    at = merged_at if isinstance(merged_at, Column) else F.lit(str(merged_at))
+
+    def sides(field: Field) -> tuple[Column, Column]:
+        name = items_column if field.kind == ITEMS else field.name
+        a, b = F.col(f"l.{name}"), F.col(f"r.{name}")
+        return (F.size(a), F.size(b)) if field.kind == ITEMS and nested else (a, b)
+
+    texts = F.array(*[F.struct(sides(f)[0].alias("left"), sides(f)[1].alias("right")) for f in FIELDS if f.kind == TEXT])
+    paired = pair_sources(left, right, key).withColumn("_texts", texts)
+    paired = paired.withColumn("_bounds", F.transform("_texts", lambda t: similarity_bound(t["left"], t["right"])))
+    undecided = F.zip_with("_texts", "_bounds", lambda t, bound: F.when(bound > MIN_SIMILARITY, t))
+    rated = paired.withColumn("_ratios", similarities(undecided))
+    differ = F.zip_with("_bounds", "_ratios", lambda bound, ratio: F.least(bound, ratio) <= MIN_SIMILARITY)
+
+    def mismatch(field: Field) -> Column:
+        a, b = sides(field)
+        differs = a > b if field.kind == ITEMS else exceeds(difference_percent(a, b), MAX_DIFFERENCE)
+        return (has_value(a, field.kind) & has_value(b, field.kind) & differs).cast("int")
+
+    def selected(field: Field) -> Column:
+        a, b = sides(field)
+        return F.when(has_value(b, field.kind), b).when(has_value(a, field.kind), a)
+
+    others = sum((F.coalesce(mismatch(f), F.lit(0)) for f in FIELDS if f.kind != TEXT), F.lit(0))
+    counted = rated.withColumns(
+        {
+            "mismatch_count": F.size(F.filter(differ, lambda d: d)) + others,
+            **{f"_selected_{f.name}": selected(f) for f in FIELDS if f.name in REQUIRED},
+        }
+    )
+    return _scored(counted).select(
+        key, "mismatch_count", "quality_score", "recommendation", "notes",
+        _source_metadata("l", "pdf_local", nested, at).alias("pdf_source"),
+        _source_metadata("r", "google_vision", nested, at).alias("google_source"),
+    )
+
+
 def merge_sources(
     left: DataFrame, right: DataFrame, merged_at: str | dt.datetime | Column, key: str = "invoice_id"
 ) -> DataFrame:
@@ -259,13 +331,9 @@ def merge_sources(
         F.slice("_texts", head + 1, 1),
         F.array(_compare_items(items, column("l", items), column("r", items), nested)),
     )
-    present = sum((F.col(f"_selected_{name}").isNotNull().cast("int") for name in REQUIRED), F.lit(0))
-    merged = (
-        compared.withColumns({"field_comparisons": comparisons, "_completeness": present / F.lit(len(REQUIRED)) * 100})
-        .withColumn("mismatch_count", F.size(F.filter("field_comparisons", lambda c: c["is_mismatch"])))
-        .withColumn(
-            "quality_score",
-            F.greatest(F.lit(0.0), F.col("_completeness") - F.col("mismatch_count") * MISMATCH_PENALTY),
+    merged = _scored(
+        compared.withColumn("field_comparisons", comparisons).withColumn(
+            "mismatch_count", F.size(F.filter("field_comparisons", lambda c: c["is_mismatch"]))
         )
     )
 
@@ -284,25 +352,15 @@ def merge_sources(
             F.lit(")"),
         )
 
-    note = F.concat(
-        F.lit("Quality Score: "),
-        py_one_decimal(F.col("quality_score")),
-        F.lit("% (Completeness="),
-        py_one_decimal(F.col("_completeness")),
-        F.lit("%, Mismatches="),
-        F.col("mismatch_count").cast("string"),
-        F.lit(")"),
-    )
-    score = F.col("quality_score")
     return merged.select(
         key,
         *[F.col(f"_selected_{f.name}").alias(items_column if f.kind == ITEMS else f.name) for f in FIELDS],
         "field_comparisons",
         F.transform(F.filter("field_comparisons", lambda c: c["is_mismatch"]), described).alias("mismatches"),
         "mismatch_count",
-        F.array(note).alias("notes"),
+        "notes",
         "quality_score",
-        F.when(score >= 85, "approve").when(score >= 60, "review").otherwise("reject").alias("recommendation"),
+        "recommendation",
         _source_metadata("l", "pdf_local", nested, at).alias("pdf_source"),
         _source_metadata("r", "google_vision", nested, at).alias("google_source"),
         F.col("l").alias("pdf_data"),

@@ -742,7 +742,8 @@ def m_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def m_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return _merged(spark, folder).select(
+    first = D.invoices(spark, folder)
+    return M.merge_scores(first, D.second_source(first), f"{AS_OF}T00:00:00").select(
         "invoice_id",
         "mismatch_count",
         "quality_score",

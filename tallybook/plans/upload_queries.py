@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallybook.functions.dates import with_distinct_dates
 from tallybook.operators import basic_extract as X
 from tallybook.operators import layout_extract as L
 from tallybook.operators import responses as R
@@ -166,6 +167,108 @@ _lx = f"""with {LABELLED}, {O.LX_AMOUNTS}, {O.LX_LINES},
 ORACLE["lx_labels"] = _lx
 
 
+@query
+def lx_net(spark: SparkSession, folder: str) -> DataFrame:
+    """Layout extraction of texts without a subtotal, which follows from total and tax."""
+    found = L.extract_layout(D.net_texts(spark, folder))
+    money = [F.col(c).cast("decimal(18,2)").cast("string").alias(c) for c in ("total_amount", "subtotal", "tax_amount")]
+    return found.select("invoice_id", *money, F.col("source")["subtotal"].alias("subtotal_source"))
+
+
+_net = """
+net as (select o_orderkey invoice_id, cast(o_totalprice as decimal(18,2)) m from orders),
+txt as (select invoice_id, concat('Total: $', m, chr(10), case when invoice_id%2=0 then 'VAT ' else 'Tax: €' end,
+  cast(case when invoice_id%5=0 then m+1 else round(m*0.1, 2) end as decimal(18,2)), chr(10),
+  case when invoice_id%7=0 then concat('Zwischensumme ', cast(m-3 as decimal(18,2))) else '' end) t from net)"""
+ORACLE["lx_net"] = f"""with {_net}, {O.LX_AMOUNTS},
+  c0 as (select invoice_id, nullif(total,0) total0, nullif(sub,0) sub0, nullif(tax,0) tax0,
+    case when nullif(tax,0) is not null then 'layout' end tax_src, case when nullif(sub,0) is not null then 'layout' end sub_src from lxa),
+  {O.COMPUTED}
+  select invoice_id, {O.money('total0')} total_amount, {O.money('sub1')} subtotal, {O.money('tax1')} tax_amount, sub_src1 subtotal_source from c2"""
+
+
+@query
+def n_lenient_date(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates in unusual words, each different text read once."""
+    as_of = F.lit(AS_OF).cast("date")
+    read = with_distinct_dates(D.unusual_dates(spark, folder), "parsed", "text", as_of)
+    return read.select("invoice_id", F.col("parsed.day").alias("day"), F.col("parsed.tod").alias("tod"))
+
+
+ORACLE["n_lenient_date"] = f"""with s as (select o_orderkey invoice_id, o_orderkey%6 shape, cast(o_orderdate as date) d, {O.AS_OF} a from orders)
+  select invoice_id, case when shape in (0, 2, 3, 4) then d
+    when shape=1 then make_date(year(a), month(d), least(day(a), day(last_day(make_date(year(a), month(d), 1))))) end as day,
+  case when shape=3 then 49500000000 else 0 end::bigint tod from s"""
+
+
+# ---- merges -------------------------------------------------------------------------------------
+
+
+@query
+def m_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    merged = catalog._merged(spark, folder)
+    return merged.select("invoice_id", "mismatch_count", F.array_join("mismatches", " | ").alias("mismatches"))
+
+
+@query
+def m_result(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole row of a merge: merged fields, both inputs, both sources and the account of the comparison."""
+    return catalog._merged(spark, folder).select(
+        "invoice_id", "invoice_number", "vendor_name", "total_amount", "quality_score", "recommendation", "merge_timestamp",
+        F.size("field_comparisons").alias("n_comparisons"), F.array_join("notes", " ").alias("notes"),
+        F.col("pdf_data.vendor_name").alias("pdf_vendor"), F.col("google_data.vendor_name").alias("google_vendor"),
+        F.col("pdf_source.source_type").alias("pdf_type"), F.col("google_source.source_type").alias("google_type"),
+        F.col("pdf_source.is_complete").alias("pdf_complete"), F.col("google_source.timestamp").alias("google_at"),
+    )
+
+
+# Of two texts the longest common part, the first of equally long ones in the left and then in the right, matches; and
+# so on with what is left of it and what is right of it. Twice the matched characters over all is the similarity.
+_part = """list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: {
+  'k': len(list_filter(range(1, least(ah-i, bh-j)+1), lambda n: substr(l, (i+1)::int, n::int) = substr(r, (j+1)::int, n::int))), 'i': -i, 'j': -j}))))"""
+RATIOS = f"""
+texts as (select distinct lower(vendor_name) l, lower(r_vendor) r from pair where lower(vendor_name)<>lower(r_vendor)),
+parts as (select l, r, 0::bigint al, length(l) ah, 0::bigint bl, length(r) bh from texts),
+grown as (
+  select l, r, al, ah, bl, bh, {_part} m from parts
+  union all
+  select l, r, al, ah, bl, bh, {_part} from (
+    select l, r, unnest([al, -m.i + m.k]) al, unnest([-m.i, ah]) ah, unnest([bl, -m.j + m.k]) bl, unnest([-m.j, bh]) bh
+    from grown where m.k > 0) where al < ah and bl < bh),
+ratios as (select l, r, 200.0::double * sum(m.k) / (length(l) + length(r)) percent from grown group by l, r)"""
+_vendor_reason = """case when lower(vendor_name)=lower(r_vendor) then 'Similar values (similarity=100.0%), preferring Google'
+  when percent/100 <= 0.85 then printf('Different values (similarity=%.1f%%), using Google', percent)
+  else printf('Similar values (similarity=%.1f%%), preferring Google', percent) end"""
+_vendor_differs = "lower(vendor_name)<>lower(r_vendor) and percent/100 <= 0.85"
+RATED = f"recursive {O.MERGED.strip()}, {RATIOS}, rated as (select pair.*, percent from pair left join ratios on l=lower(vendor_name) and r=lower(r_vendor))"
+_same = " union all ".join(
+    f"select invoice_id, '{f}' field_name, {f} selected_value, 'Similar values (similarity=100.0%), preferring Google' selection_reason, "
+    f"{w}::double confidence_score, false is_mismatch from rated where trim({f})<>''"
+    for f, w in (("invoice_number", 95.0), ("invoice_date", 95.0), ("due_date", 90.0), ("currency", 95.0))
+)
+ORACLE["m_text"] = f"""with {RATED}
+  select invoice_id, 'vendor_name' field_name, r_vendor selected_value, {_vendor_reason} selection_reason, 90.0::double confidence_score,
+    {_vendor_differs} is_mismatch from rated where trim(vendor_name)<>'' and trim(r_vendor)<>''
+  union all select invoice_id, 'buyer_name', r_buyer, 'Similar values (similarity=100.0%), preferring Google', 90.0::double, false
+    from rated where trim(buyer_name)<>'' and trim(r_buyer)<>''
+  union all {_same}"""
+_total = f"""concat('total_amount: PDF=', l::varchar, ', Google=', r::varchar, ', Selected=', r::varchar, ' (Google preferred (Google=', r::varchar,
+  ', PDF=', l::varchar, ', diff=', printf('%.1f', {O.DIFF}), '%))')"""
+_items = """concat('line_items: PDF=', item_count, ', Google=', r_items, ', Selected=', r_items,
+  ' (PDF has more items, still using Google (Google=', r_items, ', PDF=', item_count, '))')"""
+_listed_mismatches = f"""list_filter([
+  case when {_vendor_differs} then concat('vendor_name: PDF=', vendor_name, ', Google=', r_vendor, ', Selected=', r_vendor, ' (', {_vendor_reason}, ')') end,
+  case when l is not null and r is not null and {O.DIFF}>5 then {_total} end,
+  case when r_items>0 and item_count>r_items then {_items} end], lambda x: x is not null)"""
+ORACLE["m_mismatches"] = f"""with {RATED}, a as (select *, total_amount l, r_total r from rated), m as (select invoice_id, {_listed_mismatches} ms from a)
+  select invoice_id, cast(len(ms) as integer) mismatch_count, array_to_string(ms, ' | ') mismatches from m"""
+ORACLE["m_result"] = f"""with q as ({O.ORACLE["m_quality"]}), {O.MERGED.strip()}
+  select invoice_id, nullif(invoice_number,'') invoice_number, coalesce(r_vendor, vendor_name) vendor_name, coalesce(r_total, total_amount) total_amount,
+  quality_score, recommendation, '{AS_OF}T00:00:00' merge_timestamp, 13 n_comparisons, note notes, vendor_name pdf_vendor, r_vendor google_vendor,
+  'pdf_local' pdf_type, 'google_vision' google_type, pdf_fields>=8 pdf_complete, '{AS_OF}T00:00:00' google_at
+  from pair join q using (invoice_id)"""
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 

@@ -447,6 +447,34 @@ def label_texts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "orders")).select(key.alias("invoice_id"), text.alias("text"))
 
 
+def unusual_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """every order's date in forms that only the lenient reader knows, and some that are none."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    shape = key % 6
+    text = (
+        F.when(shape == 0, F.date_format(day, "d'th of 'MMMM yyyy"))
+        .when(shape == 1, F.date_format(day, "MMMM"))
+        .when(shape == 2, F.date_format(day, "EEE d MMM yyyy"))
+        .when(shape == 3, F.date_format(day, "yyyy-MM-dd'T'13:45:00"))
+        .when(shape == 4, F.date_format(day, "MMM. d, yyyy"))
+        .otherwise(F.concat(F.lit("no day in "), F.date_format(day, "MMMM yyyy")))
+    )
+    return spread(table(spark, folder, "orders")).select(key.alias("invoice_id"), text.alias("text"))
+
+
+def net_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """texts with a total and a tax, and no subtotal for most."""
+    key = F.col("o_orderkey")
+    money = F.col("o_totalprice").cast("decimal(18,2)")
+    tax = F.when(key % 5 == 0, money + 1).otherwise(F.round(money * F.lit(Decimal("0.1")), 2)).cast("decimal(18,2)")
+    lines = [
+        F.concat(F.lit("Total: $"), money.cast("string")),
+        F.concat(F.when(key % 2 == 0, "VAT ").otherwise("Tax: €"), tax.cast("string")),
+        F.when(key % 7 == 0, F.concat(F.lit("Zwischensumme "), (money - 3).cast("decimal(18,2)").cast("string"))).otherwise(""),
+    ]
+    return spread(table(spark, folder, "orders")).select(key.alias("invoice_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
 def item_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Short item tables as text, one per line item, for the item section reader."""
     name, qty = F.col("p_name"), F.col("l_quantity").cast("int").cast("string")

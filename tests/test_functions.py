@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import normalize as N
 from tallybook.functions import patterns as P
-from tallybook.functions.dates import with_parsed_date
+from tallybook.functions.dates import with_distinct_dates, with_parsed_date
 from tallybook.functions.pycompat import py_float, py_float_text, py_one_decimal, pystrip
 from tallybook.functions.similarity import similarities
 from tallybook.operators import basic_extract as X
 from tallybook.operators import layout_extract as L
+from tallybook.plans import expected
 
 
 def test_float_text(column):
@@ -196,7 +197,9 @@ TRICKY = [
 def test_patterns_match_python(column):
     from tallybook.functions.pycompat import first_capture
 
-    lists = [P.INVOICE_NUMBER, P.BUYER_NAME, P.BUYER_ADDRESS, P.INVOICE_DATE_LINE, P.DUE_DATE_LINE, P.TOTAL_AMOUNT]
+    assert column(TRICKY, X.buyer_name) == [first_match(t, expected.BUYER_NAME) for t in TRICKY]
+    assert column(TRICKY, X.buyer_address) == [first_match(t, expected.BUYER_ADDRESS) for t in TRICKY]
+    lists = [P.INVOICE_NUMBER, P.INVOICE_DATE_LINE, P.DUE_DATE_LINE, P.TOTAL_AMOUNT]
     lists += [P.SUBTOTAL, P.TAX_AMOUNT, P.LAYOUT_INVOICE_NUMBER, P.LAYOUT_TOTAL, P.LAYOUT_TAX]
     for patterns in lists:
         got = column(TRICKY, lambda c, ps=patterns: pystrip(first_capture(c, ps)))
@@ -259,3 +262,14 @@ def test_line_items(column):
     ]
     got = column(texts, X.line_items)
     assert [[tuple(i) for i in items] for items in got] == [expected_items(t) for t in texts]
+
+
+def test_distinct_dates_are_read_alike(spark):
+    texts = ["March", "20th of January 2024", "2024-01-05", "soon", "", None, "Tue 3 Mar 2020", "no day in May 1999"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    as_of = F.lit("2023-02-28").cast("date")
+    once = with_distinct_dates(df, "d", "t", as_of)
+    assert once.columns == ["i", "t", "d"]
+    assert sorted(map(str, once.collect())) == sorted(map(str, with_parsed_date(df, "d", "t", as_of).collect()))
+    days = {r.t: r.d.day for r in once.collect()}
+    assert str(days["March"]) == "2023-03-28" and str(days["20th of January 2024"]) == "2024-01-20" and days["soon"] is None

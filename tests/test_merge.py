@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from tallybook.functions.pycompat import py_float_text
+from tallybook.functions.similarity import similarity_bound
 from tallybook.operators import layout_extract as L
 from tallybook.operators import reconcile as M
 from tallybook.operators import routing
@@ -186,3 +187,57 @@ def test_float_text_is_used_in_selected_values(spark, invoices):
     row = merged(invoices({"total_amount": 12345678.9}), invoices({"total_amount": 12345678.9}))[0]
     shown = next(c for c in row.field_comparisons if c.field_name == "total_amount")
     assert shown.selected_value == spark.range(1).select(py_float_text(F.lit(12345678.9))).first()[0] == "12345678.9"
+
+
+def test_bounds_lie_above_the_similarity(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aAbcß İ1") for _ in range(rng.randint(0, 14))) for _ in range(600)] + [None, "", "  ", "a" * 300]
+    pairs = [(a, b) for a, b in zip(texts, rng.sample(texts, len(texts)), strict=True)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("*", F.lower("a").alias("l"), F.lower("b").alias("r"), similarity_bound(F.col("a"), F.col("b")).alias("bound"))
+    decided = 0
+    for r in rows.collect():
+        compared = r.a is not None and r.b is not None and r.l != r.r and r.l.strip() and r.r.strip()
+        assert (r.bound is not None) == bool(compared)
+        if compared:
+            ratio = SequenceMatcher(None, r.l, r.r).ratio()
+            assert ratio <= r.bound + 1e-12
+            decided += r.bound <= M.MIN_SIMILARITY
+    assert decided > 300
+
+
+def test_scores_are_those_of_the_merge(spark, invoices, monkeypatch):
+    rng = random.Random(14)
+    words = ["Acme Corp", "Acme Corp.", "ACME CORP", "Northwind", "Acme Corporation", "", " ", None, "North wind", "A-1", "A-2"]
+
+    def some():
+        texts = {f: rng.choice(words) for f in ("invoice_number", "vendor_name", "buyer_name", "due_date", "invoice_date")}
+        amounts = {f: rng.choice([None, 0.0, 100.0, 104.0, 110.0, float("nan")]) for f in ("subtotal", "total_amount")}
+        return texts | amounts | {"line_items": rng.choice([None, [], [ITEM], [ITEM, ITEM]])}
+
+    left, right = invoices(*[some() for _ in range(300)]), invoices(*[some() for _ in range(290)])
+    columns = ["invoice_id", "mismatch_count", "quality_score", "recommendation", "notes", "pdf_source", "google_source"]
+    whole = M.merge_sources(left, right, AT).select(columns)
+    scores = M.merge_scores(left, right, AT)
+    assert scores.columns == columns
+    assert sorted(map(str, scores.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_few_texts_reach_the_similarity(spark, data, monkeypatch):
+    """Of the given tables' pairs the bounds decide all: none is handed to Python."""
+    seen = []
+    real = M.similarities
+
+    def watched(pairs):
+        seen.append(pairs)
+        return real(pairs)
+
+    monkeypatch.setattr(M, "similarities", watched)
+    first = D.invoices(spark, data)
+    M.merge_scores(first, D.second_source(first), AT)
+    paired = M.pair_sources(first, D.second_source(first))
+    texts = F.array(*[F.struct(F.col(f"l.{n}").alias("left"), F.col(f"r.{n}").alias("right")) for n in M.TEXT_FIELDS])
+    bounds = F.transform("_texts", lambda t: similarity_bound(t["left"], t["right"]))
+    rows = paired.withColumn("_texts", texts).withColumn("_bounds", bounds)
+    handed = rows.select(F.explode(seen[0]).alias("p")).where("p is not null").count()
+    differing = rows.select(F.explode("_bounds").alias("b")).where("b is not null").count()
+    assert handed == 0 and differing > 100
