@@ -11,11 +11,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import written
 
@@ -26,7 +24,12 @@ MERGE_ROWS = 500_000
 #: Time of the first capture where the input has none; capture n comes n seconds later.
 EPOCH = "2024-01-01T00:00:00Z"
 
+#: Seconds after which dates that follow the key start anew, so that any key has one, in order while keys are below it.
+DATED_KEYS = 1 << 37
+LAST_MOMENT = "9999-12-31T23:59:59Z"
+
 _CRLF = "\r\n"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def url_key(url: Column) -> Column:
@@ -38,10 +41,19 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))
 
 
-@F.pandas_udf(StringType())
-def payload_digest(payload: pd.Series) -> pd.Series:
-    """Bare upper-case base32 of the SHA-1 of the UTF-8 bytes; null counts as empty."""
-    return payload.map(lambda p: base64.b32encode(hashlib.sha1((p or "").encode()).digest()).decode())
+def payload_digest(payload: Column) -> Column:
+    """Bare upper-case base32 of the SHA-1 of the UTF-8 bytes; null counts as empty.
+
+    Each 40 bits of the hash are a number, and each 5 of these a letter.
+    """
+    digest = F.sha1(F.coalesce(payload, F.lit("")))
+    numbers = F.transform(F.array(*[F.lit(10 * i + 1) for i in range(4)]), lambda at: F.conv(F.substr(digest, at, F.lit(10)), 16, 10).cast("long"))
+    shifts = F.array(*[F.lit(35 - 5 * i) for i in range(8)])
+
+    def letters(number: Column) -> Column:
+        return F.transform(shifts, lambda by: F.substr(F.lit(_BASE32), F.call_function("shiftright", number, by).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)))
+
+    return F.array_join(F.flatten(F.transform(numbers, letters)), "")
 
 
 def with_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
@@ -111,10 +123,18 @@ def write_archives(
 ) -> None:
     """A folder of WARC files with a record for each row of ``pages``.
 
-    ``date`` names a timestamp column; without it, dates follow the key. The files hold about
-    ``FILE_BYTES`` each, by the mean size of a payload, so that a reader's task holds one file in memory.
+    ``date`` names a timestamp column; without it, capture n is n seconds after ``EPOCH``, n being the key modulo
+    ``DATED_KEYS``. A record's date has four digits for the year, so moments are kept within years 1 to 9999, and texts
+    of dates sort as the moments do. The files hold about ``FILE_BYTES`` each, by the mean size of a payload, so that a
+    reader's task holds one file in memory.
     """
-    moment = F.col(date) if date else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce(F.abs(F.col(key)), F.lit(0)))
+    last = F.lit(LAST_MOMENT).cast("timestamp")
+    if date:
+        moment = F.greatest(F.lit("0001-01-01T00:00:00Z").cast("timestamp"), F.least(last, F.col(date)))
+        moment = F.when(F.col(date).isNotNull(), moment)
+    else:
+        after = F.pmod(F.coalesce(F.col(key), F.lit(0)).cast("long"), F.lit(DATED_KEYS))
+        moment = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + after)
     stamped = pages.select(
         F.col(key), F.col(url), F.col(payload),
         F.coalesce(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(EPOCH)).alias("__date"),
