@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions.pycompat import let
+
 from .common import written
 
 #: A line on more than this share of a site's pages is boilerplate, if it is on MIN_PAGES pages or more.
@@ -22,14 +26,53 @@ BLOCKS = (
 TAGS = r"<[^>]*>"
 
 
+#: Characters from which on a page is read with care for what is opened and never closed.
+LONG = 1 << 14
+#: Stands behind the first character of an opening that nothing closes.
+_UNCLOSED = "\ue000\ue001"
+_OPENINGS = {r"(?is)^.*</script\s*>": r"(?i)<(?=script\b)", r"(?is)^.*</style\s*>": r"(?i)<(?=style\b)", r"(?s)^.*-->": r"<(?=!--)"}
+
+
 def html_lines(html: Column) -> Column:
     """The visible lines of a page as an array: trimmed, without empty ones, entities left as they are.
 
-    Hidden parts end a line like blocks do.
+    Hidden parts end a line like blocks do. Null pages have no lines; what is opened and never closed is text. A search
+    for an end that is not there would start anew at every opening: in long pages the openings behind the last end
+    of their kind are marked first, and tags are sought up to the last ``>`` only. Both forms give the same lines.
     """
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, BLOCKS, "\n"), TAGS, "")
-    return text_lines(text)
+    text = F.coalesce(html, F.lit(""))
+    return text_lines(F.when(F.length(text) >= LONG, _shown_with_care(text)).otherwise(_shown(text)))
+
+
+def _shown(text: Column) -> Column:
+    text = F.regexp_replace(text, HIDDEN, "\n")
+    return F.regexp_replace(F.regexp_replace(text, BLOCKS, "\n"), TAGS, "")
+
+
+def _shown_with_care(text: Column) -> Column:
+    for closed, opening in _OPENINGS.items():
+        text = let(text, _marking(closed, opening))
+    return F.replace(let(F.regexp_replace(text, HIDDEN, "\n"), _untagged), F.lit(_UNCLOSED), F.lit(""))
+
+
+def _marking(closed: str, opening: str) -> Callable[[Column], Column]:
+    """Marks the openings of a text behind the last end of their kind."""
+
+    def marked(text: Column) -> Column:
+        def from_head(head: Column) -> Column:
+            return F.concat(head, F.regexp_replace(F.substr(text, F.length(head) + 1), opening, f"<{_UNCLOSED}"))
+
+        return let(F.regexp_extract(text, closed, 0), from_head)
+
+    return marked
+
+
+def _untagged(text: Column) -> Column:
+    def cut(behind: Column) -> Column:
+        tagged = F.substr(text, F.lit(1), F.length(text) - F.length(behind))
+        return F.concat(F.regexp_replace(F.regexp_replace(tagged, BLOCKS, "\n"), TAGS, ""), behind)
+
+    return let(F.substring_index(text, ">", -1), cut)
 
 
 def text_lines(text: Column) -> Column:
