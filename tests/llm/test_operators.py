@@ -304,6 +304,34 @@ def test_html_lines(column):
     assert got == ["a &amp; b|c|d|f", "", "", "plain"]
 
 
+def plain_lines(html):
+    text = re.sub(lines.HIDDEN, "\n", html or "")
+    text = re.sub(lines.TAGS, "", re.sub(lines.BLOCKS, "\n", text))
+    return [x for x in (part.strip(" \t") for part in re.split(r"[\n\r]+", text)) if x]
+
+
+def test_both_ways_to_read_a_page(column, monkeypatch):
+    rng = random.Random(17)
+    signs = ["<script>", "</script>", "</SCRIPT >", "<Script a>", "<style>", "</style>", "<!--", "-->", "<p>", "</div", "<b", ">", "<", "a", " x ", "\n", "<scripts>", "--"]
+    pages = ["".join(rng.choices(signs, k=rng.randint(0, 18))) for _ in range(3000)]
+    want = ["|".join(plain_lines(page)) for page in pages]
+    assert column(pages, lambda c: F.array_join(lines.html_lines(c), "|")) == want
+    monkeypatch.setattr(lines, "LONG", 0)
+    assert column(pages, lambda c: F.array_join(lines.html_lines(c), "|")) == want
+
+
+def test_hostile_pages_are_read_in_time(column):
+    import time
+
+    pages = [unit * (1_000_000 // len(unit)) for unit in ("<", "<script>a ", "<!-- ", "<style>", "<p ", "</script><script>", "<!--<script>-->")]
+    column(["<p>x"], lambda c: F.size(lines.html_lines(c)), "string")
+    for page in pages:
+        start = time.perf_counter()
+        (got,) = column([page], lambda c: F.size(lines.html_lines(c)), "string")
+        assert time.perf_counter() - start < 8, page[:20]
+    assert column(["<" * 20_000 + "\ntext"], lambda c: F.array_join(lines.html_lines(c), "|"))[0].endswith("|text")
+
+
 def shard_of(key, weights):
     seed = xxhash.xxh64_intdigest(str(key).encode(), seed=42)
     signed = seed - (1 << 64) if seed >> 63 else seed
@@ -373,6 +401,118 @@ def test_mixing_meets_targets_and_labels(spark):
     assert good <= kept and len(kept - good) < 40
 
 
+def fitted(tokens, p, targets, ceiling=np.inf, fixed=None, steps=mixing.STEPS, accelerate=True):
+    """The rates by the same steps, plainly, and the weighted squares that are left."""
+    held = (tokens[:, None] * p).sum(0)
+    scale = 1 / np.sqrt(np.maximum(1, held))
+    gram = (p * tokens[:, None]).T @ p * scale[:, None] * scale
+    length, x, calm, turn = 1 / gram.sum(1).max(), np.ones(len(tokens)), 0, 1
+    before, reached, last = x, held, held
+    for _ in range(steps):
+        ahead = (turn - 1) / (turn + 2) if accelerate else 0
+        slopes = (1 + ahead) * reached - ahead * last - targets
+        moved = np.clip(x + ahead * (x - before) - p @ (length * scale**2 * slopes), 0, ceiling)
+        moved = moved if fixed is None else np.where(fixed, 1, moved)
+        now = (tokens[:, None] * p * moved[:, None]).sum(0)
+        turn = 1 if (scale**2 * slopes * (now - reached)).sum() > 0 else turn + 1
+        calm = calm + 1 if np.abs(now - reached).max() <= mixing.TOLERANCE * held.sum() else 0
+        before, x, last, reached = x, moved, reached, now
+        if calm == 3 and accelerate:
+            break
+    return x, (scale**2 * (reached - targets) ** 2).sum()
+
+
+def plain_posteriors(rows, labels, domains):
+    """The classifier in plain Python: words and shapes of a text, counts by domain, and Bayes' rule."""
+    parts = {key: [w for w in re.split(r"[^\w]+|_+", text.lower()) if w] for key, text in rows}
+    cut = lambda share, name, *edges: f"{name}:{sum(share > e for e in edges)}"
+    features = {}
+    for key, text in rows:
+        size, own = max(1, len(parts[key])), list(dict.fromkeys(parts[key]))
+        shapes = [
+            cut(len(re.findall(r"[#*$%&|<>!]", text)) / size, "symbols", 0.05, 0.3, 1.0),
+            cut(len(re.findall("[A-Z]{2}", text)) / size, "capitals", 0.1, 0.5),
+            cut(1 - len(own) / size, "repeats", 0.3, 0.6, 0.9), "short:1" if size < 20 else "short:0",
+        ]
+        features[key] = own + shapes
+    taught = {}
+    for key, quality, toxic in labels:
+        domain = "toxic" if toxic == 1 else "low" if quality == 0 else "good" if quality == 1 or toxic == 0 else None
+        if key is not None and domain:
+            taught[key] = min(domain, taught.get(key, domain))
+    taught = {k: d for k, d in taught.items() if k in features}
+    n = Counter(taught.values())
+    seen = defaultdict(Counter)
+    for key, domain in taught.items():
+        seen[domain].update(features[key])
+    everything = len(taught)
+    vocabulary = []
+    for word in {w for c in seen.values() for w in c}:
+        present = sum(seen[d][word] for d in domains)
+        information = 0.0
+        for d in domains:
+            for a, row in ((seen[d][word], present), (n[d] - seen[d][word], everything - present)):
+                information += a * np.log(a * everything / (row * max(n[d], 1))) if a and row else 0.0
+        often = [seen[d][word] >= max(1, mixing.MIN_SHARE * n[d]) for d in domains]
+        telling = any(o and seen[d][word] * everything >= mixing.MIN_LIFT * n[d] * present for o, d in zip(often, domains, strict=True))
+        if present >= mixing.MIN_DOCUMENTS and (telling and information >= mixing.MIN_INFORMATION or ":" in word and any(often)):
+            vocabulary.append(word)
+    out = {}
+    for key, own in features.items():
+        scores = []
+        for d in domains:
+            score = np.log((n[d] + 1e-6) / (everything + 1))
+            for word in vocabulary:
+                share = (seen[d][word] + 0.5) / (n[d] + 1)
+                if word in own:
+                    score += np.log(share)
+                elif ":" not in word:
+                    score += np.log1p(-share)
+            scores.append(score)
+        raised = np.exp(np.array(scores) - max(scores))
+        out[key] = len(parts[key]), raised / raised.sum()
+    return out
+
+
+def test_mixing_against_plain_python(spark):
+    rng = random.Random(21)
+    words_ = {"good": [f"w{i}" for i in range(60)], "low": [f"j{i}" for i in range(20)], "toxic": ["grim", "foul", "vile"]}
+    rows, labels = [], []
+    for i in range(400):
+        domain = "toxic" if i % 9 == 0 else "low" if i % 4 == 0 else "good"
+        own = rng.choices(words_["good"], k=rng.randint(10, 60)) + rng.choices(words_[domain], k=rng.randint(1, 12))
+        rng.shuffle(own)
+        text = " ".join(w.upper() if rng.random() < 0.05 else w for w in own) + rng.choice(["", " ### !", " $$"])
+        rows.append((i, text))
+        if i % 5:
+            labels.append((i, int(domain != "low"), int(domain == "toxic")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights = {"good": 0.75, "low": 0.25, "toxic": 0.0}
+    domains, scored = mixing._posteriors(df.select("doc_id", F.col("text").alias("__t")), df, table, weights, "doc_id", "text", mixing.LABEL)
+    want = plain_posteriors(rows, labels, domains)
+    got = {r.doc_id: r for r in scored.collect()}
+    for key, (size, p) in want.items():
+        assert got[key].tokens == size and got[key].p == pytest.approx(p, abs=1e-9)
+
+    tokens, p = np.array([want[i][0] for i, _ in rows], float), np.array([want[i][1] for i, _ in rows])
+    shares = np.array([weights[d] for d in domains])
+    rates, left = fitted(tokens, p, tokens.sum() * shares)
+    found = {r.doc_id: r for r in mixing.mixing_rates(df, table, weights).collect()}
+    assert [found[i].rate for i, _ in rows] == pytest.approx(rates.tolist(), abs=1e-6)
+    # No worse than ten times as many plain steps, and than all rates at 1 by far.
+    assert left <= 1.05 * fitted(tokens, p, tokens.sum() * shares, steps=10 * mixing.STEPS, accelerate=False)[1]
+    assert left < 0.05 * fitted(tokens, p, tokens.sum() * shares, steps=0)[1]
+
+    own, fixed = p[:, domains.index("good")], p[:, domains.index("good")] == p.max(1)
+    size = (tokens * own).sum() / weights["good"]
+    rates, _ = fitted(tokens, p, size * shares, 1.0, fixed)
+    kept = {r.doc_id for r in mixing.mix_documents(df, table, weights, "good").collect()}
+    drawn = {r.doc_id: r.u for r in scored.select("doc_id", mixing.uniform("doc_id", "tokens").alias("u")).collect()}
+    close = {i for i, _ in rows if abs(drawn[i] - rates[i]) < 1e-6}
+    assert kept - close == {i for i, _ in rows if drawn[i] < rates[i]} - close and len(close) < 3
+
+
 def test_mixing_learns_the_words_of_a_rare_domain(spark):
     # 1% toxic with three of ten words each, 10% low with twenty of ninety; 20,000 labelled and 1,000 not.
     draw = lambda name, of, n: f"transform(sequence(1, {n}), j -> concat('{name}', pmod(xxhash64('{name}', id, j), {of})))"
@@ -434,6 +574,24 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert warc.archive_index(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_large_keys(spark, tmp_path):
+    keys = [300_000_000_000, 9 * 10**18, -(2**63), 2**63 - 1, -5, 0, 2, 3, None]
+    rows = [(k, "http://one.example.com/", f"page {k}") for k in keys]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(warc.archive_index(df, str(tmp_path / "w")).collect(), key=lambda r: (r.part, r.position))
+    assert Counter(r.page_id for r in got) == Counter(keys) and all(r.intact for r in got)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in got)
+    assert [(r.date, r.page_id is not None, r.page_id or 0) for r in got] == sorted((r.date, r.page_id is not None, r.page_id or 0) for r in got)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert all(r.payload_digest == digest(f"page {r.page_id}") for r in got)
+    moments = [("0001-01-01 00:00:00",), ("9999-12-31 23:59:59",), ("2024-05-06 07:08:09",), (None,)]
+    dated = spark.createDataFrame([(i, "http://a.b/", str(i), *m) for i, m in enumerate(moments)], "page_id long, url string, html string, at string")
+    far = F.col("at").cast("timestamp") + F.expr("interval 20000 years") * (F.col("page_id") == 1).cast("int")
+    warc.write_archives(dated.withColumn("at", far), str(tmp_path / "d"), date="at")
+    dates = {r.page_id: r.date for r in warc.read_records(spark, str(tmp_path / "d")).collect()}
+    assert dates == {0: "0001-01-01T00:00:00Z", 1: "9999-12-31T23:59:59Z", 2: "2024-05-06T07:08:09Z", 3: warc.EPOCH}
+
+
 def test_find_items(spark, docs, texts):
     rng = random.Random(9)
     items = [(i, " ".join(f"q{rng.randrange(300)}" for _ in range(rng.randint(14, 50)))) for i in range(12)]
