@@ -12,7 +12,7 @@ from tallybook.functions.normalize import (
 )
 from tallybook.operators.basic_extract import extract_basic
 from tallybook.operators.layout_extract import extract_layout, merge_by_confidence, to_wide
-from tallybook.operators.reconcile import field_comparisons, merge_sources
+from tallybook.operators.reconcile import field_comparisons, merge_scores, merge_sources
 from tallybook.operators.responses import entities_to_invoice, gst_json, gst_to_invoice, parse_responses
 from tallybook.operators.routing import choose_method, pick_extraction
 from tallybook.operators.stats import (
@@ -27,10 +27,13 @@ from tallybook.operators.stats import (
     verification_stats,
 )
 from tallybook.operators.store import (
+    FileStore,
     delete_invoices,
     file_lookup,
     get_invoice,
+    index_pages,
     list_page,
+    next_page,
     page_envelope,
     to_file_store,
     to_store,
@@ -44,7 +47,7 @@ from tallybook.operators.views import (
     write_field_value_csv,
     write_results_json,
 )
-from tallybook.plans.documents import process_documents, unsupported_result
+from tallybook.plans.documents import process_documents, process_uploads, unsupported_result, upload_records
 from tallybook.sources.files import (
     assemble_text,
     file_type,
@@ -53,9 +56,14 @@ from tallybook.sources.files import (
     read_invoice_files,
 )
 from tallybook.sources.invoice_json import load_invoices, read_invoice_json
+from tallybook.sources.json_arrays import read_json_records
 from tallybook.streaming.intake import (
+    accepted_uploads,
     append_available,
+    append_summaries,
     json_stream,
+    summed_dashboard,
+    summed_error_counts,
     suppress_duplicates,
     validate_stream,
 )
@@ -64,7 +72,10 @@ from tallybook.streaming.intake import (
 register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
+    "FileStore",
+    "accepted_uploads",
     "append_available",
+    "append_summaries",
     "assemble_text",
     "batch_errors",
     "batch_results",
@@ -84,14 +95,17 @@ __all__ = [
     "get_invoice",
     "gst_json",
     "gst_to_invoice",
+    "index_pages",
     "json_stream",
     "list_page",
     "list_view",
     "load_invoices",
     "load_summary",
     "merge_by_confidence",
+    "merge_scores",
     "merge_sources",
     "needs_ocr",
+    "next_page",
     "normalize_amount",
     "normalize_date",
     "normalize_gst",
@@ -100,18 +114,23 @@ __all__ = [
     "parse_responses",
     "pick_extraction",
     "process_documents",
+    "process_uploads",
     "read_invoice_files",
     "read_invoice_json",
+    "read_json_records",
     "recommend",
     "result_view",
     "rule_hits",
     "score_band",
+    "summed_dashboard",
+    "summed_error_counts",
     "suppress_duplicates",
     "to_field_value",
     "to_file_store",
     "to_store",
     "to_wide",
     "unsupported_result",
+    "upload_records",
     "validate_invoices",
     "validate_stream",
     "validation_summary",
