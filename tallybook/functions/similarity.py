@@ -62,7 +62,8 @@ def similarities(pairs: Column) -> Column:
     def side(name: str) -> Column:
         def one(pair: Column) -> Column:
             left, right = F.lower(pair["left"]), F.lower(pair["right"])
-            differ = (left != right) & (pystrip(left) != "") & (pystrip(right) != "")
+            # Equal texts are equal in lower case too, so most pairs end at the first comparison.
+            differ = (pair["left"] != pair["right"]) & (left != right) & (pystrip(left) != "") & (pystrip(right) != "")
             return F.when(differ, left if name == "left" else right)
 
         return F.transform(pairs, one)

@@ -54,7 +54,8 @@ MISMATCH_PENALTY = 5.0
 def has_value(c: Column, kind: str) -> Column:
     """Not null, not blank, not an empty list. Zero counts as a value."""
     if kind == TEXT:
-        return F.coalesce(pystrip(c) != "", F.lit(False))
+        # A text that starts with a visible ASCII character need not be stripped.
+        return F.coalesce(((c >= "!") & (c < "\x7f")) | (pystrip(c) != ""), F.lit(False))
     if kind == ITEMS:
         return F.coalesce(c > 0, F.lit(False))
     return c.isNotNull()
@@ -126,7 +127,7 @@ def _compare_text(entry: Column, ratio: Column) -> Column:
     return _compared(
         entry["field"],
         (left, right),
-        (has_value(left, TEXT), has_value(right, TEXT)),
+        (entry["left_has"], entry["right_has"]),
         (entry["left_weight"], entry["right_weight"]),
         reason,
         entry["right_weight"],
@@ -152,7 +153,7 @@ def _compare_amount(entry: Column) -> Column:
         return _compared(
             entry["field"],
             (shown["left"], shown["right"]),
-            (has_value(left, AMOUNT), has_value(right, AMOUNT)),
+            (entry["left_has"], entry["right_has"]),
             (entry["left_weight"], entry["right_weight"]),
             reason,
             entry["right_weight"],
@@ -300,6 +301,8 @@ def merge_sources(
                     F.lit(f.name).alias("field"),
                     column("l", f).alias("left"),
                     column("r", f).alias("right"),
+                    has_value(column("l", f), kind).alias("left_has"),
+                    has_value(column("r", f), kind).alias("right_has"),
                     F.lit(f.left_weight).alias("left_weight"),
                     F.lit(f.right_weight).alias("right_weight"),
                 )
