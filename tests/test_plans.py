@@ -4,7 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from tallybook.functions import jsonvalues as J
+from tallybook.functions.pycompat import py_float, py_one_decimal
 from tallybook.operators import layout_extract as L
+from tallybook.operators import reconcile as M
 from tallybook.operators import stats
 from tallybook.operators.basic_extract import extract_basic
 from tallybook.operators.reconcile import merge_sources
@@ -86,3 +89,24 @@ def test_merge_reads_its_inputs_once(spark, data):
     text = plan(QUERIES["m_quality"](spark, data))
     assert text.count("Scan parquet") <= 10
     assert text.count("ArrowEvalPython") <= 1
+
+
+def test_merge_strips_texts_before_the_comparison(spark):
+    """Lambdas are interpreted: whether a side has a value is found once, and not by each part of an entry."""
+    entry = M._compare_text(F.col("entry"), F.col("ratio"))._jc.toString()
+    assert "trim" not in entry
+
+
+def test_one_decimal_goes_through_decimals_near_midpoints_only(spark):
+    values = [0.0, 0.04, 0.05, 0.15, 0.25, 0.35, 72.04, 72.05, 99.95, 99.949, 85.0, 1e5 + 0.05, 999999.94, 999999.96, 1e6, 12345678.25, 4.9999999999]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(py_one_decimal(F.col("v"))).collect()] == [f"{v:.1f}" for v in values]
+    shown = py_one_decimal(F.col("v"))._jc.toString()
+    assert shown.startswith("CASE WHEN") and "decimal" not in shown.lower().split(" else ")[0]
+
+
+def test_json_values_are_described_once(spark):
+    for read in (J.as_text, J.as_float, J.is_truthy):
+        assert read(F.col("v"))._jc.toString().count("schema_of_variant") == 1
+    assert J.strict_json(F.col("t"))._jc.toString().count("try_parse_json") == 1
+    assert py_float(F.col("t"))._jc.toString().count("btrim") == 1
