@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallybook.operators import responses as R
 from tallybook.operators import stats, store, views
 from tallybook.operators.validate import validate_invoices
+from tallybook.plans.catalog import QUERIES
 from tallybook.plans.documents import process_documents
+from tallybook.sources import derived as D
 from tallybook.sources import files as S
 from tallybook.sources import invoice_json as J
 from tallybook.streaming.intake import validate_stream
@@ -218,3 +220,15 @@ def test_pages_in_order(spark):
     got = {r.invoice_id: r.text for r in S.assemble_text(pages).collect()}
     assert got == {1: "".join(f"p{i};" for i in range(12)), 2: "x"}
     assert {r.text for r in S.assemble_text(pages, "\n").collect()} == {"".join(f"p{i};\n" for i in range(12)), "\nx\n"}
+
+
+def test_words_are_made_in_small_parts(spark, data, monkeypatch):
+    monkeypatch.setattr(D, "TEXTS_PER_TASK", 20)
+    texts = D.texts(spark, data)
+    n = texts.count()
+    for df in (D.in_small_parts(texts, data), D.words(D.in_small_parts(texts, data))):
+        parts = df.groupBy(F.spark_partition_id()).agg(F.countDistinct("invoice_id").alias("n")).collect()
+        assert sum(r.n for r in parts) == n and max(r.n for r in parts) <= 60
+    for name in ("lx_vendor_words", "lx_invoice"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(invoice_id#" in plan and f", {-(-n // 20)}), REPARTITION_BY_NUM" in plan
