@@ -5,7 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from tallybook.functions import jsonvalues as J
-from tallybook.functions.pycompat import py_float, py_one_decimal
+from tallybook.functions import patterns as P
+from tallybook.functions.pycompat import first_capture, fold, py_float, py_one_decimal
+from tallybook.operators import basic_extract as X
 from tallybook.operators import layout_extract as L
 from tallybook.operators import reconcile as M
 from tallybook.operators import stats
@@ -110,3 +112,37 @@ def test_json_values_are_described_once(spark):
         assert read(F.col("v"))._jc.toString().count("schema_of_variant") == 1
     assert J.strict_json(F.col("t"))._jc.toString().count("try_parse_json") == 1
     assert py_float(F.col("t"))._jc.toString().count("btrim") == 1
+
+
+def test_captures_search_once(spark):
+    """A text is searched once by a pattern that matches, and not a second time to see whether it did."""
+    texts = spark.createDataFrame([(1, "Ort\nİK Invoice #: A-1\nsubTotal: $9.50\nTOTAL: 1,200.5\n"), (2, "No total"), (3, None)], "i int, text string")
+    texts = texts.withColumn("folded", fold(F.col("text")))
+    text, folded = F.col("text"), F.col("folded")
+    found = texts.select(
+        "i",
+        X.invoice_number(text, folded).alias("number"),
+        L.amount_layout(text, P.LAYOUT_TOTAL, folded).alias("total"),
+        X.amount(text, P.TOTAL_AMOUNT, "normalized", "(?<!sub)", folded).alias("whole"),
+    )
+    assert [tuple(r)[1:] for r in found.orderBy("i").collect()] == [("A-1", 9.5, 1200.5), (None, None, None), (None, None, None)]
+    optimized = texts.select(first_capture(text, P.INVOICE_NUMBER, folded=folded).alias("number"))._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("regexp_extract(") == len(P.INVOICE_NUMBER)
+
+
+def test_first_usable_line(spark):
+    rows = [(1, "\n  \nDate\n ab \n Mill & Co \nother"), (2, "\n" * 9 + "Tenth line"), (3, "\n" * 10 + "Eleventh line"), (4, None), (5, "")]
+    texts = spark.createDataFrame(rows, "i int, text string")
+    got = texts.orderBy("i").select(L.fallback_vendor(F.col("text")), X.vendor_name(X.lines_of(F.col("text")))).collect()
+    assert [tuple(r) for r in got] == [("Mill & Co", "Mill & Co"), ("Tenth line", "Tenth line"), (None, None), (None, None), (None, None)]
+    assert "filter(" not in L.fallback_vendor(F.col("text"))._jc.toString()
+
+
+def test_generated_methods_can_be_compiled(spark, data, tmp_path):
+    """The JVM's JIT compiler skips methods of more than 8,000 bytes."""
+    path = str(tmp_path / "texts")
+    D.texts(spark, data).write.parquet(path)
+    read = validate_invoices(extract_basic(spark.read.parquet(path)), "2000-06-30").select("invoice_id", "is_valid", "score")
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(read._jdf.queryExecution().executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
