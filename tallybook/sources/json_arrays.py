@@ -117,24 +117,29 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
         F.expr("listagg(text, '') within group (order by at)").alias("text"),
         F.coalesce(F.bool_or("ended"), F.lit(False)).alias("ended"),
     )
+    # Step by step, each in a column of its own: in one expression the branches would search and parse a record again.
     first = F.col("after_block").isNull()
     lead = F.when(first, rf"^{BLANK}*+\[").otherwise(rf"^{BLANK}*+,")
-    in_place = F.regexp_like(F.col("text"), lead)
-    body = F.regexp_replace(F.col("text"), lead, F.lit(""))
-    tail = F.regexp_like(body, F.lit(rf"\]{BLANK}*+\z"))
-    body = F.when(F.col("ended"), body).otherwise(F.regexp_replace(body, rf"\]{BLANK}*+\z", ""))
-    empty = F.regexp_like(body, F.lit(rf"^{BLANK}*+\z"))
+    parts = parts.withColumns(
+        {"in_place": F.regexp_like(F.col("text"), lead), "body": F.regexp_replace(F.col("text"), lead, F.lit(""))}
+    )
+    tail = ~F.col("ended") & F.regexp_like(F.col("body"), F.lit(rf"\]{BLANK}*+\z"))
+    parts = parts.withColumn("tail", tail)
+    parts = parts.withColumn("body", F.when(F.col("tail"), F.regexp_replace("body", rf"\]{BLANK}*+\z", "")).otherwise(F.col("body")))
+    parts = parts.withColumn("hollow", F.regexp_like(F.col("body"), F.lit(rf"^{BLANK}*+\z")))
+    value = F.concat(F.lit("["), "body", F.lit("]"))
+    due = F.col("is_array") & F.col("in_place") & ~F.col("hollow") & (F.col("ended") | F.col("tail"))
+    parts = parts.withColumn("value", F.when(due, value))
+    parts = parts.withColumn("good", F.col("value").isNotNull() & J.strict_json(F.col("value")).isNotNull())
     # After the last record only the closing bracket may follow, or further values behind a comma.
     closing = ~F.col("ended") & ~first & F.regexp_like(F.col("text"), F.lit(rf"^{BLANK}*+\]{BLANK}*+\z"))
-    hollow = ~F.col("ended") & first & tail & empty
-    value = F.concat(F.lit("["), body, F.lit("]"))
-    good = in_place & ~empty & (F.col("ended") | tail) & J.strict_json(value).isNotNull()
+    empty = F.col("is_array") & (closing | (F.col("tail") & first & F.col("hollow")))
     part = F.struct(F.coalesce("after_block", F.lit(-1).cast("long")).alias("block"), F.coalesce("after_row", F.lit(-1).cast("long")).alias("row"))
     rows = parts.select(
         "file", part.alias("part"),
-        F.when(F.col("is_array"), F.when(good, value)).otherwise(F.col("text")).alias("value"),
-        (F.col("is_array") & (closing | hollow)).alias("empty"),
-        (F.col("is_array") & ~closing & ~hollow & ~good).alias("bad"),
+        F.when(F.col("is_array"), F.when(F.col("good"), F.col("value"))).otherwise(F.col("text")).alias("value"),
+        empty.alias("empty"),
+        (F.col("is_array") & ~empty & ~F.col("good")).alias("bad"),
         (~F.col("is_array") | ~F.col("ended")).alias("complete"),
     )
     rows = written(rows, "records")
